@@ -123,9 +123,9 @@ def add_stats(df: DataFrame, text: str = "text") -> DataFrame:
 
 def _vector() -> list[Column]:
     """The transformed statistics of a row."""
-    n, c = F.col("n_words").cast("double"), F.col("word_chars").cast("double")
+    n, c = (F.greatest(F.col(x), F.lit(1)).cast("double") for x in ("n_words", "word_chars"))
     return [
-        F.log1p(n),
+        F.log1p(F.col("n_words").cast("double")),
         F.log(c / n),
         F.sqrt(F.col("n_symbols") / c),
         F.log1p(F.col("n_dup_lines").cast("double")),
