@@ -84,3 +84,30 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc_id", *STATS, "base_failed", "kept", "distance2")
+
+
+@_query("op6_subword_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model, carry=["doc_id"])
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@_query("op7_byte_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from readloom.llm import bpe
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents"), path, P.PATTERN, carry=["doc_id"])
+    out = bpe.decode(ids, path, P.PATTERN)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
