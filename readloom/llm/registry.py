@@ -111,3 +111,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_query("op8_license_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"), carry=["doc_id"])
