@@ -118,3 +118,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+@_query("op10_dart_minhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
