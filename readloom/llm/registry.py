@@ -125,3 +125,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query("op3_p_stable_vectors")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.embedding import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
