@@ -132,3 +132,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.embedding import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op1_range_coded_ids")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from readloom.llm.tokenids import read_ids, write_ids
+    from readloom.session import Tables
+
+    folder = Tables(spark, "token-ids").root
+    write_ids(table(spark, sf_dir, "documents"), folder, P.path("word_bpe_49k.json"), end_id=2)
+    return read_ids(spark, folder, digest=True)
+
+
+@_query("op2_prefix_rendering")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.chat import format_chats, read_back
+
+    odd = spark.sql(
+        "SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+    )
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(odd)
+    return read_back(format_chats(chats))
