@@ -35,7 +35,7 @@ class BracketTemplate:
 
     MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST] ", " [/INST]"), "assistant": ("<s>", "</s>")}
     _OTHER = ("<<ROLE:", ">>", "<</ROLE>>")
-    _BREAK = re.compile(r"\\|<(?=<SYS>>|</SYS>>|<ROLE:|</ROLE>>|s>|/s>)|\[(?=/?INST\])|>(?=>)")
+    _BREAK = re.compile(r"\\|<(?=<SYS>>|</SYS>>|<ROLE:|</ROLE>>|s>|/s>)|\[(?=/?INST\])")
     _UNBREAK = re.compile(r"\\(\\?)")
     _TOKEN = re.compile(r"<<SYS>>(?P<system>.*?)<</SYS>>|\[INST\] (?P<user>.*?) \[/INST\]|<s>(?P<assistant>.*?)</s>|<<ROLE:(?P<role>.*?)>>(?P<other>.*?)<</ROLE>>", re.S)
 
