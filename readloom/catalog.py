@@ -30,3 +30,13 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["kmer_count_hard_soft"](spark, sf_dir)
+
+
+def _load() -> None:
+    from importlib import import_module
+
+    for name in ("reads",):
+        import_module(f"readloom.plans.{name}")
+
+
+_load()
