@@ -29,13 +29,13 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["kmer_count_hard_soft"](spark, sf_dir)
+    return _QUERIES["assemble_transcripts"](spark, sf_dir)
 
 
 def _load() -> None:
     from importlib import import_module
 
-    for name in ("reads", "contigs", "graph"):
+    for name in ("reads", "contigs", "graph", "assembly"):
         import_module(f"readloom.plans.{name}")
 
 

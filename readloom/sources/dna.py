@@ -38,6 +38,15 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows(sequences(spark, sf_dir), CONTIG, False, "contig_id")
 
 
+def overlapping_reads(spark: SparkSession, sf_dir: str, stride: int = 25) -> DataFrame:
+    """``(read_id, seq)``: windows of 100 bases at every ``stride``, so that reads overlap as sequenced ones do."""
+    n = F.floor((F.length("seq") - READ) / stride).cast("long")
+    starts = F.sequence(F.lit(0).cast("long"), n)
+    cut = F.transform(starts, lambda j: F.struct(j.alias("j"), F.substring("seq", (j * stride + 1).cast("int"), F.lit(READ)).alias("seq")))
+    out = sequences(spark, sf_dir).where(F.length("seq") >= READ).select("doc_id", F.explode(cut).alias("w"))
+    return out.select((F.col("doc_id") * SPAN + F.col("w.j")).alias("read_id"), F.col("w.seq").alias("seq"))
+
+
 def pairs(spark: SparkSession, sf_dir: str, bases: str = S.BASES) -> DataFrame:
     """``(pair_id, seq1, seq2)``: a read and the reverse complement of the next one of its document."""
     r = reads(spark, sf_dir, bases)
