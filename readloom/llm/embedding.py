@@ -35,9 +35,9 @@ THRESHOLD, WIDTH, MISS = 0.9, 2.5, 0.005
 #: Expected number of unrelated vectors in a bucket.
 STRAY = 0.1
 #: Rows of a block.
-BLOCK = 1024
-#: Rows whose buckets are made together.
-ROWS = 512
+BLOCK = 512
+#: Rows whose buckets are made together; groups up to SMALL rows are compared pair by pair.
+ROWS, SMALL = 128, 16
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -88,57 +88,72 @@ def _hasher(depth: int, tables: int, seed: int):
     return run
 
 
-def _groups(batches, n_keys: int):
-    """Whole groups of rows that are equal in their first columns, from rows in that order."""
+def _whole(batches, n_keys: int):
+    """Tables of whole groups of rows that are equal in their first columns, with the groups' starts, from rows in that order."""
     rest = None
     for batch in batches:
         if not batch.num_rows:
             continue
         t = pa.Table.from_batches([batch])
         t = t if rest is None else pa.concat_tables([rest, t])
-        keys = [t.column(i).to_numpy() for i in range(n_keys)]
-        new = np.ones(t.num_rows, bool)
-        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-        at = np.flatnonzero(new)
-        yield from ((t, a, b) for a, b in zip(at[:-1], at[1:]))
-        rest = t.slice(at[-1]).combine_chunks()
+        at = _starts(t, n_keys)
+        if len(at) > 1:
+            yield t.slice(0, at[-1]).combine_chunks(), at[:-1]
+        rest = t.slice(at[-1])
     if rest is not None and rest.num_rows:
-        yield rest, 0, rest.num_rows
+        yield rest.combine_chunks(), _starts(rest, n_keys)
 
 
-def _linked(table, a: int, b: int, threshold: float):
-    """Ids, side, weights and link matrix of a group; ids and vectors are columns 3 and 4."""
-    part = table.slice(a, b - a).combine_chunks()
-    vecs = part.column("v").chunk(0) if part.column("v").num_chunks else part.column("v").combine_chunks()
-    x = _unit(vecs)
-    return part, (x @ x.T) >= threshold
+def _starts(t, n_keys: int) -> np.ndarray:
+    keys = [t.column(i).to_numpy() for i in range(n_keys)]
+    new = np.ones(t.num_rows, bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _vectors(t):
+    """Unit vectors of a table's rows: one matrix if all have the same length, else a function of a range."""
+    v = t.column("v").chunk(0)
+    sizes = pa.compute.list_value_length(v).to_numpy()
+    if len(sizes) and (sizes == sizes[0]).all():
+        x = _unit(v)
+        return x, lambda a, b: x[a:b]
+    return None, lambda a, b: _unit(v.slice(a, b - a))
 
 
 def _spanning(threshold: float):
     """(key, i, j, own, id, v) groups to links that connect what is linked inside the group."""
 
     def run(batches):
-        out_a, out_b = [], []
-        for t, a, b in _groups(batches, 3):
-            if b - a < 2:
-                continue
-            part, near = _linked(t, a, b, threshold)
-            ids = part.column("id").to_numpy()
-            label = np.arange(len(ids))
-            while True:  # every row takes the least label among its links
-                low = np.where(near, label[None, :], len(ids)).min(1)
-                low = np.minimum(low, label)
-                low = low[low]
-                if (low == label).all():
-                    break
-                label = low
-            moved = np.flatnonzero(label != np.arange(len(ids)))
-            out_a.append(ids[label[moved]])
-            out_b.append(ids[moved])
-            if sum(map(len, out_a)) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-                out_a, out_b = [], []
-        if out_a:
+        for t, at in _whole(batches, 3):
+            ids = t.column("id").to_numpy()
+            ends = np.append(at[1:], len(ids))
+            size = ends - at
+            x, rows = _vectors(t)
+            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            large = size > (SMALL if x is not None else 1)
+            if x is not None:
+                group = np.repeat(np.where(large, -1 - np.arange(len(at)), np.arange(len(at))), size)
+                for k in range(1, SMALL):
+                    i = np.flatnonzero((group[k:] == group[:-k]) & (group[k:] >= 0))
+                    if not len(i):
+                        break
+                    i = i[np.einsum("ij,ij->i", x[i], x[i + k]) >= threshold]
+                    out_a.append(ids[i])
+                    out_b.append(ids[i + k])
+            for a, b in zip(at[large], ends[large]):
+                y = rows(a, b)
+                near, label = (y @ y.T) >= threshold, np.arange(b - a)
+                while True:  # every row takes the least label among its links
+                    low = np.where(near, label[None, :], b - a).min(1)
+                    low = np.minimum(low, label)
+                    low = low[low]
+                    if (low == label).all():
+                        break
+                    label = low
+                moved = np.flatnonzero(label != np.arange(b - a))
+                out_a.append(ids[a + label[moved]])
+                out_b.append(ids[a + moved])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
     return run
@@ -148,17 +163,21 @@ def _counting(threshold: float):
     """(key, i, j, own, id, v, w) groups to (id, links): what a row's links weigh in the other block."""
 
     def run(batches):
-        for t, a, b in _groups(batches, 3):
-            if b - a < 2:
-                continue
-            part, near = _linked(t, a, b, threshold)
-            np.fill_diagonal(near, False)
-            own, w = part.column("own").to_numpy(), part.column("w").to_numpy()
-            same_block = part.column("i")[0].as_py() == part.column("j")[0].as_py()
-            if not same_block:  # links inside a block are counted where the block meets itself
-                near &= own[:, None] != own[None, :]
-            n = near.astype(np.int64) @ w
-            yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks(), pa.array(n)], ["id", "links"])
+        for t, at in _whole(batches, 3):
+            ids, own, w = (t.column(c).to_numpy() for c in ("id", "own", "w"))
+            i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
+            n = np.zeros(len(ids), np.int64)
+            _, rows = _vectors(t)
+            for a, b in zip(at, np.append(at[1:], len(ids))):
+                if b - a < 2:
+                    continue
+                y = rows(a, b)
+                near = (y @ y.T) >= threshold
+                np.fill_diagonal(near, False)
+                if i[a] != j[a]:  # links inside a block are counted where the block meets itself
+                    near &= own[a:b, None] != own[None, a:b]
+                n[a:b] = near @ w[a:b]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "links"])
 
     return run
 
