@@ -2,8 +2,8 @@
 
 Three steps, all within a row, so that no row moves:
 
-1. Prefilter: a text without any of a few keywords is not looked at again; a
-   rule runs only where its own keyword stands.
+1. Prefilter: a text without any of the ``GATES`` is not looked at again; a
+   rule runs only where one of its own keywords stands.
 2. Rules: signatures of four ranks (identifier tags and links, licence texts,
    notices, mentions) give places with a label.
 3. Suppression: a place inside a longer or equal one of the same or a better
@@ -40,7 +40,7 @@ BASE = (
 #: Confidence of a place by the rank of its rule.
 RANK_SCORE = (1.0, 0.95, 0.9, 0.7)
 
-# label; identifier regex; name regex; keyword that both hold
+# label; identifier regex; name regex; keywords of which both hold one
 _NAMED = r"""
 mit; MIT(?:-0)?; (?:MIT|Expat)(?:/X11)?; mit
 x11; X11; X11(?! forwarding); x11
@@ -51,71 +51,71 @@ bsd-4-clause; BSD-4-Clause; (?:original|four[- ]clause|4[- ]clause)\s+BSD; bsd
 0bsd; 0BSD; (?:zero[- ]clause|0[- ]clause)\s+BSD; bsd
 apache-1.1; Apache-1\.1; Apache(?:\s+Software)?(?:\s+License)?,?\s+(?:version\s+|v)?1\.1; apache
 apache-2; Apache-2\.0; Apache(?:\s+Software)?(?:\s+License)?,?\s+(?:version\s+|v)?2(?:\.0)?; apache
-gpl-1; GPL-1\.0(?:-only|-or-later|\+)?; (?:GNU\s+(?:General\s+Public\s+Licen[sc]e|GPL)|GPL),?\s*(?:version\s+|v)1(?:\.0)?; g
-gpl-2; GPL-2\.0(?:-only|-or-later|\+)?; (?:GNU\s+(?:General\s+Public\s+Licen[sc]e|GPL)|GPL),?\s*(?:version\s+|v)2(?:\.0)?; g
-gpl-3; GPL-3\.0(?:-only|-or-later|\+)?; (?:GNU\s+(?:General\s+Public\s+Licen[sc]e|GPL)|GPL),?\s*(?:version\s+|v)3(?:\.0)?; g
-lgpl-2; LGPL-2\.0(?:-only|-or-later|\+)?; (?:GNU\s+(?:Library|Lesser)\s+General\s+Public\s+Licen[sc]e|LGPL),?\s*(?:version\s+|v)2(?:\.0)?; g
-lgpl-2.1; LGPL-2\.1(?:-only|-or-later|\+)?; (?:GNU\s+(?:Library|Lesser)\s+General\s+Public\s+Licen[sc]e|LGPL),?\s*(?:version\s+|v)2\.1; g
-lgpl-3; LGPL-3\.0(?:-only|-or-later|\+)?; (?:GNU\s+Lesser\s+General\s+Public\s+Licen[sc]e|LGPL),?\s*(?:version\s+|v)3(?:\.0)?; g
-agpl-3; AGPL-3\.0(?:-only|-or-later|\+)?; (?:GNU\s+Affero\s+General\s+Public\s+Licen[sc]e|AGPL),?\s*(?:version\s+|v)3(?:\.0)?; g
-gfdl; GFDL-1\.[123](?:-only|-or-later)?; GNU\s+Free\s+Documentation\s+Licen[sc]e; g
-mpl-1.1; MPL-1\.1; (?:Mozilla\s+Public\s+Licen[sc]e|MPL),?\s*(?:version\s+|v)?1\.1; m
-mpl-2; MPL-2\.0; (?:Mozilla\s+Public\s+Licen[sc]e|MPL),?\s*(?:version\s+|v)?2(?:\.0)?; m
-epl-1; EPL-1\.0; (?:Eclipse\s+Public\s+Licen[sc]e|EPL),?\s*(?:-\s*)?(?:version\s+|v)?1(?:\.0)?; e
-epl-2; EPL-2\.0; (?:Eclipse\s+Public\s+Licen[sc]e|EPL),?\s*(?:-\s*)?(?:version\s+|v)?2(?:\.0)?; e
-edl-1; EDL-1\.0; Eclipse\s+Distribution\s+Licen[sc]e; eclipse
-cddl-1; CDDL-1\.[01]; (?:Common\s+Development\s+and\s+Distribution\s+Licen[sc]e|CDDL); c
-cpl-1; CPL-1\.0; Common\s+Public\s+Licen[sc]e; common
-eupl-1.2; EUPL-1\.[012]; European\s+Union\s+Public\s+Licen[sc]e; e
+gpl-1; GPL-1\.0(?:-only|-or-later|\+)?; (?:GNU\s+(?:General\s+Public\s+Licen[sc]e|GPL)|GPL),?\s*(?:version\s+|v)1(?:\.0)?; gpl|general public
+gpl-2; GPL-2\.0(?:-only|-or-later|\+)?; (?:GNU\s+(?:General\s+Public\s+Licen[sc]e|GPL)|GPL),?\s*(?:version\s+|v)2(?:\.0)?; gpl|general public
+gpl-3; GPL-3\.0(?:-only|-or-later|\+)?; (?:GNU\s+(?:General\s+Public\s+Licen[sc]e|GPL)|GPL),?\s*(?:version\s+|v)3(?:\.0)?; gpl|general public
+lgpl-2; LGPL-2\.0(?:-only|-or-later|\+)?; (?:GNU\s+(?:Library|Lesser)\s+General\s+Public\s+Licen[sc]e|LGPL),?\s*(?:version\s+|v)2(?:\.0)?; lgpl|general public
+lgpl-2.1; LGPL-2\.1(?:-only|-or-later|\+)?; (?:GNU\s+(?:Library|Lesser)\s+General\s+Public\s+Licen[sc]e|LGPL),?\s*(?:version\s+|v)2\.1; lgpl|general public
+lgpl-3; LGPL-3\.0(?:-only|-or-later|\+)?; (?:GNU\s+Lesser\s+General\s+Public\s+Licen[sc]e|LGPL),?\s*(?:version\s+|v)3(?:\.0)?; lgpl|general public
+agpl-3; AGPL-3\.0(?:-only|-or-later|\+)?; (?:GNU\s+Affero\s+General\s+Public\s+Licen[sc]e|AGPL),?\s*(?:version\s+|v)3(?:\.0)?; agpl|affero
+gfdl; GFDL-1\.[123](?:-only|-or-later)?; GNU\s+Free\s+Documentation\s+Licen[sc]e; gfdl|free documentation
+mpl-1.1; MPL-1\.1; (?:Mozilla\s+Public\s+Licen[sc]e|MPL),?\s*(?:version\s+|v)?1\.1; mpl|mozilla
+mpl-2; MPL-2\.0; (?:Mozilla\s+Public\s+Licen[sc]e|MPL),?\s*(?:version\s+|v)?2(?:\.0)?; mpl|mozilla
+epl-1; EPL-1\.0; (?:Eclipse\s+Public\s+Licen[sc]e|EPL),?\s*(?:-\s*)?(?:version\s+|v)?1(?:\.0)?; epl|eclipse
+epl-2; EPL-2\.0; (?:Eclipse\s+Public\s+Licen[sc]e|EPL),?\s*(?:-\s*)?(?:version\s+|v)?2(?:\.0)?; epl|eclipse
+edl-1; EDL-1\.0; Eclipse\s+Distribution\s+Licen[sc]e; edl-|eclipse
+cddl-1; CDDL-1\.[01]; (?:Common\s+Development\s+and\s+Distribution\s+Licen[sc]e|CDDL); cddl|common development
+cpl-1; CPL-1\.0; Common\s+Public\s+Licen[sc]e; cpl-|common public
+eupl-1.2; EUPL-1\.[012]; European\s+Union\s+Public\s+Licen[sc]e; eupl|european union
 artistic-1; Artistic-1\.0(?:-Perl)?; Artistic\s+Licen[sc]e(?:\s+version)?\s+1(?:\.0)?; artistic
 artistic-2; Artistic-2\.0; Artistic\s+Licen[sc]e(?:\s+version)?\s+2(?:\.0)?; artistic
-bsl-1; BSL-1\.0; Boost\s+Software\s+Licen[sc]e; b
-busl-1.1; BUSL-1\.1; Business\s+Source\s+Licen[sc]e; bus
+bsl-1; BSL-1\.0; Boost\s+Software\s+Licen[sc]e; bsl-|boost
+busl-1.1; BUSL-1\.1; Business\s+Source\s+Licen[sc]e; busl|business source
 zlib; Zlib; zlib(?:/libpng)?; zlib
 libpng; libpng-2\.0; libpng; libpng
 unlicense; Unlicense; The\s+Unlicense; unlicense
-wtfpl; WTFPL; (?:WTFPL|Do\s+What\s+The\s+F\S+\s+You\s+Want\s+To); w
-cc0-1; CC0-1\.0; (?:CC0|CC\s+Zero|Creative\s+Commons\s+Zero); c
-cc-by-1; CC-BY-1\.0; (?:CC[ -]BY|Creative\s+Commons\s+Attribution)\s+1\.0; c
-cc-by-2; CC-BY-2\.[05]; (?:CC[ -]BY|Creative\s+Commons\s+Attribution)\s+2\.[05]; c
-cc-by-3; CC-BY-3\.0; (?:CC[ -]BY|Creative\s+Commons\s+Attribution)\s+3\.0; c
-cc-by-4; CC-BY-4\.0; (?:CC[ -]BY|Creative\s+Commons\s+Attribution)\s+4\.0; c
-cc-by-sa-2; CC-BY-SA-2\.[05]; (?:CC[ -]BY[ -]SA|Creative\s+Commons\s+Attribution[- ]Share\s?Alike)\s+2\.[05]; c
-cc-by-sa-3; CC-BY-SA-3\.0; (?:CC[ -]BY[ -]SA|Creative\s+Commons\s+Attribution[- ]Share\s?Alike)\s+3\.0; c
-cc-by-sa-4; CC-BY-SA-4\.0; (?:CC[ -]BY[ -]SA|Creative\s+Commons\s+Attribution[- ]Share\s?Alike)\s+4\.0; c
-cc-by-nd-3; CC-BY-ND-3\.0; (?:CC[ -]BY[ -]ND|Creative\s+Commons\s+Attribution[- ]NoDeriv(?:ative)?s)\s+3\.0; c
-cc-by-nd-4; CC-BY-ND-4\.0; (?:CC[ -]BY[ -]ND|Creative\s+Commons\s+Attribution[- ]NoDeriv(?:ative)?s)\s+4\.0; c
-cc-by-nc-2; CC-BY-NC-2\.[05]; (?:CC[ -]BY[ -]NC|Creative\s+Commons\s+Attribution[- ]NonCommercial)\s+2\.[05]; c
-cc-by-nc-3; CC-BY-NC-3\.0; (?:CC[ -]BY[ -]NC|Creative\s+Commons\s+Attribution[- ]NonCommercial)\s+3\.0; c
-cc-by-nc-4; CC-BY-NC-4\.0; (?:CC[ -]BY[ -]NC|Creative\s+Commons\s+Attribution[- ]NonCommercial)\s+4\.0; c
-cc-by-nc-sa-3; CC-BY-NC-SA-3\.0; CC[ -]BY[ -]NC[ -]SA\s+3\.0; c
-cc-by-nc-sa-4; CC-BY-NC-SA-4\.0; CC[ -]BY[ -]NC[ -]SA\s+4\.0; c
-cc-by-nc-nd-3; CC-BY-NC-ND-3\.0; CC[ -]BY[ -]NC[ -]ND\s+3\.0; c
-cc-by-nc-nd-4; CC-BY-NC-ND-4\.0; CC[ -]BY[ -]NC[ -]ND\s+4\.0; c
-odbl-1; ODbL-1\.0; (?:Open\s+Database\s+Licen[sc]e|ODbL); o
-odc-by-1; ODC-By-1\.0; Open\s+Data\s+Commons\s+Attribution; open
-pddl-1; PDDL-1\.0; (?:Public\s+Domain\s+Dedication\s+and\s+Licen[sc]e|PDDL); p
-ofl-1.1; OFL-1\.[01]; (?:SIL\s+)?Open\s+Font\s+Licen[sc]e; o
-ms-pl; MS-PL; Microsoft\s+Public\s+Licen[sc]e; m
-ms-rl; MS-RL; Microsoft\s+Reciprocal\s+Licen[sc]e; m
+wtfpl; WTFPL; (?:WTFPL|Do\s+What\s+The\s+F\S+\s+You\s+Want\s+To); wtfpl|do what the
+cc0-1; CC0-1\.0; (?:CC0|CC\s+Zero|Creative\s+Commons\s+Zero); cc0|cc zero|creative commons
+cc-by-1; CC-BY-1\.0; (?:CC[ -]BY|Creative\s+Commons\s+Attribution)\s+1\.0; cc-|cc |creative commons
+cc-by-2; CC-BY-2\.[05]; (?:CC[ -]BY|Creative\s+Commons\s+Attribution)\s+2\.[05]; cc-|cc |creative commons
+cc-by-3; CC-BY-3\.0; (?:CC[ -]BY|Creative\s+Commons\s+Attribution)\s+3\.0; cc-|cc |creative commons
+cc-by-4; CC-BY-4\.0; (?:CC[ -]BY|Creative\s+Commons\s+Attribution)\s+4\.0; cc-|cc |creative commons
+cc-by-sa-2; CC-BY-SA-2\.[05]; (?:CC[ -]BY[ -]SA|Creative\s+Commons\s+Attribution[- ]Share\s?Alike)\s+2\.[05]; cc-|cc |creative commons
+cc-by-sa-3; CC-BY-SA-3\.0; (?:CC[ -]BY[ -]SA|Creative\s+Commons\s+Attribution[- ]Share\s?Alike)\s+3\.0; cc-|cc |creative commons
+cc-by-sa-4; CC-BY-SA-4\.0; (?:CC[ -]BY[ -]SA|Creative\s+Commons\s+Attribution[- ]Share\s?Alike)\s+4\.0; cc-|cc |creative commons
+cc-by-nd-3; CC-BY-ND-3\.0; (?:CC[ -]BY[ -]ND|Creative\s+Commons\s+Attribution[- ]NoDeriv(?:ative)?s)\s+3\.0; cc-|cc |creative commons
+cc-by-nd-4; CC-BY-ND-4\.0; (?:CC[ -]BY[ -]ND|Creative\s+Commons\s+Attribution[- ]NoDeriv(?:ative)?s)\s+4\.0; cc-|cc |creative commons
+cc-by-nc-2; CC-BY-NC-2\.[05]; (?:CC[ -]BY[ -]NC|Creative\s+Commons\s+Attribution[- ]NonCommercial)\s+2\.[05]; cc-|cc |creative commons
+cc-by-nc-3; CC-BY-NC-3\.0; (?:CC[ -]BY[ -]NC|Creative\s+Commons\s+Attribution[- ]NonCommercial)\s+3\.0; cc-|cc |creative commons
+cc-by-nc-4; CC-BY-NC-4\.0; (?:CC[ -]BY[ -]NC|Creative\s+Commons\s+Attribution[- ]NonCommercial)\s+4\.0; cc-|cc |creative commons
+cc-by-nc-sa-3; CC-BY-NC-SA-3\.0; CC[ -]BY[ -]NC[ -]SA\s+3\.0; cc-|cc |creative commons
+cc-by-nc-sa-4; CC-BY-NC-SA-4\.0; CC[ -]BY[ -]NC[ -]SA\s+4\.0; cc-|cc |creative commons
+cc-by-nc-nd-3; CC-BY-NC-ND-3\.0; CC[ -]BY[ -]NC[ -]ND\s+3\.0; cc-|cc |creative commons
+cc-by-nc-nd-4; CC-BY-NC-ND-4\.0; CC[ -]BY[ -]NC[ -]ND\s+4\.0; cc-|cc |creative commons
+odbl-1; ODbL-1\.0; (?:Open\s+Database\s+Licen[sc]e|ODbL); odbl|open database
+odc-by-1; ODC-By-1\.0; Open\s+Data\s+Commons\s+Attribution; odc-by|open data commons
+pddl-1; PDDL-1\.0; (?:Public\s+Domain\s+Dedication\s+and\s+Licen[sc]e|PDDL); pddl|domain dedication
+ofl-1.1; OFL-1\.[01]; (?:SIL\s+)?Open\s+Font\s+Licen[sc]e; ofl-|open font
+ms-pl; MS-PL; Microsoft\s+Public\s+Licen[sc]e; microsoft|ms-
+ms-rl; MS-RL; Microsoft\s+Reciprocal\s+Licen[sc]e; microsoft|ms-
 postgresql; PostgreSQL; PostgreSQL; postgresql
-python-2; (?:Python-2\.0|PSF-2\.0); (?:Python\s+Software\s+Foundation|PSF); p
+python-2; (?:Python-2\.0|PSF-2\.0); (?:Python\s+Software\s+Foundation|PSF); python|psf
 ruby; Ruby; Ruby('s)?; ruby
 php-3; PHP-3\.0[01]?; PHP\s+Licen[sc]e,?\s*(?:version\s+|v)?3(?:\.0)?1?; php
 openssl; OpenSSL; OpenSSL; openssl
 w3c; W3C(?:-\d+)?; W3C\s+Software(?:\s+Notice)?; w3c
-afl-3; AFL-3\.0; Academic\s+Free\s+Licen[sc]e; a
-osl-3; OSL-3\.0; Open\s+Software\s+Licen[sc]e; o
-ncsa; NCSA; (?:University\s+of\s+Illinois|NCSA); n
-upl-1; UPL-1\.0; Universal\s+Permissive\s+Licen[sc]e; u
-sspl-1; SSPL-1\.0; Server\s+Side\s+Public\s+Licen[sc]e; s
+afl-3; AFL-3\.0; Academic\s+Free\s+Licen[sc]e; afl-|academic free
+osl-3; OSL-3\.0; Open\s+Software\s+Licen[sc]e; osl-|open software
+ncsa; NCSA; (?:University\s+of\s+Illinois|NCSA); ncsa|university of illinois
+upl-1; UPL-1\.0; Universal\s+Permissive\s+Licen[sc]e; upl-|universal permissive
+sspl-1; SSPL-1\.0; Server\s+Side\s+Public\s+Licen[sc]e; sspl|server side
 elastic-2; Elastic-2\.0; Elastic\s+Licen[sc]e(?:\s+2(?:\.0)?)?; elastic
 cecill-2; CECILL-2\.[01]; CeCILL; cecill
-etalab-2; etalab-2\.0; Licence\s+Ouverte; e
+etalab-2; etalab-2\.0; Licence\s+Ouverte; etalab|licence ouverte
 mulan-2; MulanPSL-2\.0; Mulan\s+PSL; mulan
 blueoak-1; BlueOak-1\.0\.0; Blue\s+Oak\s+Model; blue
-ipl-1; IPL-1\.0; IBM\s+Public\s+Licen[sc]e; i
-lppl-1.3; LPPL-1\.3[ac]?; LaTeX\s+Project\s+Public\s+Licen[sc]e; l
+ipl-1; IPL-1\.0; IBM\s+Public\s+Licen[sc]e; ipl-|ibm public
+lppl-1.3; LPPL-1\.3[ac]?; LaTeX\s+Project\s+Public\s+Licen[sc]e; lppl|latex project
 vim; Vim; Vim(?=\s+licen[sc]e); vim
 """
 
@@ -229,17 +229,17 @@ def rules() -> list[tuple[int, str, str, str]]:
 
 
 #: A text without any of these is no candidate for a rule.
-KEYWORDS = (
-    "licen", "copyright", "permission", "warranty", "redistribution", "spdx", "gnu", "gpl", "creative", "public", "rights",
-    "droits", "rechte", "derechos", "dominio", "domaine", "gemeinfrei", "cc", "wtfpl", ".org", "proprietary", "unauthorized",
-    "altered", "endorse", "advertising", "contributors", "perl", "commercial", "under", "merchantability", "apache",
+GATES = (
+    "licen", "copyright", "rights", "spdx", "gpl", "cc-by", "cc by", "cc0", "creative", "domain", "dominio", "gemeinfrei",
+    "droits", "rechte vor", "derechos", "permission", "warranty", "redistribution", ".org", "proprietary", "unauthorized", "wtfpl",
+    "as perl", "advertising materials",
 )
 
 
 def _rule_array() -> Column:
     """The rules as one literal array."""
     made = [
-        F.struct(F.lit(r).alias("rank"), F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(f"(?is){regex}").alias("regex"))
+        F.struct(F.lit(r).alias("rank"), F.lit(i).alias("rule"), F.lit(label).alias("label"), F.array(*map(F.lit, key.split("|"))).alias("keys"), F.lit(f"(?is){regex}").alias("regex"))
         for i, (r, label, key, regex) in enumerate(rules())
     ]
     return F.array(*made)
@@ -295,7 +295,9 @@ def _survivors(places: Column) -> Column:
 
 def _detections(text: Column, low: Column) -> Column:
     """``(rank, label)`` of a text's surviving places."""
-    found = let(F.lower(low), lambda x: F.filter(_rule_array(), lambda r: F.contains(x, r["key"])))
+    every = sorted({k for _, _, key, _ in rules() for k in key.split("|")})
+    there = F.filter(F.array(*map(F.lit, every)), lambda k: F.contains(low, k))
+    found = let(there, lambda keys: F.filter(_rule_array(), lambda r: F.arrays_overlap(r["keys"], keys)))
     matched = F.filter(found, lambda r: F.rlike(text, r["regex"]))
     return let(F.flatten(F.transform(matched, lambda r: _places(text, r))), _survivors)
 
@@ -338,7 +340,7 @@ def scan_licenses(df: DataFrame, text: str = "text", carry: list[str] | None = N
             for phrase, _ in BASE:
                 base = base | has(*sorted(set(phrase), key=len, reverse=True))
             any_key = F.lit(False)
-            for k in KEYWORDS:
+            for k in GATES:
                 any_key = any_key | has(k)
             return F.struct(
                 F.size(_word_array(t)).cast("long").alias("n_words"),
