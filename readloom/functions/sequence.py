@@ -30,6 +30,17 @@ def kmers(seq: Column, k: int) -> Column:
     )
 
 
+def explode_kmers(df, keep: list[str], seq: str, k: int):
+    """``(keep, pos, kmer)``: a row for every window of ``k`` bases, positions from 1.
+
+    Positions are exploded, not an array of windows, so that cutting them out
+    stays in generated code.
+    """
+    at = F.explode(F.sequence(F.lit(1), F.length(seq) - (k - 1))).alias("pos")
+    rows = df.where(F.length(seq) >= k).select(*keep, F.col(seq).alias("_s"), at)
+    return rows.select(*keep, "pos", F.substring(F.col("_s"), F.col("pos"), F.lit(k)).alias("kmer"))
+
+
 def kmers_at(seq: Column, k: int) -> Column:
     """Windows with their positions from 1, as an array of ``(pos, kmer)``."""
     return F.transform(kmers(seq, k), lambda x, i: F.struct((i + 1).cast("int").alias("pos"), x.alias("kmer")))

@@ -6,22 +6,23 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from readloom.functions import sequence as S
 from readloom.operators.components import connected_components
+from readloom.session import broadcast_if_small
 
 
 def contig_kmers(contigs: DataFrame, k: int, key: str = "contig_id", seq: str = "seq") -> DataFrame:
     """``(key, pos, kmer)``: every window of every contig, positions from 1."""
-    return contigs.select(key, F.explode(S.kmers_at(F.col(seq), k)).alias("x")).select(key, "x.pos", "x.kmer")
+    return S.explode_kmers(contigs, [key], seq, k)
 
 
 def contig_edges(contigs: DataFrame, k: int = 24) -> DataFrame:
     """``(src, dst, w)``: pairs of contigs and the number of position pairs with equal k-mers.
 
-    Occurrences are counted for each k-mer and contig first, so that the join
-    meets one row a contig however often a k-mer repeats inside it.
+    Rows are dealt by k-mer once; counting for each contig, leaving out k-mers
+    of one contig and the self join all keep that partitioning. The join meets
+    one row a contig however often a k-mer repeats inside it.
     """
-    n = contig_kmers(contigs, k).groupBy("kmer", "contig_id").agg(F.count(F.lit(1)).alias("n"))
-    shared = n.groupBy("kmer").agg(F.count(F.lit(1)).alias("in_contigs")).where("in_contigs > 1").select("kmer")
-    n = n.join(shared, "kmer", "left_semi")
+    n = contig_kmers(contigs, k).repartition("kmer").groupBy("kmer", "contig_id").agg(F.count(F.lit(1)).alias("n"))
+    n = n.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("kmer"))).where("m > 1").drop("m")
     a, b = n.alias("a"), n.alias("b")
     both = a.join(b, (F.col("a.kmer") == F.col("b.kmer")) & (F.col("a.contig_id") < F.col("b.contig_id")))
     return both.groupBy(F.col("a.contig_id").alias("src"), F.col("b.contig_id").alias("dst")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("w"))
@@ -90,10 +91,12 @@ def contained_by_ends(contigs: DataFrame, r: int = 24, tolerance: int = 3, both_
     stands for its last place.
     """
     c = contigs.where(F.length("seq") >= r).select("contig_id", "seq", F.length("seq").alias("n"))
-    idx = contig_kmers(c, r).groupBy("kmer", F.col("contig_id").alias("t")).agg(F.max("pos").alias("pos"))
     strands = [F.col("seq")] + ([S.reverse_complement(F.col("seq"))] if both_strands else [])
     q = c.select("contig_id", "n", F.explode(F.array(*strands)).alias("s"))
     q = q.select("contig_id", "n", F.substring("s", 1, r).alias("head"), F.substring("s", -r, r).alias("tail"))
+    # only places of some end matter: a hundredth of all r-mers
+    ends = q.select(F.explode(F.array("head", "tail")).alias("kmer")).distinct()
+    idx = contig_kmers(c, r).join(broadcast_if_small(ends), "kmer", "left_semi").groupBy("kmer", F.col("contig_id").alias("t")).agg(F.max("pos").alias("pos"))
     h = idx.select(F.col("kmer").alias("head"), "t", F.col("pos").alias("p1"))
     e = idx.select(F.col("kmer").alias("tail"), "t", F.col("pos").alias("p2"))
     size = c.select(F.col("contig_id").alias("t"), F.col("n").alias("tn"))
@@ -113,7 +116,7 @@ def shared_cover(queries: DataFrame, targets: DataFrame, r: int, q: str, t: str)
     """``(q, t, match)``: positions of a query that r-mers shared with a target cover."""
     a = contig_kmers(queries, r, q)
     b = contig_kmers(targets, r, t).select("kmer", t).distinct()
-    hits = a.join(b, "kmer")
+    hits = a.join(broadcast_if_small(b) if t == "t_id" else b, "kmer")
     if q == "contig_id" and t == "other":
         hits = hits.where("contig_id != other")
     return covered(hits, [q, t], r)
@@ -129,8 +132,10 @@ def psl(contigs: DataFrame, truth: DataFrame, r: int = 24) -> DataFrame:
 
 def depth(contigs: DataFrame, truth: DataFrame, r: int = 24) -> DataFrame:
     """``(name, pos, depth)``: how many shared r-mers of contigs cover a position of a reference."""
-    n = contig_kmers(contigs, r).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    hit = contig_kmers(truth, r, "t_id").join(n, "kmer")
+    places = contig_kmers(truth, r, "t_id")
+    wanted = broadcast_if_small(places.select("kmer").distinct())
+    n = contig_kmers(contigs, r).join(wanted, "kmer", "left_semi").groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    hit = places.join(n, "kmer")
     each = hit.select(F.col("t_id").alias("name"), F.explode(F.sequence(F.col("pos"), F.col("pos") + (r - 1))).alias("pos"), "n")
     return each.groupBy("name", "pos").agg(F.sum("n").alias("depth"))
 

@@ -46,7 +46,7 @@ def bubbles(unitigs: DataFrame, edges: DataFrame, share: float = 0.1) -> DataFra
 
 def bridging_reads(nodes: DataFrame, reads: DataFrame, k: int = 24) -> DataFrame:
     """``(node, read_id, pos, before, after)``: reads that hold a node's k-mer with a base on either side."""
-    at = reads.select("read_id", "seq", F.explode(S.kmers_at(F.col("seq"), k)).alias("x")).select("read_id", "seq", "x.pos", F.col("x.kmer").alias("node"))
+    at = S.explode_kmers(reads, ["read_id", "seq"], "seq", k).withColumnRenamed("kmer", "node")
     hit = at.join(nodes.select("node"), "node").where((F.col("pos") > 1) & (F.col("pos") + k <= F.length("seq")))
     return hit.select("node", "read_id", "pos", F.substring("seq", F.col("pos") - 1, F.lit(1)).alias("before"), F.substring("seq", F.col("pos") + k, F.lit(1)).alias("after"))
 

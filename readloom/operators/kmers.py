@@ -11,13 +11,14 @@ K = 24
 
 
 def count_kmers(reads: DataFrame, k: int = K + 1, hard: int = 1, is_canonical: bool = False) -> DataFrame:
-    """``(kmer, cnt)`` of at least ``hard``. k-mers over an unread base are not counted.
+    """``(kmer, cnt)`` of at least ``hard``. k-mers over an unread base are not counted:
+    reads are cut there first.
 
     Counting is a map-side aggregation: what is shuffled is one row for each
     k-mer and task.
     """
-    kmer = F.explode(S.kmers(F.col("seq"), k)).alias("kmer")
-    rows = reads.select(kmer).where(~S.has_unread(F.col("kmer")))
+    pieces = reads.select(F.explode(F.split("seq", "[^ACGT]+")).alias("seq"))
+    rows = S.explode_kmers(pieces, [], "seq", k).select("kmer")
     if is_canonical:
         rows = rows.select(S.canonical(F.col("kmer")).alias("kmer"))
     return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= hard)

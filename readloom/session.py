@@ -41,6 +41,13 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows; else left to be shuffled."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 class Tables:
     """Intermediate Parquet tables of one operator call, written once each.
 
