@@ -12,10 +12,12 @@ is proportional to the shingles plus ``k log k``, not to their product.
 Texts of equal multisets are one class, found by a 128-bit fingerprint, and
 only a class's smallest id goes on. Signatures are cut into bands; a band value
 is a bucket. Each member of a bucket is compared to the bucket's smallest id
-first. What is confirmed is joined into components, and then all pairs of a
-bucket that still lie in different components are compared as well, so no
-candidate is left out while a large group of copies costs one comparison a
-member. Comparisons are exact, on whole texts.
+first. What is confirmed is joined into components, and buckets that still span
+several are gone through in full: small ones pair by pair, large ones in blocks
+of rows whose common regions are counted by a product of incidence matrices, of
+which only a spanning set of links leaves the block. So no candidate is left
+out, and pairs that are rows are at most ``SMALL`` for each member of a bucket.
+Comparisons are exact, on whole texts.
 
 Defined results: null texts and texts without words link with nothing; texts of
 fewer than five words are one shingle; letters A-Z count as a-z; rows with a
@@ -30,7 +32,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, functions as F, Window as W
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from readloom.operators.components import connected_components
@@ -41,6 +44,10 @@ BANDS, ROWS = 26, 5
 K = BANDS * ROWS
 #: Bytes of text that are worked on together.
 SLICE = 1 << 20
+#: Buckets up to this size are compared pair by pair, larger ones as blocks of so many rows.
+SMALL, BLOCK = 32, 512
+#: Columns of an incidence matrix that are multiplied at once.
+COLUMNS = 4096
 #: Candidate ids that are few enough to send to every task (16 MB of ids at most).
 FEW_IDS = 1_000_000
 
@@ -250,9 +257,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, tables: Tables, name: str) ->
     pairs = tables.save(pairs, name)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     ids = tables.save(ids, name + "-ids")
-    # few ids go to every task; many are shuffled like the texts
-    side = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    texts = tables.save(docs.join(side, "id", "left_semi"), name + "-texts")
+    texts = tables.save(_texts_of(ids, docs), name + "-texts")
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
     schema = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("ok", BooleanType())])
@@ -261,6 +266,82 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, tables: Tables, name: str) ->
     return out
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """Texts of some ids: few ids go to every task, many are shuffled like the texts."""
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi")
+
+
+def _keys(batches):
+    """(id, text) to (id, region keys)."""
+    for batch in batches:
+        texts = batch.column(1).cast(pa.large_string())
+        _, offsets = _buffers(texts)
+        for a, b in _slices(np.diff(offsets)):
+            key, doc = regions(*_buffers(texts.slice(a, b - a)))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b - a))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64)))], ["id", "keys"])
+
+
+def common_counts(lists: pa.Array) -> np.ndarray:
+    """Number of common keys of each two rows; a row holds a key once."""
+    n = len(lists)
+    flat = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(n), pa.compute.list_value_length(lists).to_numpy())
+    _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
+    many = times[col] > 1  # a key of one row is common to none
+    new = np.cumsum(times > 1) - 1
+    row, col = row[many], new[col[many]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((n, n), np.float32)
+    for first in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        a, b = np.searchsorted(col, [first, first + COLUMNS])
+        x = np.zeros((n, COLUMNS), np.float32)
+        x[row[a:b], col[a:b] - first] = 1
+        out += x @ x.T
+    return out
+
+
+def _spanning(batches):
+    """Rows of (bucket, block i, block j, id, keys) in order to links that connect what is linked in a group."""
+    from readloom.llm.embedding import _whole
+
+    for t, at in _whole(batches, 3):
+        ids, lists = t.column("id").to_numpy(), t.column("keys").chunk(0)
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(at, np.append(at[1:], len(ids))):
+            if b - a < 2:
+                continue
+            part = lists.slice(a, b - a)
+            common = common_counts(part)
+            size = pa.compute.list_value_length(part).to_numpy()
+            near = common >= THRESHOLD * (size[:, None] + size[None, :] - common)
+            label = np.arange(b - a)
+            while True:
+                low = np.minimum(np.where(near, label[None, :], b - a).min(1), label)
+                low = low[low]
+                if (low == label).all():
+                    break
+                label = low
+            moved = np.flatnonzero(label != np.arange(b - a))
+            out_a.append(ids[a + label[moved]])
+            out_b.append(ids[a + moved])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+
+def _linked_in_blocks(rows: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
+    """Links ``(a, b)`` that connect what is similar in each bucket of ``rows (key, rep)``."""
+    ids = tables.save(rows.select(F.col("rep").alias("id")).distinct(), "block-ids")
+    keys = tables.save(_texts_of(ids, docs).select("id", "t").mapInArrow(_keys, "id long, keys array<long>"), "block-keys")
+    w = W.partitionBy("key")
+    n = rows.select("key", "rep", F.floor((F.row_number().over(w.orderBy("rep")) - 1) / BLOCK).cast("int").alias("own"))
+    n = n.withColumn("last", F.max("own").over(w)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    n = n.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("rep").alias("id")).join(keys, "id")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n.select("key", "i", "j", "id", "keys").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    return tables.save(n.mapInArrow(_spanning, "a long, b long").distinct(), "block-links")
+
+
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, component_id, kept)``: a document's class of near copies is named by its smallest id."""
     tables = Tables(df.sparkSession, "minhash")
@@ -279,17 +360,17 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     near = first.where("ok").select("a", "b")
     part = tables.save(connected_components(near, "a", "b"), "parts")
     placed = shared.join(part, shared.rep == part.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = placed.join(open_keys, "key", "left_semi")
-    rest = tables.save(rest, "open")
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")))
-    cross = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    second = _confirmed(cross.join(first.select("a", "b"), ["a", "b"], "left_anti"), texts, tables, "cross")
+    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    rest = tables.save(placed.join(open_keys.select("key", "size"), "key"), "open")
+    few = rest.where(F.col("size") <= SMALL)
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")))
+    pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    second = _confirmed(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), texts, tables, "pairs")
+    links = near.union(second.where("ok").select("a", "b")).union(_linked_in_blocks(rest.where(F.col("size") > SMALL), texts, tables))
     # equal ids with different texts are one document: their classes belong together
     same = worded.join(classes.where("copies > 0").select(*print_of, "rep"), print_of).select("doc_id", "rep")
     same = same.where("doc_id != rep").distinct()
-    links = near.union(second.where("ok").select("a", "b"))
     whole = tables.save(connected_components(links.union(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "a", "b"), "whole")
     out = signed.select("doc_id").join(whole, signed.doc_id == whole.node, "left")
     component = F.coalesce("component", "doc_id")
