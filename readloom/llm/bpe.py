@@ -25,10 +25,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from readloom.llm.common import drop_names
+from readloom.llm.common import drop_names, release, small_batches
 
 #: Bounds of what a worker remembers: pieces with their ids, and judged token pairs.
-PIECES, PAIRS = 350_000, 400_000
+PIECES, PAIRS = 200_000, 250_000
 #: Characters of text whose ids are sent on together.
 CHUNK = 1_000_000
 
@@ -200,6 +200,7 @@ def _chunks(weights: list[int], most: int):
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` (columns ``carry``, all by default) with ``ids``."""
+    small_batches(df.sparkSession)
     keep = drop_names(df.select(*(df.columns if carry is None else carry)), ("ids", "_t"))
     rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     schema = StructType([*(f for f in rows.schema.fields if f.name != "_t"), StructField("ids", ArrayType(IntegerType(), False))])
@@ -212,6 +213,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", carry: li
                 ids = c.encode_all(t.slice(a, b - a).to_pylist())
                 part = [x.slice(a, b - a) for x in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*part, ids], [*batch.schema.names[:-1], "ids"])
+        release()
 
     return rows.mapInArrow(run, schema)
 

@@ -28,3 +28,24 @@ def drop_names(df, names) -> list[str]:
     """Columns of ``df`` that do not clash with ``names``."""
     taken = {n.lower() for n in names}
     return [c for c in df.columns if c.lower() not in taken]
+
+
+#: Bytes of a batch of rows on their way to Python.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark) -> None:
+    """Let this session send rows to Python in batches of ``BATCH_BYTES``, so that long texts don't add up there."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: workers wait for their next one."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

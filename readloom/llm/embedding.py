@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F, Window as W
 
+from readloom.llm.common import small_batches
 from readloom.operators.components import connected_components
 from readloom.session import Tables
 
@@ -195,6 +196,7 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", vec_id: str = "vec
     """``(vec_id, n_links, component_id, kept)`` for every row."""
     spark = df.sparkSession
     tables = Tables(spark, "embedding")
+    small_batches(spark)
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = F.coalesce(v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))

@@ -36,6 +36,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F, Window as W
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
+from readloom.llm.common import release, small_batches
 from readloom.operators.components import connected_components
 from readloom.session import Tables
 
@@ -43,7 +44,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
 K = BANDS * ROWS
 #: Bytes of text that are worked on together.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Buckets up to this size are compared pair by pair, larger ones as blocks of so many rows.
 SMALL, BLOCK = 32, 512
 #: Columns of an incidence matrix that are multiplied at once.
@@ -226,6 +227,7 @@ def _sign(batches):
             flat = pa.array(bands[n > 0].reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(prints[0]), pa.array(prints[1]), lists], SIGNED.names)
+    release()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -250,6 +252,7 @@ def _compare(batches):
             sides.append(parts)
         ok = pa.array([similarity(p, q) >= THRESHOLD for p, q in zip(*sides)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ok], ["a", "b", "ok"])
+    release()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, tables: Tables, name: str) -> DataFrame:
@@ -345,6 +348,7 @@ def _linked_in_blocks(rows: DataFrame, docs: DataFrame, tables: Tables) -> DataF
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, component_id, kept)``: a document's class of near copies is named by its smallest id."""
     tables = Tables(df.sparkSession, "minhash")
+    small_batches(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     signed = tables.save(docs.select("id", "t").mapInArrow(_sign, SIGNED), "signed")
     print_of = ["f1", "f2", "n"]

@@ -32,17 +32,20 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F, Window as W
 
+from readloom.llm.common import release, small_batches
+
 #: Ids in a block, and about how many in a segment.
 BLOCK, SEGMENT = 2048, 1 << 21
 #: Slots of a prediction table, as a power of two; words a worker remembers.
-TABLE_BITS, CACHE = 11, 150_000
+TABLE_BITS, CACHE = 11, 300_000
 #: Bits of an id that order 0 leaves plain, number of upper parts, and what a sight adds to a count.
 PLAIN_BITS, UPPER, GAIN = 9, 128, 24
 PLAIN = (1 << PLAIN_BITS) - 1
+_PLAIN = np.uint64(PLAIN_BITS)
 MAGIC = b"RLIDS1\0\0"
 
 _MASK = np.uint64((1 << 48) - 1)
-_TOP, _BOT, _WORD = np.uint64(1 << 32), np.uint64(1 << 16), np.uint64(16)
+_TOP, _BOT, _WORD = np.uint64(1 << 32), np.uint64(1 << 27), np.uint64(16)
 _U = np.uint64
 
 
@@ -182,8 +185,8 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
             upper = x[rest] >> PLAIN_BITS
             below = model.upto[rest, upper].astype(np.uint64)
             own = model.upto[rest, upper + 1] - below
-            out.put(rest, below, own, model.upto[rest, UPPER].astype(np.uint64))
-            out.put(rest, (x[rest] & PLAIN).astype(np.uint64), _U(1), _U(PLAIN + 1))
+            plain = (x[rest] & PLAIN).astype(np.uint64)
+            out.put(rest, (below << _PLAIN) + plain * own, own, model.upto[rest, UPPER].astype(np.uint64) << _PLAIN)
             model.count(m, np.where(way == 2, x >> PLAIN_BITS, UPPER))
         model.learn(m, x, way, slots, guess, sure, at)
     return out.finish()
@@ -211,12 +214,12 @@ def decode_blocks(data: np.ndarray, starts: np.ndarray, n_ids: int) -> np.ndarra
         x = np.where(way == 0, guess[0], guess[1]).astype(np.int64)
         rest = np.flatnonzero(way == 2)
         if len(rest):
-            goal = src.peek(rest, model.upto[rest, UPPER].astype(np.uint64)).astype(np.uint16)
-            upper = (model.upto[rest] <= goal[:, None]).sum(1) - 1
+            goal = src.peek(rest, model.upto[rest, UPPER].astype(np.uint64) << _PLAIN)
+            upper = (model.upto[rest] <= (goal >> _PLAIN).astype(np.uint16)[:, None]).sum(1) - 1
             below = model.upto[rest, upper].astype(np.uint64)
-            src.take(rest, below, model.upto[rest, upper + 1] - below)
-            lower = src.peek(rest, _U(PLAIN + 1))
-            src.take(rest, lower, _U(1))
+            own = model.upto[rest, upper + 1] - below
+            lower = (goal - (below << _PLAIN)) // own
+            src.take(rest, (below << _PLAIN) + lower * own, own)
             x[rest] = upper << PLAIN_BITS | lower.astype(np.int64)
             every = np.full(m, UPPER)
             every[rest] = upper
@@ -263,7 +266,7 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 #: Texts of these characters only are split here as the tokenizer's own rules would; others go to it whole.
-_PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ¡¿]*")
+_PLAIN_TEXT = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ¡¿]*")
 _PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 
 
@@ -276,32 +279,45 @@ class WordEncoder:
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True
         self.apart, self.memo = words_apart, {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        self.last = np.zeros(1 << 16, bool)  # ids that end a word
+        for token, i in self.tool.get_vocab(False).items():
+            self.last[i] = token.endswith("</w>")
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of new words. They go to the library in one row, apart by spaces; each ends with one word-end id."""
+        ids = np.array(self.tool.encode(" ".join(words), add_special_tokens=False).ids, np.uint16)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(words) and ends[-1] == len(ids):
+            data = ids.tobytes()
+            at = [0, *(2 * ends).tolist()]
+            self.memo.update((w, data[a:b]) for w, a, b in zip(words, at, at[1:]))
+        else:
+            for w, e in zip(words, self.tool.encode_batch_fast(words, add_special_tokens=False)):
+                self.memo[w] = np.array(e.ids, np.uint16).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 16-bit integers."""
         memo = self.memo
-        if len(memo) > CACHE:
-            memo.clear()
-        out: list = [None] * len(texts)
-        parts, whole, new = [], [], {}
+        out: list = [b""] * len(texts)
+        parts, whole, new = [], [], set()
         for i, t in enumerate(texts):
-            if self.apart and "<|" not in t and _PLAIN.fullmatch(t):
+            if self.apart and "<|" not in t and _PLAIN_TEXT.fullmatch(t):
                 p = _PART.findall(t.lower())
                 parts.append((i, p))
-                for w in set(p):
-                    if w not in memo:
-                        new[w] = None
+                new.update(p)
             else:
                 whole.append(i)
-        names = list(new)
-        for w, e in zip(names, self.tool.encode_batch_fast(names, add_special_tokens=False)):
-            memo[w] = e.ids
+        every = len(new)
+        new.difference_update(memo)
+        if len(memo) + len(new) > CACHE and len(memo) > every:
+            memo.clear()
+            new = {w for _, p in parts for w in p}
+        if new:
+            self.learn(list(new))
         for i, p in parts:
-            ids: list[int] = []
-            for w in p:
-                ids += memo[w]
-            out[i] = ids
+            out[i] = b"".join([memo[w] for w in p])
         for i, e in zip(whole, self.tool.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
-            out[i] = e.ids
+            out[i] = np.array(e.ids, np.uint16).tobytes()
         return out
 
 
@@ -320,6 +336,7 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, end_id: int, text: str
         part, number = TaskContext.get().partitionId(), 0
         tool = WordEncoder(tokenizer, words_apart)
         docs, sizes, held, total = [], [], [], 0
+        end = np.array([end_id], np.uint16).tobytes()
 
         def flush():
             nonlocal number, total
@@ -336,16 +353,17 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, end_id: int, text: str
             for a in range(0, batch.num_rows, 128):
                 texts = [t or "" for t in batch.column(1).slice(a, 128).to_pylist()]
                 for d, ids in zip(batch.column(0).slice(a, 128).to_pylist(), tool.encode(texts)):
-                    ids.append(end_id)
+                    held.append(np.frombuffer(ids + end, np.uint16))
                     docs.append(d)
-                    sizes.append(len(ids))
-                    held.append(np.array(ids, np.uint16))
-                    total += len(ids)
+                    sizes.append(len(held[-1]))
+                    total += len(held[-1])
                     if total >= SEGMENT:
                         yield flush()
         if docs:
             yield flush()
+        release()
 
+    small_batches(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     spread = rows.repartitionByRange(F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first(), "t")
     spread.mapInArrow(run, "part int, segment int, n_ids long, data binary").write.parquet(folder)

@@ -23,21 +23,22 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from readloom.llm.common import drop_names
+from readloom.llm.common import drop_names, release, small_batches
 
 #: Labelled rows that training takes of each class, at most: the lowest by a hash of the id.
-MOST_TOXIC, MOST_CLEAN = 1500, 2500
+MOST_TOXIC, MOST_CLEAN = 1200, 1800
 NGRAMS, BUCKETS, DIM = (3, 4, 5), 1 << 18, 8
 #: Passes, step width, factor on the mean of a text; smoothing and cut of the starting log-odds.
 EPOCHS, RATE, GAIN, SMOOTH, CUT = 20, 0.02, 100.0, 5.0, 1.5
 #: Words whose score a worker remembers.
-CACHE = 200_000
+CACHE = 120_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -57,25 +58,25 @@ class _Sparse:
         for key, other, n in ((rows, cols, n_rows), (cols, rows, n_cols)):
             order = np.argsort(key, kind="stable")
             at, first = np.unique(key[order], return_index=True)
-            self.by.append((other[order], w[order].astype(np.float32)[:, None], at, first, n))
+            self.by.append((other[order].astype(np.int32), w[order].astype(np.float32), at, first, n))
 
     def dot(self, x: np.ndarray, transposed: bool = False) -> np.ndarray:
         other, w, at, first, n = self.by[transposed]
         out = np.zeros((n, x.shape[1]), np.float32)
         if len(at):
-            out[at] = np.add.reduceat(x[other] * w, first, axis=0)
+            for k in range(x.shape[1]):  # a column at a time, so that little memory is needed
+                out[at, k] = np.add.reduceat(np.ascontiguousarray(x[:, k])[other] * w, first)
         return out
 
 
 def _log_odds(doc, word, sizes, col, y, n_buckets) -> np.ndarray:
     """Smoothed log-odds of each bucket to occur in a text of class 1 against class 0, small ones cut."""
     first = np.concatenate([[0], np.cumsum(sizes)])
-    pairs = [np.empty(0, np.int64)]
+    n = np.zeros(2 * n_buckets, np.int64)
     edges = np.flatnonzero(np.diff(doc, prepend=-1))
     for a, b in zip(edges, [*edges[1:], len(doc)]):
         inside = np.unique(np.concatenate([col[first[w] : first[w + 1]] for w in word[a:b]]))
-        pairs.append(inside + y[doc[a]] * n_buckets)
-    n = np.bincount(np.concatenate(pairs), minlength=2 * n_buckets)
+        n[inside + y[doc[a]] * n_buckets] += 1
     size = np.bincount(y, minlength=2)
     odds = np.log((n[n_buckets:] + SMOOTH) / (size[1] + 2 * SMOOTH)) - np.log((n[:n_buckets] + SMOOTH) / (size[0] + 2 * SMOOTH))
     return np.sign(odds) * np.maximum(np.abs(odds) - CUT, 0)
@@ -101,12 +102,16 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> tuple[np.ndarra
     doc, word, weight = doc[kept], word[kept], weight[kept]
     names = list(ids)
     used, word = np.unique(word, return_inverse=True)
-    grams = [buckets(names[i]) for i in used]
-    sizes = np.array([len(g) for g in grams])
+    flat, sizes = array("i"), np.zeros(len(used), np.int64)
+    for i, name in enumerate(used):
+        got = buckets(names[name])
+        flat.extend(got)
+        sizes[i] = len(got)
+    del names, ids
     p = _Sparse(doc, word, weight, len(texts), len(used))
-    flat = np.fromiter((b for g in grams for b in g), np.int64, sizes.sum())
-    seen, col = np.unique(flat, return_inverse=True)
-    q = _Sparse(np.repeat(np.arange(len(used)), sizes), col, np.repeat(1 / sizes, sizes), len(used), len(seen))
+    seen, col = np.unique(np.frombuffer(flat, np.int32), return_inverse=True)
+    col = col.astype(np.int32)
+    q = _Sparse(np.repeat(np.arange(len(used), dtype=np.int32), sizes), col, np.repeat((1 / sizes).astype(np.float32), sizes), len(used), len(seen))
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 1e-3, (len(seen), DIM)).astype(np.float32)
     e[:, 0] = _log_odds(doc, word, sizes, col, y, len(seen))
@@ -185,6 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
 def score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` (columns ``carry``, all by default) with ``score`` and ``predicted``."""
+    small_batches(df.sparkSession)
     keep = drop_names(df.select(*(df.columns if carry is None else carry)), ("score", "predicted", "_t"))
     rows = df.select(*keep, F.col(text).alias("_t"))
     schema = StructType([*(f for f in rows.schema.fields if f.name != "_t"), StructField("score", DoubleType())])
@@ -196,5 +202,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", ca
             t = batch.column(len(keep))
             s = pa.array([scorer.score(x.as_py()) for x in t], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], s], [*batch.schema.names[:-1], "score"])
+        del scorer
+        release()
 
     return rows.mapInArrow(run, schema).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
