@@ -55,11 +55,12 @@ class _Model:
     def __init__(self, n: int):
         size = 1 << TABLE_BITS
         self.n, self.lane = n, np.arange(n)
-        self.base = self.lane * size
+        self.base, self.lane8 = self.lane * size, self.lane * 8
         self.value = [np.full(n * size, -1, np.int32) for _ in range(2)]
         self.sure = [np.zeros(n * size, np.uint8) for _ in range(2)]
         self.prev = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
-        self.ways = [np.full(n * 8 * 3, 2, np.int64) for _ in range(2)]
+        self.ways = [np.full((n * 8, 4), 2, np.int64) for _ in range(2)]
+        self.flat = [w.reshape(-1) for w in self.ways]
         # cumulated counts of the upper part, below 2 ** 16 as a block has few ids
         self.upto = np.tile(np.arange(UPPER + 1, dtype=np.uint16), (n, 1))
         self.place = np.arange(UPPER + 1, dtype=np.uint16)
@@ -70,16 +71,16 @@ class _Model:
         h1 = self.base[:m] + (((a + 1) * 40503 >> 5) & ((1 << TABLE_BITS) - 1))
         h2 = self.base[:m] + (((a * 31153 + b * 58757 + 7) >> 6) & ((1 << TABLE_BITS) - 1))
         slots = (h2, h1)
-        guess = [v[s] for v, s in zip(self.value, slots)]
-        sure = [c[s] for c, s in zip(self.sure, slots)]
-        at2 = (self.lane[:m] * 8 + np.minimum(sure[0], 7)) * 3
-        at1 = (self.lane[:m] * 8 + np.minimum(sure[1], 3) + 4 * (guess[0] == guess[1])) * 3
-        odds = [self.ways[0][at2 + w] + self.ways[1][at1 + w] for w in range(3)]
+        guess = [v.take(s) for v, s in zip(self.value, slots)]
+        sure = [c.take(s) for c, s in zip(self.sure, slots)]
+        at2 = self.lane8[:m] + sure[0]
+        at1 = self.lane8[:m] + np.minimum(sure[1], 3) + 4 * (guess[0] == guess[1])
+        odds = (self.ways[0].take(at2, 0) + self.ways[1].take(at1, 0)).T
         return slots, guess, sure, (at2, at1), odds
 
     def learn(self, m: int, ids, way, slots, guess, sure, at) -> None:
         for k in range(2):
-            self.ways[k][at[k] + way] += 4
+            self.flat[k][at[k] * 4 + way] += 4
             right = guess[k] == ids
             c = sure[k]
             self.sure[k][slots[k]] = np.where(right, np.minimum(c + 1, 7), np.where(c > 1, c >> 1, 1)).astype(np.uint8)
