@@ -28,20 +28,20 @@ WEIGHTS = (5, 2, 1)
 #: No source gives more than so many times its size.
 MOST = 3
 #: Ids in a block of the prefix sum.
-BLOCK = 65_536
+BLOCK = 2_048
 
 OUT = ("size", "source_size", "target", "taken", "copies")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """Target of each source from rows ``(src, size)``: one row per source.
+    """Target of each source from rows ``(src, size, n)``, n documents of a size: one row per source.
 
     Shares of the total by weight; a share above ``most`` times the source's
     size stops there and the excess is shared out again by weight. With sources
     in order of cap over weight, those that stop are a prefix, so the level at
     which the rest stand follows from two running sums.
     """
-    s = sizes.groupBy("src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    s = sizes.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     place = W.orderBy(F.col("src").asc_nulls_last())
     k = F.row_number().over(place) - 1
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (k % len(weights)) + 1)
@@ -77,12 +77,12 @@ def mix(
     rows = df.select(
         *keep, F.col(source).alias("_src"), F.col(doc_id).cast("long").alias("_id"), F.size(words(F.col(text))).cast("long").alias("size")
     )
-    rows = tables.save(rows, "sizes")
     block = F.floor(F.col("_id") / BLOCK).alias("_b")
-    counts = rows.groupBy("_src", "size", block).agg(F.count(F.lit(1)).alias("n"))
+    # texts are read twice, for the counts and for the rows, rather than written once more
+    counts = tables.save(rows.groupBy("_src", "size", block).agg(F.count(F.lit(1)).alias("n")), "counts")
     running = W.partitionBy("_src").orderBy("size", F.col("_b").asc_nulls_last())
     before = counts.withColumn("before", F.sum("n").over(running) - F.col("n"))
-    targets = source_targets(rows.select(F.col("_src").alias("src"), "size"))
+    targets = source_targets(counts.select(F.col("_src").alias("src"), "size", "n"))
     before = before.alias("c").join(targets.alias("t"), F.col("c._src").eqNullSafe(F.col("t.src"))).select(
         F.col("c._src").alias("_s"), F.col("c.size").alias("_z"), "_b", "before", "source_size", "target"
     )
