@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from readloom.functions import sequence as S
-from readloom.session import table
+from readloom.session import spread, table
 
 READ, CONTIG = 100, 400
 #: Windows a document can have at most.
@@ -15,7 +15,8 @@ SPAN = 1_000_000
 def sequences(spark: SparkSession, sf_dir: str, bases: str = S.BASES, source: str = "documents", key: str = "doc_id") -> DataFrame:
     """``(doc_id, seq)``: a text's letters as bases."""
     letters = F.regexp_replace("text", "[^a-zA-Z]", "")
-    return table(spark, sf_dir, source).where("text is not null").select(key, F.translate(letters, S.LETTERS, bases).alias("seq"))
+    texts = spread(table(spark, sf_dir, source).where("text is not null").select(key, "text"))
+    return texts.select(key, F.translate(letters, S.LETTERS, bases).alias("seq"))
 
 
 def windows(seqs: DataFrame, width: int, whole: bool, name: str) -> DataFrame:
