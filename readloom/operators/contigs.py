@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from readloom.functions import sequence as S
 from readloom.operators.components import connected_components
-from readloom.session import broadcast_if_small
+from readloom.session import Tables, broadcast_if_small
 
 
 def contig_kmers(contigs: DataFrame, k: int, key: str = "contig_id", seq: str = "seq") -> DataFrame:
@@ -17,12 +17,14 @@ def contig_kmers(contigs: DataFrame, k: int, key: str = "contig_id", seq: str =
 def contig_edges(contigs: DataFrame, k: int = 24) -> DataFrame:
     """``(src, dst, w)``: pairs of contigs and the number of position pairs with equal k-mers.
 
-    Rows are dealt by k-mer once; counting for each contig, leaving out k-mers
-    of one contig and the self join all keep that partitioning. The join meets
-    one row a contig however often a k-mer repeats inside it.
+    Rows are dealt by k-mer once, for counting in each contig and for leaving
+    out k-mers of one contig. The rest, a small part, is written, so that the
+    self join does not make it twice. The join meets one row a contig however
+    often a k-mer repeats inside it.
     """
     n = contig_kmers(contigs, k).repartition("kmer").groupBy("kmer", "contig_id").agg(F.count(F.lit(1)).alias("n"))
     n = n.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("kmer"))).where("m > 1").drop("m")
+    n = Tables(contigs.sparkSession, "contig-edges").save(n, "shared")
     a, b = n.alias("a"), n.alias("b")
     both = a.join(b, (F.col("a.kmer") == F.col("b.kmer")) & (F.col("a.contig_id") < F.col("b.contig_id")))
     return both.groupBy(F.col("a.contig_id").alias("src"), F.col("b.contig_id").alias("dst")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("w"))
