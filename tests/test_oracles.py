@@ -1,8 +1,8 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
-import math
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,11 +22,11 @@ def duck():
 
 def canonical(frame):
     def cell(v):
-        if v is None or isinstance(v, float) and math.isnan(v):
+        if hasattr(v, "__len__") and not isinstance(v, str):
+            return str(list(v))
+        if pd.isna(v):
             return None
-        if isinstance(v, float):
-            return f"{v:.9g}"
-        return str(list(v)) if hasattr(v, "__len__") and not isinstance(v, str) else str(v)
+        return f"{v:.9g}" if isinstance(v, float) else str(v)
 
     cols = sorted(frame.columns)
     return cols, sorted((tuple(cell(v) for v in row) for row in frame[cols].astype(object).itertuples(index=False)), key=str)
