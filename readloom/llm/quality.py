@@ -37,9 +37,9 @@ SUPPORT = 0.75
 STEPS = 3
 #: Groups with fewer usable rows are judged by the estimate over all rows.
 MIN_GROUP = 200
-#: Chi-square quantile of 5 degrees of freedom at SUPPORT, and the rejection limit
-#: (a clean normal row passes it with a chance of about 3e-9).
-CHI2_SUPPORT, CUTOFF = 6.6257, 50.0
+#: Chi-square quantiles of 5 degrees of freedom: at SUPPORT, and at 1 - 1e-5 as the rejection limit
+#: (a clean normal row lies beyond it with a chance of 1e-5).
+CHI2_SUPPORT, CUTOFF = 6.6257, 30.856
 #: Least standard deviation of each coordinate: log words, log letters a word,
 #: root of symbol share, log repeated lines, root of repeated-word share.
 FLOOR = (0.5, 0.05, 0.06, 0.35, 0.12)

@@ -71,6 +71,20 @@ def test_outliers_are_rejected_and_the_rest_kept(spark):
     assert not any(r.kept for r in got if r.doc_id >= 1000)
 
 
+def test_texts_with_an_eighth_of_symbols_are_rejected(spark):
+    """Symbol shares of 11 to 14 %, and none in the rest of the group."""
+    import random
+
+    rnd = random.Random(2)
+    word = lambda i, mark: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(4, 9) - (i % 6 < mark))) + "|" * (i % 6 < mark)
+    text = lambda mark: " ".join(word(i, mark) for i in range(rnd.randint(60, 400)))
+    rows = [(i, text(0), "en", "s", 1) for i in range(400)] + [(1000 + i, text(5), "en", "s", 1) for i in range(20)]
+    got = quality.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(0.11 < r.n_symbols / r.word_chars < 0.15 for r in got if r.doc_id >= 1000)
+    assert all(r.kept == (r.doc_id < 1000) for r in got)
+    assert not any(r.base_failed for r in got)
+
+
 def brute_targets(sizes, weights=(5, 2, 1), most=3):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
