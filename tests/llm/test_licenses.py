@@ -1,6 +1,7 @@
 """License scan against brute force on words, and suppression."""
 
 import re
+import re._parser as sre
 
 from pyspark.sql import functions as F
 
@@ -55,5 +56,78 @@ def test_every_rule_passes_the_prefilter_keywords():
         assert rank in (1, 2, 3, 4) and label and key == key.lower()
 
 
+def example(tree, space):
+    """The shortest text that a parsed regex matches, with ``space`` for white space."""
+    out = ""
+    for op, arg in tree:
+        if op is sre.LITERAL:
+            out += chr(arg)
+        elif op is sre.ANY:
+            out += "x"
+        elif op is sre.IN:
+            o, a = arg[0]
+            assert o in (sre.LITERAL, sre.CATEGORY)
+            out += chr(a) if o is sre.LITERAL else {sre.CATEGORY_SPACE: space, sre.CATEGORY_DIGIT: "4", sre.CATEGORY_NOT_SPACE: "x"}[a]
+        elif op is sre.BRANCH:
+            out += example(arg[1][0], space)
+        elif op is sre.SUBPATTERN:
+            out += example(arg[3], space)
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            out += example(arg[2], space) * arg[0]
+        elif op is sre.ASSERT:
+            out += example(arg[1], space)
+        else:
+            assert op in (sre.AT, sre.ASSERT_NOT), op
+    return out
+
+
+def ascii_upper(t):
+    return "".join(c.upper() if c.isascii() else c for c in t)
+
+
+def test_every_rule_finds_its_own_text_alone_and_wrapped(spark):
+    texts = []
+    for i, (_, _, _, regex) in enumerate(licenses.rules()):
+        for space in (" ", "\n", " \t\r\n"):
+            t = example(sre.parse(regex), space)
+            for x in (t, ascii_upper(t), t.lower()):
+                assert re.search(f"(?is){regex}", x), (regex, x)
+                texts.append((len(texts), i, x))
+    d = spark.createDataFrame(texts, "doc_id long, rule int, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(d).collect()}
+    missed = {licenses.rules()[r.rule][1:4:2] for r in got.values() if not r.labels}
+    assert not missed
+    # every rule that matches by brute force passes gate and keys
+    every = [(re.compile(f"(?is){regex}"), [x.split("|") for x in key.split("&")]) for _, _, key, regex in licenses.rules()]
+    for t in sorted({t for _, _, t in texts} | set(filter(None, TEXTS))):
+        low = t.lower()
+        for regex, sets in every:
+            if regex.search(t):
+                assert all(any(k in low for k in x) for x in sets), (regex, t)
+                assert any(k in low for k in licenses.GATES), (regex, t)
+
+
+def test_gates_are_implied_by_every_rule():
+    for _, _, _, regex in licenses.rules():
+        sets = licenses._needed(sre.parse(regex))
+        assert any(all(any(g in word for g in licenses.GATES) for word in x) for x in sets), regex
+
+
+def test_texts_that_the_gates_lost(spark):
+    wanted = {
+        "Altered source versions must be plainly marked as such": "zlib",
+        "Neither the name of X nor those of others may be used to endorse or promote": "bsd-3-clause",
+        "you may use it on the same terms as\nPerl itself": "perl",
+        "https://joinup.ec.europa.eu/page/eupl-text-11-12": "eupl-1.2",
+        "released under the Apache\nSoftware 2.0": "apache-2",
+        "given under the terms of the zlib/libpng": "zlib",
+        "Alle Rechte\nvorbehalten": "all-rights-reserved",
+        "under the European\nUnion Public Licence": "eupl-1.2",
+    }
+    d = spark.createDataFrame(list(enumerate(wanted)), "doc_id long, text string")
+    got = {r.text: r.labels for r in licenses.scan_licenses(d).collect()}
+    assert got == wanted
+
+
 def test_empty_table(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
