@@ -142,3 +142,30 @@ def test_small_variants(exons):
     assert exons[0] + exons[5] + exons[3] in V.all_sequences(g)
     pre, post = V.longest_sides([0, 1, 2], {0: {1: 1}, 1: {2: 1}, 2: {}}, {0: {}, 1: {0: 1}, 2: {1: 1}}, {0: 5, 1: 6, 2: 7})
     assert pre == {0: 0, 1: 5, 2: 11} and post == {0: 13, 1: 7, 2: 0}
+
+
+def test_edges_cut_from_cycles_are_the_lightest_and_leave_none():
+    rnd = random.Random(5)
+    for n in (2, 3, 5, 9, 30):
+        for _ in range(40):
+            edges = {(a, b): float(rnd.randint(1, 9)) for a, b in itertools.permutations(range(n), 2) if rnd.random() < 2 / n}
+            left, cut = flow.acyclic(edges)
+            out = {v: [b for a, b in left if a == v] for v in range(n)}
+            assert len(flow.topological(range(n), out)) == n
+            assert left | cut == edges and not left.keys() & cut.keys()
+    assert flow.acyclic({(1, 2): 5.0, (2, 3): 1.0, (3, 1): 4.0})[1] == {(2, 3): 1.0}
+
+
+def test_component_paths_with_a_cycle_a_ring_and_a_large_component(spark):
+    from readloom.plans.assembly import component_paths
+
+    cycle = [(1, 2, 9.0), (2, 3, 9.0), (3, 4, 9.0), (3, 2, 1.0)]  # source 1, sink 4
+    ring = [(11, 12, 3.0), (12, 13, 2.0), (13, 11, 4.0)]
+    star = [(100 + i, 50_000, 1.0) for i in range(10_001)]  # more partial paths than the default limit
+    d = spark.createDataFrame(cycle + ring + star, "a long, b long, w double")
+    got = {}
+    for r in component_paths(d).collect():
+        got.setdefault(r.component, {})[tuple(r.path)] = r.weight
+    assert got[1] == {(1, 2, 3, 4): 9.0, (3, 2): 1.0}
+    assert got[11] == {(13, 11, 12): 3.0, (12, 13): 2.0}
+    assert got[100] == {(100 + i, 50_000): 1.0 for i in range(10_001)}
