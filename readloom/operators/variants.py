@@ -124,12 +124,12 @@ def eulerian_walk(edges: list[tuple]) -> list | None:
     return walk[::-1] if len(walk) == len(edges) + 1 else None
 
 
-def all_sequences(graph, most_visits: int = 2, most: int = 1000) -> list[str]:
+def all_sequences(graph, most_visits: int = 2) -> list[str]:
     """Sequences of all walks from sources to sinks that visit a node at most so often."""
     found = []
     for root in sorted(v for v in graph.seq if not graph.inn[v]):
         stack = [(root,)]
-        while stack and len(found) < most:
+        while stack:
             path = stack.pop()
             nxt = [w for w in sorted(graph.out[path[-1]], reverse=True) if path.count(w) < most_visits]
             if not graph.out[path[-1]]:

@@ -169,3 +169,13 @@ def test_component_paths_with_a_cycle_a_ring_and_a_large_component(spark):
     assert got[1] == {(1, 2, 3, 4): 9.0, (3, 2): 1.0}
     assert got[11] == {(13, 11, 12): 3.0, (12, 13): 2.0}
     assert got[100] == {(100 + i, 50_000): 1.0 for i in range(10_001)}
+
+
+def test_all_sequences_gives_more_than_a_thousand_walks():
+    from types import SimpleNamespace
+
+    n = 33  # eleven bubbles: 0 to 1 or 2 to 3, and so on
+    out = {v: [v + 1, v + 2] if v % 3 == 0 else [v - v % 3 + 3] for v in range(n)} | {n: []}
+    inn = {v: [u for u in out if v in out[u]] for v in out}
+    got = V.all_sequences(SimpleNamespace(seq=dict.fromkeys(out, ""), out=out, inn=inn, spell=lambda p: "-".join(map(str, p))))
+    assert len(got) == len(set(got)) == 2**11
