@@ -21,9 +21,11 @@ Comparisons are exact, on whole texts.
 
 Defined results: null texts and texts without words link with nothing; texts of
 fewer than five words are one shingle; letters A-Z count as a-z; rows with a
-null id get a null component and are kept; rows of equal id are one document; an
-empty table gives an empty result; input columns beside id and text are not
-returned.
+null id get a null component and are kept; rows of equal id are one document,
+of which one row is kept; ties (equal texts) go to the smallest id; a very long
+text is worked on alone, in memory of some hundred bytes a word; an empty table
+gives an empty result; input columns beside id and text are not returned, so
+none can clash.
 """
 
 from __future__ import annotations
@@ -43,8 +45,12 @@ from readloom.session import Tables
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
 K = BANDS * ROWS
-#: Bytes of text that are worked on together.
+#: Bytes of text that are worked on together. However short a text is, it takes about ``K ln K + 2 K`` darts, which
+#: weigh as much as so many bytes.
 SLICE = 1 << 19
+DARTS = math.ceil(K * math.log(K) + 2 * K)
+#: Partners of a text that are compared to it in one group; a text with more of them has several groups.
+PARTNERS = 256
 #: Buckets up to this size are compared pair by pair, larger ones as blocks of so many rows.
 SMALL, BLOCK = 32, 512
 #: Columns of an incidence matrix that are multiplied at once.
@@ -189,8 +195,10 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _slices(lengths: np.ndarray):
+    """Ranges of texts of so many bytes whose bytes and darts stay below ``SLICE``; a longer text is alone."""
     first = total = 0
     for i, n in enumerate(lengths):
+        n += 2 * DARTS
         if total and total + n > SLICE:
             yield first, i
             first, total = i, 0
@@ -239,32 +247,46 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _compare(batches):
-    """Rows (a, b, text of a, text of b) that reach the threshold."""
+    """Groups of (a, part, b, text), each led by the text of ``a`` itself (null ``b``), to the pairs that reach the threshold."""
+    own, centre = None, None
     for batch in batches:
-        sides = []
-        for c in (2, 3):
-            texts = batch.column(c).cast(pa.large_string())
-            _, offsets = _buffers(texts)
-            parts = []
-            for x, y in _slices(np.diff(offsets)):
-                key, doc = regions(*_buffers(texts.slice(x, y - x)))
-                parts += np.split(key, np.cumsum(np.bincount(doc, minlength=y - x))[:-1])
-            sides.append(parts)
-        ok = pa.array([similarity(p, q) >= THRESHOLD for p, q in zip(*sides)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ok], ["a", "b", "ok"])
+        texts = batch.column(3).cast(pa.large_string())
+        _, offsets = _buffers(texts)
+        keys = []
+        for x, y in _slices(np.diff(offsets)):
+            key, doc = regions(*_buffers(texts.slice(x, y - x)))
+            keys += np.split(key, np.cumsum(np.bincount(doc, minlength=y - x))[:-1])
+        out_a, out_b = [], []
+        for a, b, part, key in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1).to_pylist(), keys):
+            if b is None:
+                own, centre = (a, part), key.copy()
+            elif own == (a, part) and similarity(centre, key) >= THRESHOLD:
+                out_a.append(a)
+                out_b.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
     release()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, tables: Tables, name: str) -> DataFrame:
-    """The pairs ``(a, b)`` with a flag whether their texts reach the threshold."""
-    pairs = tables.save(pairs, name)
+    """The pairs of a written table ``(a, b)`` whose texts reach the threshold.
+
+    Pairs of one ``a`` are groups of about ``PARTNERS``, and the text of ``a``
+    goes once to each group. So a text with very many partners is many groups in
+    many tasks, and is not copied to each of its pairs.
+    """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     ids = tables.save(ids, name + "-ids")
     texts = tables.save(_texts_of(ids, docs), name + "-texts")
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
-    schema = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("ok", BooleanType())])
-    out = tables.save(both.mapInArrow(_compare, schema), name + "-ok")
+    hubs = tables.save(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts")).where("parts > 1"), name + "-hubs")
+    slim = F.broadcast(hubs) if hubs.count() <= FEW_IDS else hubs
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(slim, "a", "left").select("a", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"), "b")
+    groups = pairs.select("a").distinct().join(slim, "a", "left").select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    lead = groups.join(texts.select(F.col("id").alias("a"), "t"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "t")
+    rows = lead.union(dealt.join(texts.select(F.col("id").alias("b"), "t"), "b").select("a", "part", "b", "t"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    out = tables.save(rows.mapInArrow(_compare, "a long, b long"), name + "-ok")
     tables.drop(texts)
     return out
 
@@ -360,8 +382,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     shared = tables.save(members.join(buckets, "key"), "buckets")
     star = shared.where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
     texts = docs.where("id is not null")
-    first = _confirmed(star, texts, tables, "stars")
-    near = first.where("ok").select("a", "b")
+    star = tables.save(star, "stars")
+    first = _confirmed(star, texts, tables, "star")
+    near = first
     part = tables.save(connected_components(near, "a", "b"), "parts")
     placed = shared.join(part, shared.rep == part.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
@@ -370,12 +393,21 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     x, y = few.alias("x"), few.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")))
     pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    second = _confirmed(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), texts, tables, "pairs")
-    links = near.union(second.where("ok").select("a", "b")).union(_linked_in_blocks(rest.where(F.col("size") > SMALL), texts, tables))
+    second = _confirmed(tables.save(pairs.join(star, ["a", "b"], "left_anti"), "pairs"), texts, tables, "rest")
+    links = near.union(second).union(_linked_in_blocks(rest.where(F.col("size") > SMALL), texts, tables))
     # equal ids with different texts are one document: their classes belong together
     same = worded.join(classes.where("copies > 0").select(*print_of, "rep"), print_of).select("doc_id", "rep")
     same = same.where("doc_id != rep").distinct()
     whole = tables.save(connected_components(links.union(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "a", "b"), "whole")
     out = signed.select("doc_id").join(whole, signed.doc_id == whole.node, "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # of rows that repeat an id one is kept; rows without an id are apart from each other
+    again = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = tables.save(again.select(F.col("doc_id").alias("node")), "again")
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    out = out.select("doc_id", component.alias("component_id"), kept.alias("kept"))
+    if again.isEmpty():
+        return out
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("component_id"))
+    many = out.join(again, out.doc_id == again.node, "left_semi").withColumn("kept", F.col("kept") & (place == 1))
+    return out.join(again, out.doc_id == again.node, "left_anti").union(many)
