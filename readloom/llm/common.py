@@ -30,6 +30,31 @@ def drop_names(df, names) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def hold(df, names: list[str]) -> Column:
+    """Columns ``names`` of ``df`` as one struct ``held``.
+
+    Beside it an operator's own columns may have any name: they can't clash
+    with the input's. ``let_go`` gives the columns back.
+    """
+    return F.struct(F.lit(0).alias(""), *(F.col(quoted(n)).alias(n) for n in names)).alias("held")
+
+
+def let_go(names: list[str]) -> list[Column]:
+    return [F.col("held").getField(n).alias(n) for n in names]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(df) -> str:
+    """A column name that ``df`` doesn't have."""
+    name, taken = "_text", {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 #: Bytes of a batch of rows on their way to Python.
 BATCH_BYTES = 4 << 20
 

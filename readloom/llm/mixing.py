@@ -6,29 +6,37 @@ offset is added, and a document is emitted once for each integer boundary that
 its part of the sum crosses. Because equal sizes stand together, the taken
 words differ from the target by little more than the largest document.
 
-The prefix is computed in two levels: counts per (source, size, id block) are
-summed over that small table, and rows are numbered inside a block only. So a
-source that holds a third of all rows is many blocks, not one task.
+The prefix is computed in levels. A source is summed over its sizes: one row
+for each size that occurs, however many documents have it. Documents of one size
+are cut into ranges of ids, about ``BLOCK`` documents each by the span of their
+ids; ranges are summed within the size and rows are numbered within a range
+only. So neither a source that holds a third of all rows nor a size that does
+(all texts empty, say) is one task.
 
 Defined results: null text has size 0; null source is the last source; a
-source of size 0 has target 0 and gives no copy; repeated rows are documents of
-their own; an empty table gives an empty result; input columns named like an
-output column are replaced by it.
+source of size 0 has target 0 and gives no copy; rows with a null id stand last
+of their size; repeated rows and rows of equal id are documents of their own,
+their order among each other is free; a very long text is one document of its
+size, split into words within its row; an empty table gives an empty result;
+input columns named like an output column are replaced by it, no other name
+clashes.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from readloom.llm.common import drop_names, words
-from readloom.session import Tables
+from readloom.llm.common import drop_names, hold, let_go, quoted, words
+from readloom.session import Tables, broadcast_if_small
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
 #: No source gives more than so many times its size.
 MOST = 3
-#: Ids in a block of the prefix sum.
-BLOCK = 2_048
+#: Documents in a range of ids, if ids are spread evenly.
+BLOCK = 100_000
+#: Range of the documents without an id, behind all others.
+NULL_RANGE = 1 << 60
 
 OUT = ("size", "source_size", "target", "taken", "copies")
 
@@ -70,37 +78,51 @@ def mix(
 ) -> DataFrame:
     """Rows of ``df`` (columns ``carry``, all by default) with ``size``,
     ``source_size``, ``target``, ``taken`` and ``copies``."""
-    spark = df.sparkSession
-    tables = Tables(spark, "mixing")
-    carry = list(df.columns if carry is None else carry)
-    keep = drop_names(df.select(*carry), (*OUT, "_src", "_id"))
+    tables = Tables(df.sparkSession, "mixing")
+    keep = drop_names(df.select(*map(quoted, df.columns if carry is None else carry)), OUT)
     rows = df.select(
-        *keep, F.col(source).alias("_src"), F.col(doc_id).cast("long").alias("_id"), F.size(words(F.col(text))).cast("long").alias("size")
-    )
-    block = F.floor(F.col("_id") / BLOCK).alias("_b")
-    # texts are read twice, for the counts and for the rows, rather than written once more
-    counts = tables.save(rows.groupBy("_src", "size", block).agg(F.count(F.lit(1)).alias("n")), "counts")
-    running = W.partitionBy("_src").orderBy("size", F.col("_b").asc_nulls_last())
-    before = counts.withColumn("before", F.sum("n").over(running) - F.col("n"))
-    targets = source_targets(counts.select(F.col("_src").alias("src"), "size", "n"))
-    before = before.alias("c").join(targets.alias("t"), F.col("c._src").eqNullSafe(F.col("t.src"))).select(
-        F.col("c._src").alias("_s"), F.col("c.size").alias("_z"), "_b", "before", "source_size", "target"
-    )
-    at = W.partitionBy("_src", "size", "_b").orderBy(F.col("_id").asc_nulls_last())
-    numbered = rows.withColumn("_b", block).withColumn("_k", F.row_number().over(at))
-    r = numbered.alias("r").join(
-        before.alias("p"),
-        F.col("r._src").eqNullSafe(F.col("p._s")) & (F.col("r.size") == F.col("p._z")) & F.col("r._b").eqNullSafe(F.col("p._b")),
+        hold(df, keep),
+        F.col(source).cast("string").alias("src"),
+        F.col(doc_id).cast("long").alias("id"),
+        F.size(words(F.col(text))).cast("long").alias("size"),
     )
+    if text in keep:  # texts are split twice rather than written once more
+        slim = tables.save(rows.select("src", "id", "size"), "sizes")
+    else:
+        slim = rows = tables.save(rows, "sizes")
+    # a row for each size of a source: its documents and the span of their ids
+    n = F.count(F.lit(1)).alias("n")
+    cells = tables.save(slim.groupBy("src", "size").agg(n, F.min("id").alias("lo"), F.max("id").alias("hi")), "cells")
+    targets = source_targets(cells.select("src", "size", "n"))
+    cell = cells.withColumn("before", F.sum("n").over(W.partitionBy("src").orderBy("size")) - F.col("n")).alias("c")
+    cell = cell.join(targets.alias("t"), F.col("c.src").eqNullSafe(F.col("t.src")))
+    step = F.greatest(F.ceil((F.col("hi").cast("double") - F.col("lo") + 1) / F.ceil(F.col("n") / BLOCK)), F.lit(1))
+    whole = F.col("n") <= BLOCK
+    cell = cell.select(F.col("c.src").alias("s"), F.col("c.size").alias("z"), "before", "lo", step.alias("step"), whole.alias("whole"), "source_size", "target")
+    cell = broadcast_if_small(tables.save(cell, "prefix"))
+
+    def placed(d: DataFrame) -> DataFrame:
+        """Rows with what their size has before it, and their range."""
+        d = d.join(cell, F.col("src").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
+        at = F.floor((F.col("id").cast("double") - F.col("lo")) / F.col("step")).cast("long")
+        return d.withColumn("range", F.when(F.col("whole"), 0).otherwise(F.coalesce(at, F.lit(NULL_RANGE))))
+
+    # ranges of the sizes that have several
+    ranges = tables.save(placed(slim).where("not whole").groupBy("src", "size", "range").agg(n), "ranges")
+    lower = W.partitionBy("src", "size").orderBy("range")
+    ranges = ranges.withColumn("inside", F.sum("n").over(lower) - F.col("n"))
+    ranges = broadcast_if_small(tables.save(ranges.select(F.col("src").alias("s"), F.col("size").alias("z"), F.col("range").alias("g"), "inside"), "inside"))
+    at = W.partitionBy("src", "size", "range").orderBy(F.col("id").asc_nulls_last())
+    r = placed(rows).withColumn("k", F.row_number().over(at))
+    r = r.join(ranges, F.col("src").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("range") == F.col("g")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    k = F.col("before") + F.col("_k")
-    u = offset(F.col("_src"), seed)
-    copies = (F.floor(u + k * rate) - F.floor(u + (k - 1) * rate)).cast("long")
-    return r.select(*(F.col(f"r.{c}").alias(c) for c in keep), F.col("r.size").alias("size"), "source_size", "target", copies.alias("copies")).withColumn(
-        "taken", F.col("copies") * F.col("size")
-    )
+    upto = F.col("before") + F.coalesce("inside", F.lit(0)) + F.col("k")
+    u = offset(F.col("src"), seed)
+    copies = (F.floor(u + upto * rate) - F.floor(u + (upto - 1) * rate)).cast("long")
+    return r.select(*let_go(keep), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: every document as often as it was taken."""
-    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_c")).drop("_c")
+    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return mixed.where("copies > 0").select(hold(mixed, columns), again).select(*let_go(columns))

@@ -1,6 +1,6 @@
 """Uniform shuffle into shards of exact sizes, in SQL functions only.
 
-Rows lie in ``PARTS`` partitions by a hash of their id. How many rows of each
+Rows lie in partitions by a hash of their id, about ``ROWS`` in each. How many rows of each
 partition go to each shard is a random matrix with the partitions' and the
 shards' sizes as margins: the communication matrix of a uniform permutation,
 whose law is multivariate hypergeometric. It is drawn by halving: the rows a
@@ -12,9 +12,14 @@ them, and every shard permutes what it got.
 Shard sizes differ by one at most (law ``rows``). All randomness comes from
 hashes of the seed, so that a lost executor's rows get the same place again.
 
-Defined results: null text has no bytes; repeated rows are placed one by one
-(equal rows are interchangeable); an empty table gives an empty result; input
-columns named like an output column are replaced by it.
+ln n! is in double precision: beyond 1e11 rows its rounding (1e-4) shifts single
+draws a little, never a size.
+
+Defined results: null text has no bytes; rows with a null id are placed like
+others; repeated rows are placed one by one (equal rows are interchangeable);
+ties of a hash are ordered by id and ``ties``; a very long text is a row as any
+other; an empty table gives an empty result; input columns named like an output
+column are replaced by it, no other name clashes.
 """
 
 from __future__ import annotations
@@ -23,11 +28,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from readloom.llm.common import drop_names, hash_unit, let
-from readloom.session import Tables
+from readloom.llm.common import drop_names, hash_unit, hold, let, let_go
+from readloom.session import Tables, broadcast_if_small
 
-#: Partitions that rows are exchanged from, and parts that a shard's order is made in; powers of two.
-PARTS, SUBPARTS = 256, 64
+#: Rows of a partition, about; least number of partitions, a power of two; most rows of a matrix that is broadcast.
+ROWS, PARTS, MOST_PARTS = 1_000_000, 256, 1_000_000
 OUT = ("shard", "slot")
 
 _LN_SMALL = [math.lgamma(k + 1) for k in range(16)]
@@ -82,6 +87,11 @@ def hypergeometric(wanted: Column, others: Column, draws: Column, u: Column) ->
     return let(F.struct(wanted.alias("w"), others.alias("o"), draws.alias("n"), u.alias("u")), at)
 
 
+def partitions(rows: int) -> int:
+    """Number of partitions for so many rows, a power of two: their sizes stay alike however large the table is."""
+    return max(PARTS, 1 << math.ceil(math.log2(max(rows / ROWS, 1))))
+
+
 def shard_sizes(total: Column, shards: int) -> Column:
     """Sizes of the shards: the first ``total mod shards`` have one row more."""
     return F.transform(
@@ -115,14 +125,10 @@ def communication_matrix(counts: DataFrame, shards: int, seed: int, parts: int =
     ``counts`` has ``(part, n)``. Its rows are at most ``parts``, which bounds the
     array that the halving starts from.
     """
-    by_part = F.transform(
-        F.sequence(F.lit(0), F.lit(parts - 1)),
-        lambda p: F.coalesce(F.get(F.map_values(F.map_filter(F.col("m"), lambda k, v: k == p)), F.lit(0)), F.lit(0).cast("long")),
-    )
-    root = counts.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    node = root.select(
-        F.lit(0).alias("node"), by_part.alias("sizes"), shard_sizes(F.col("total"), shards).alias("caps")
-    )
+    every = counts.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"))
+    every = every.join(counts, "part", "left").select("part", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    root = every.groupBy().agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("m"), F.sum("n").alias("total"))
+    node = root.select(F.lit(0).alias("node"), F.transform("m", lambda x: x["n"]).alias("sizes"), shard_sizes(F.col("total"), shards).alias("caps"))
     for level in range(int(math.log2(parts))):
         half = parts >> (level + 1)
         add = lambda a, x: a + x
@@ -153,25 +159,29 @@ def shuffle_into_shards(df: DataFrame, shards: int, doc_id: str = "doc_id", ties
     ``ties``: columns that tell rows of equal id apart.
     """
     tables = Tables(df.sparkSession, "sharding")
-    keep = drop_names(df, (*OUT, "part", "h1", "h2"))
+    keep = drop_names(df, OUT)
     own = [F.col(doc_id), *(F.col(c) for c in ties)]
     rows = df.select(
-        *keep,
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("part"), *own), 64 - int(math.log2(PARTS))).cast("int").alias("part"),
-        F.xxhash64(F.lit(seed), F.lit("first"), *own).alias("h1"),
-        F.xxhash64(F.lit(seed), F.lit("second"), *own).alias("h2"),
+        hold(df, keep),
+        *(c.alias(f"o{i}") for i, c in enumerate(own)),
+        *(F.xxhash64(F.lit(seed), F.lit(x), *own).alias(h) for h, x in (("h0", "part"), ("h1", "first"), ("h2", "second"))),
     )
     rows = tables.save(rows, "rows")
-    matrix = tables.save(communication_matrix(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")), shards, seed), "matrix")
-    # the matrix has PARTS * shards rows at most; as one list a partition it is PARTS rows
+    parts = partitions(rows.count())
+    rows = rows.withColumn("part", F.shiftrightunsigned("h0", 64 - int(math.log2(parts))).cast("int"))
+    matrix = tables.save(communication_matrix(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")), shards, seed, parts), "matrix")
+    # the matrix has a row for each partition and shard at most; as one list a partition it is ``parts`` rows
     lists = matrix.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "shard"))).alias("cells"))
-    first = W.partitionBy("part").orderBy("h1", *own)
-    placed = rows.withColumn("_k", F.row_number().over(first) - 1).join(F.broadcast(lists), "part")
-    mine = F.filter("cells", lambda c: (c["lo"] <= F.col("_k")) & (F.col("_k") < c["hi"]))
-    sub = F.shiftrightunsigned(F.col("h2"), 64 - int(math.log2(SUBPARTS))).cast("int")
-    placed = tables.save(placed.select(*keep, "h2", mine[0]["shard"].alias("shard"), sub.alias("_sub")), "placed")
-    sizes = placed.groupBy("shard", "_sub").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(W.partitionBy("shard").orderBy("_sub")) - F.col("n")).drop("n")
-    second = W.partitionBy("shard", "_sub").orderBy("h2", *own)
-    out = placed.withColumn("_k", F.row_number().over(second) - 1).join(F.broadcast(before), ["shard", "_sub"])
-    return out.select(*keep, "shard", (F.col("before") + F.col("_k")).alias("slot"))
+    lists = broadcast_if_small(tables.save(lists, "lists"), MOST_PARTS // shards)
+    order = [F.col(f"o{i}") for i in range(len(own))]
+    first = W.partitionBy("part").orderBy("h1", *order)
+    placed = rows.withColumn("k", F.row_number().over(first) - 1).join(lists, "part")
+    mine = F.filter("cells", lambda c: (c["lo"] <= F.col("k")) & (F.col("k") < c["hi"]))
+    sub = F.shiftrightunsigned(F.col("h2"), 64 - int(math.log2(parts))).cast("int")
+    placed = tables.save(placed.select("held", "h2", *order, mine[0]["shard"].alias("shard"), sub.alias("sub")), "placed")
+    sizes = placed.groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(W.partitionBy("shard").orderBy("sub")) - F.col("n")).drop("n")
+    before = broadcast_if_small(tables.save(before, "before"), MOST_PARTS)
+    second = W.partitionBy("shard", "sub").orderBy("h2", *order)
+    out = placed.withColumn("k", F.row_number().over(second) - 1).join(before, ["shard", "sub"])
+    return out.select(*let_go(keep), "shard", (F.col("before") + F.col("k")).alias("slot"))

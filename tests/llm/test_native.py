@@ -148,6 +148,13 @@ def test_hypergeometric_law(spark):
         assert abs(counts.get(k, 0) - want) <= 1.01
 
 
+#: Names that operators give to columns of their own, or may come to give.
+CLASH = (
+    *("size", "kept", "shard", "part", "n_words", "slot", "_g", "h1", "held", "src", "id", "range", "before", "cells", "sub", "k", "_k", "_b"),
+    *("g", "x0", "f00", "m0", "n", "b", "d2", "o0", "_text", "_t", "start", "s", "z", "lo", "copies", "_r", "t"),
+)
+
+
 @pytest.mark.parametrize("op", ["quality", "mix", "shard"])
 def test_empty_and_clashing_columns(spark, op):
     run = {
@@ -155,11 +162,26 @@ def test_empty_and_clashing_columns(spark, op):
         "mix": lambda d: mixing.mix(d),
         "shard": lambda d: sharding.shuffle_into_shards(d, 3),
     }[op]
-    d = docs(spark).withColumns({c: F.lit("clash") for c in ("size", "kept", "shard", "part", "n_words", "slot", "_g", "h1")})
+    d = docs(spark).withColumns({c: F.lit("clash") for c in CLASH})
+    d = d.withColumnRenamed("n_chars", "odd.name")
     assert run(d.limit(0)).count() == 0
     got = run(d)
     assert len(got.columns) == len({c.lower() for c in got.columns})
     assert got.count() == d.count()
+    out = {"quality": quality.OUT, "mix": mixing.OUT, "shard": sharding.OUT}[op]
+    for c in {*CLASH} - {*out}:
+        assert got.where(F.col(c).eqNullSafe("clash")).count() == d.count(), c
+
+
+def test_one_size_in_ranges_of_ids(spark, monkeypatch):
+    rows = [(None if i % 10 == 0 else i * i * 7919 % 10007, "a b" if i % 3 else None, "en", "s", 1) for i in range(300)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    whole = mixing.mix(d, seed=2).collect()
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    split = mixing.mix(d.repartition(5), seed=2).collect()
+    key = lambda out: sorted((str(r.doc_id), r.size, r.copies) for r in out if r.doc_id is not None)
+    assert key(whole) == key(split) and len(split) == 300
+    assert sum(r.copies for r in split) == sum(r.copies for r in whole)
 
 
 def test_repeated_rows_stay(spark):
