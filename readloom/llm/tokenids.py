@@ -1,12 +1,16 @@
 """Token ids in compressed blocks: an adaptive context-mixing range coder.
 
-Ids are cut into blocks of ``BLOCK``. Each block starts from an empty model, has
+Ids are cut into blocks of ``BLOCK``. Each block starts from the same state, has
 a checksum of its ids, and can be read without the others. In a block, two
 tables remember which id followed the last two ids (order 2) and the last one
 (order 1), with a confidence. One three-way symbol says whether the next id is
 the order-2 prediction, the order-1 prediction, or neither; its odds are the sum
 of adaptive counts in the context of each prediction's confidence. Else the id
-follows by order 0: adaptive counts of its upper bits, then nine plain bits.
+follows by order 0: ids are ranked by how often they stand in the segment, ranks
+are cut into classes (frequent ids are a class each, see ``CLASSES``), the class
+has adaptive counts and its few lower bits are plain. The segment's head has the
+frequent ids and the counts that blocks start from, so that order 0 covers whole
+ids from the first one on.
 All arithmetic is on integers, so that every machine reads what another wrote.
 
 Blocks are independent, so numpy codes all blocks of a segment in lockstep: step
@@ -16,13 +20,20 @@ A file is a Parquet table of segments; a segment is a self-contained binary
 value (see ``pack``) of whole documents in ascending order of id. Segments are
 written and read by Spark, so any store will do, and a lost task is repeated.
 
+Special tokens that stand in a text as such become their ids, as the library has
+it by default; none are added but the end id.
+
 Defined results: a null text is empty and has the end id only; rows with a null
-id stand first; repeated rows are documents of their own; an empty table gives
-an empty file; columns beside id and text are not stored.
+id stand first; rows of equal id, null or not, are documents of their own in
+order of a hash of their texts, equal rows in any; a very long text is in a
+segment of its own, coded in memory of about 60 bytes an id; a tokenizer with
+ids of more than 16 bits is refused; an empty table gives an empty file; columns
+beside id and text are not stored, so none can clash.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -35,24 +46,31 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from readloom.llm.common import release, small_batches
 
 #: Ids in a block, and about how many in a segment.
-BLOCK, SEGMENT = 2048, 1 << 21
+BLOCK, SEGMENT = 4096, 1 << 22
 #: Slots of a prediction table, as a power of two; words a worker remembers.
-TABLE_BITS, CACHE = 11, 300_000
-#: Bits of an id that order 0 leaves plain, number of upper parts, and what a sight adds to a count.
-PLAIN_BITS, UPPER, GAIN = 9, 128, 24
-PLAIN = (1 << PLAIN_BITS) - 1
-_PLAIN = np.uint64(PLAIN_BITS)
-MAGIC = b"RLIDS1\0\0"
-
+TABLE_BITS, CACHE = 12, 300_000
+#: Classes of ranks: so many classes of ids with so many plain bits, most frequent ids first.
+CLASSES = ((64, 0), (8, 1), (8, 2), (8, 3), (8, 4), (8, 5), (8, 6), (4, 7), (4, 8), (4, 9), (4, 10), (28, 11))
+#: What a sight adds to a class's count, and what the counts of a block sum to at its start, about.
+GAIN, PRIOR = 12, 4096
+MAGIC = b"RLIDS2\0\0"
+
+_BITS = np.repeat([b for _, b in CLASSES], [n for n, _ in CLASSES])
+UPPER, _LOW = len(_BITS), np.concatenate([[0], np.cumsum(1 << _BITS)])
+_CLASS = np.repeat(np.arange(UPPER), 1 << _BITS)
+#: Ranks below have fewer plain bits than the last classes: so many ids are listed at most.
+LISTED = int(_LOW[UPPER - CLASSES[-1][0]])
+_SCALE = np.uint64(_BITS.max())
+_UNIT = (_BITS.max() - _BITS).astype(np.uint64)
 _MASK = np.uint64((1 << 48) - 1)
 _TOP, _BOT, _WORD = np.uint64(1 << 32), np.uint64(1 << 27), np.uint64(16)
 _U = np.uint64
 
 
 class _Model:
-    """Adaptive state of ``n`` blocks side by side."""
+    """Adaptive state of ``n`` blocks side by side; ``prior``: counts of classes that they start from."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, prior: np.ndarray):
         size = 1 << TABLE_BITS
         self.n, self.lane = n, np.arange(n)
         self.base, self.lane8 = self.lane * size, self.lane * 8
@@ -61,8 +79,8 @@ class _Model:
         self.prev = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
         self.ways = [np.full((n * 8, 4), 2, np.int64) for _ in range(2)]
         self.flat = [w.reshape(-1) for w in self.ways]
-        # cumulated counts of the upper part, below 2 ** 16 as a block has few ids
-        self.upto = np.tile(np.arange(UPPER + 1, dtype=np.uint16), (n, 1))
+        # cumulated counts of the classes, below 2 ** 16 as a block has few ids
+        self.upto = np.tile(np.concatenate([[0], np.cumsum(prior)]).astype(np.uint16), (n, 1))
         self.place = np.arange(UPPER + 1, dtype=np.uint16)
 
     def predict(self, m: int):
@@ -89,7 +107,7 @@ class _Model:
         self.prev[0][:m] = ids
 
     def count(self, m: int, upper) -> None:
-        """Count an upper part in each of the first ``m`` blocks; ``UPPER`` counts nothing."""
+        """Count a class in each of the first ``m`` blocks; ``UPPER`` counts nothing."""
         self.upto[:m] += (self.place > upper.astype(np.uint16)[:, None]) * np.uint16(GAIN)
 
 
@@ -162,8 +180,8 @@ class _Reader:
         self.low[lanes], self.range[lanes] = low, r
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Code of each block of ``BLOCK`` ids (all below 65,536)."""
+def encode_blocks(ids: np.ndarray, prior: np.ndarray) -> list[bytes]:
+    """Code of each block of ``BLOCK`` ranks (all below 65,536)."""
     n = -(-len(ids) // BLOCK)
     if not n:
         return []
@@ -171,7 +189,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     grid[: len(ids)] = ids
     steps = np.ascontiguousarray(grid.reshape(n, BLOCK).T)
     tail = len(ids) - (n - 1) * BLOCK
-    model, out = _Model(n), _Writer(n, min(BLOCK, len(ids)))
+    model, out = _Model(n, prior), _Writer(n, min(BLOCK, len(ids)))
     for t in range(min(BLOCK, len(ids))):
         m = n if t < tail else n - 1
         x = steps[t, :m]
@@ -183,25 +201,27 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         out.put(slice(0, m), start.astype(np.uint64), size.astype(np.uint64), (ab + odds[2]).astype(np.uint64))
         rest = np.flatnonzero(way == 2)
         if len(rest):
-            upper = x[rest] >> PLAIN_BITS
+            upper = _CLASS[x[rest]]
             below = model.upto[rest, upper].astype(np.uint64)
-            own = model.upto[rest, upper + 1] - below
-            plain = (x[rest] & PLAIN).astype(np.uint64)
-            out.put(rest, (below << _PLAIN) + plain * own, own, model.upto[rest, UPPER].astype(np.uint64) << _PLAIN)
-            model.count(m, np.where(way == 2, x >> PLAIN_BITS, UPPER))
+            own = (model.upto[rest, upper + 1] - below) << _UNIT[upper]
+            plain = (x[rest] - _LOW[upper]).astype(np.uint64)
+            out.put(rest, (below << _SCALE) + plain * own, own, model.upto[rest, UPPER].astype(np.uint64) << _SCALE)
+            every = np.full(m, UPPER)
+            every[rest] = upper
+            model.count(m, every)
         model.learn(m, x, way, slots, guess, sure, at)
     return out.finish()
 
 
-def decode_blocks(data: np.ndarray, starts: np.ndarray, n_ids: int) -> np.ndarray:
-    """Ids of blocks whose codes start at ``starts`` in 16-bit words."""
+def decode_blocks(data: np.ndarray, starts: np.ndarray, n_ids: int, prior: np.ndarray) -> np.ndarray:
+    """Ranks of blocks whose codes start at ``starts`` in 16-bit words."""
     n = len(starts)
     if not n:
         return np.zeros(0, np.int64)
     longest = min(BLOCK, n_ids)
     steps = np.zeros((BLOCK, n), np.int64)
     tail = n_ids - (n - 1) * BLOCK
-    model, src = _Model(n), _Reader(data, starts)
+    model, src = _Model(n, prior), _Reader(data, starts)
     for t in range(longest):
         m = n if t < tail else n - 1
         slots, guess, sure, at, odds = model.predict(m)
@@ -215,13 +235,13 @@ def decode_blocks(data: np.ndarray, starts: np.ndarray, n_ids: int) -> np.ndarra
         x = np.where(way == 0, guess[0], guess[1]).astype(np.int64)
         rest = np.flatnonzero(way == 2)
         if len(rest):
-            goal = src.peek(rest, model.upto[rest, UPPER].astype(np.uint64) << _PLAIN)
-            upper = (model.upto[rest] <= (goal >> _PLAIN).astype(np.uint16)[:, None]).sum(1) - 1
+            goal = src.peek(rest, model.upto[rest, UPPER].astype(np.uint64) << _SCALE)
+            upper = (model.upto[rest] <= (goal >> _SCALE).astype(np.uint16)[:, None]).sum(1) - 1
             below = model.upto[rest, upper].astype(np.uint64)
-            own = model.upto[rest, upper + 1] - below
-            lower = (goal - (below << _PLAIN)) // own
-            src.take(rest, (below << _PLAIN) + lower * own, own)
-            x[rest] = upper << PLAIN_BITS | lower.astype(np.int64)
+            own = (model.upto[rest, upper + 1] - below) << _UNIT[upper]
+            lower = (goal - (below << _SCALE)) // own
+            src.take(rest, (below << _SCALE) + lower * own, own)
+            x[rest] = _LOW[upper] + lower.astype(np.int64)
             every = np.full(m, UPPER)
             every[rest] = upper
             model.count(m, every)
@@ -230,14 +250,35 @@ def decode_blocks(data: np.ndarray, starts: np.ndarray, n_ids: int) -> np.ndarra
     return np.ascontiguousarray(steps.T).reshape(-1)[:n_ids]
 
 
+def ranking(ids: np.ndarray) -> np.ndarray:
+    """Ids that stand three times or more, most frequent first, ``LISTED`` at most."""
+    n = np.bincount(ids, minlength=1 << 16)
+    order = np.argsort(-n, kind="stable")[:LISTED]
+    return order[n[order] > 2].astype("<u2")
+
+
+def by_rank(listed: np.ndarray) -> np.ndarray:
+    """All ids by rank: the listed ones, then the others in order."""
+    other = np.ones(1 << 16, bool)
+    other[listed] = False
+    return np.concatenate([listed.astype(np.int64), np.flatnonzero(other)])
+
+
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """A segment: magic; counts of documents, ids and blocks; then for documents their
-    id, whether it is null and their number of ids; for blocks their words and the
-    checksum of their ids; then the codes. All little-endian."""
-    codes = encode_blocks(ids)
+    """A segment: magic; counts of documents, ids, blocks and listed ids; the listed ids and
+    the counts of classes that blocks start from; then for documents their id, whether it is
+    null and their number of ids; for blocks their words and the checksum of their ids; then
+    the codes. All little-endian."""
+    listed = ranking(ids)
+    rank = np.empty(1 << 16, np.int64)
+    rank[by_rank(listed)] = np.arange(1 << 16)
+    ranks = rank[ids]
+    seen = np.bincount(_CLASS[ranks], minlength=UPPER)
+    prior = (1 + seen * PRIOR // max(len(ids), 1)).astype("<u2")
+    codes = encode_blocks(ranks, prior)
     raw = ids.astype("<u4")
     sums = [zlib.crc32(raw[i * BLOCK : (i + 1) * BLOCK].tobytes()) for i in range(len(codes))]
-    head = MAGIC + struct.pack("<QQQ", len(doc_ids), len(ids), len(codes))
+    head = MAGIC + struct.pack("<QQQQ", len(doc_ids), len(ids), len(codes), len(listed)) + listed.tobytes() + prior.tobytes()
     docs = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes()
     blocks = np.array([len(c) // 2 for c in codes], "<u4").tobytes() + np.array(sums, "<u4").tobytes()
     return b"".join([head, docs, lengths.astype("<u8").tobytes(), blocks, *codes])
@@ -247,8 +288,8 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Document ids, numbers of ids, and ids of a segment; raises if a checksum is wrong."""
     if data[:8] != MAGIC:
         raise ValueError("not a segment of token ids")
-    n_docs, n_ids, n_blocks = struct.unpack_from("<QQQ", data, 8)
-    at = 32
+    n_docs, n_ids, n_blocks, n_listed = struct.unpack_from("<QQQQ", data, 8)
+    at = 40
 
     def read(kind: str, n: int) -> np.ndarray:
         nonlocal at
@@ -256,9 +297,11 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         at += out.nbytes
         return out
 
+    listed, prior = read("<u2", n_listed), read("<u2", UPPER)
     docs, null, lengths = read("<i8", n_docs), read("u1", n_docs), read("<u8", n_docs)
     words, sums = read("<u4", n_blocks).astype(np.int64), read("<u4", n_blocks)
-    ids = decode_blocks(np.frombuffer(data, "<u2", -1, at), np.cumsum(words) - words, n_ids)
+    ranks = decode_blocks(np.frombuffer(data, "<u2", -1, at), np.cumsum(words) - words, n_ids, prior)
+    ids = by_rank(listed)[np.minimum(ranks, (1 << 16) - 1)]
     raw = ids.astype("<u4")
     for i in range(n_blocks):
         if zlib.crc32(raw[i * BLOCK : (i + 1) * BLOCK].tobytes()) != sums[i]:
@@ -271,17 +314,53 @@ _PLAIN_TEXT = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ¡¿]*")
 _PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 
 
+#: Splitting rules under which ``_PART`` finds the words of plain texts; fixed values of a tokenizer file.
+_WORD_RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def words_apart(path: str) -> bool:
+    """Whether a tokenizer file splits plain texts into words as ``_PART`` does, each encoded for itself."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+    added = all(not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in spec["added_tokens"])
+    return plain and added and all(spec.get(k) == v for k, v in _WORD_RULES.items())
+
+
 class WordEncoder:
-    """Ids of texts by the tokenizers library, which sees each distinct word once."""
+    """Ids of texts by the tokenizers library; where its words are apart it sees each distinct one once."""
 
-    def __init__(self, path: str, words_apart: bool):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
-        self.apart, self.memo = words_apart, {}
+        self.apart, self.memo = words_apart(path), {}
+        vocab = self.tool.get_vocab(True)
+        if max(vocab.values(), default=0) >= 1 << 16:
+            raise ValueError("ids of more than 16 bits")
+        special = [re.escape(t.content) for t in self.tool.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)")  # such texts go to the library whole
         self.last = np.zeros(1 << 16, bool)  # ids that end a word
-        for token, i in self.tool.get_vocab(False).items():
+        for token, i in vocab.items():
             self.last[i] = token.endswith("</w>")
 
     def learn(self, words: list[str]) -> None:
@@ -302,7 +381,7 @@ class WordEncoder:
         out: list = [b""] * len(texts)
         parts, whole, new = [], [], set()
         for i, t in enumerate(texts):
-            if self.apart and "<|" not in t and _PLAIN_TEXT.fullmatch(t):
+            if self.apart and _PLAIN_TEXT.fullmatch(t) and not self.special.search(t):
                 p = _PART.findall(t.lower())
                 parts.append((i, p))
                 new.update(p)
@@ -322,11 +401,9 @@ class WordEncoder:
         return out
 
 
-def write_ids(df: DataFrame, folder: str, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id", words_apart: bool = True) -> None:
-    """Encode every text and write the ids, each document's with ``end_id`` behind, in ascending id order.
-
-    ``words_apart``: the tokenizer's words do not depend on their neighbours.
-    """
+def write_ids(df: DataFrame, folder: str, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id") -> None:
+    """Encode every text and write the ids, each document's with ``end_id`` behind, in ascending id order."""
+    WordEncoder(tokenizer)  # refuses a tokenizer that doesn't fit
 
     def run(batches):
         import os
@@ -335,7 +412,7 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, end_id: int, text: str
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, number = TaskContext.get().partitionId(), 0
-        tool = WordEncoder(tokenizer, words_apart)
+        tool = WordEncoder(tokenizer)
         docs, sizes, held, total = [], [], [], 0
         end = np.array([end_id], np.uint16).tobytes()
 
@@ -366,7 +443,9 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, end_id: int, text: str
 
     small_batches(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    spread = rows.repartitionByRange(F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first(), "t")
+    rows = rows.withColumn("h", F.xxhash64("t"))  # so that rows of one id, null above all, are not one range
+    order = (F.col("d").asc_nulls_first(), "h")
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order, "t").select("d", "t")
     spread.mapInArrow(run, "part int, segment int, n_ids long, data binary").write.parquet(folder)
 
 
