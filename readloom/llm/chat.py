@@ -7,12 +7,21 @@ it did so is reported and the spans of the turns before are not trusted. Where a
 turn's text lies inside its span is found by rendering the turn once more with a
 probe character for text.
 
-Rows come in order of conversation and turn; a task holds one conversation and
-one batch at a time. Rows of equal turn number are ordered by role and text.
+Each prefix is rendered once, and once more with the probe where the added turn
+counts for the loss: a conversation of n turns costs some 2n renderings, so work
+grows with the square of its turns. That is the price of not looking into a
+template.
 
-Defined results: a null text is empty; a null role is the empty role; a null
-conversation id is a conversation of its own; repeated rows are turns of their
-own; an empty table gives an empty result; other columns are not returned.
+Rows come in order of conversation and turn; a task holds one conversation and
+one batch at a time, so a conversation has to fit in a task.
+
+Defined results: a null text is empty; a null role is the empty role; a row
+with a null conversation id is a conversation of its own, so such rows are not
+gathered; a null turn number stands first; rows of equal turn number are ordered
+by role and text; repeated rows are turns of their own; a very long text is
+rendered whole; where a template rewrites history, spans that it broke are left
+out and ``loss_lost`` counts the loss texts among them; an empty table gives an
+empty result; other columns are not returned, so none can clash.
 """
 
 from __future__ import annotations
@@ -97,11 +106,11 @@ def render_spans(render, turns: list[tuple[str, str]], loss_roles=("assistant",)
     return before, spans, loss, rewritten
 
 
-FORMATTED = "conv_id long, formatted string, turn_spans array<struct<start:int,end:int>>, loss_spans array<struct<start:int,end:int>>, rewritten_at int"
+FORMATTED = "conv_id long, formatted string, turn_spans array<struct<start:int,end:int>>, loss_spans array<struct<start:int,end:int>>, rewritten_at int, loss_lost int"
 
 
 def format_chats(df: DataFrame, template=None, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``(conv_id, formatted, turn_spans, loss_spans, rewritten_at)``, a row for each conversation."""
+    """``(conv_id, formatted, turn_spans, loss_spans, rewritten_at, loss_lost)``, a row for each conversation."""
     template = template or BracketTemplate()
     rows = df.select(
         F.col(conv_id).cast("long").alias("c"),
@@ -110,7 +119,8 @@ def format_chats(df: DataFrame, template=None, conv_id: str = "conv_id", turn: s
         F.coalesce(F.col(text), F.lit("")).alias("t"),
     )
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "c").sortWithinPartitions("c", "n", "r", "t").select("c", "r", "t")
+    alone = F.when(F.col("c").isNull(), F.xxhash64("n", "r", "t"))
+    rows = rows.repartition(parts, "c", alone).sortWithinPartitions("c", "n", "r", "t").select("c", "r", "t")
 
     def run(batches):
         conv, turns, out = None, [], []
@@ -118,12 +128,13 @@ def format_chats(df: DataFrame, template=None, conv_id: str = "conv_id", turn: s
         def close():
             text, spans, loss, at = render_spans(template.render, turns)
             pair = lambda s: s and {"start": s[0], "end": s[1]}
-            out.append((conv, text, [pair(s) for s in spans], [pair(s) for s in loss], at))
+            lost = sum(r == "assistant" for r, _ in turns) - len(loss)
+            out.append((conv, text, [pair(s) for s in spans], [pair(s) for s in loss], at, lost))
 
         def flush():
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            kinds = (pa.int64(), pa.string(), span, span, pa.int32())
-            names = ("conv_id", "formatted", "turn_spans", "loss_spans", "rewritten_at")
+            kinds = (pa.int64(), pa.string(), span, span, pa.int32(), pa.int32())
+            names = ("conv_id", "formatted", "turn_spans", "loss_spans", "rewritten_at", "loss_lost")
             row = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
             out.clear()
             return row
@@ -131,7 +142,7 @@ def format_chats(df: DataFrame, template=None, conv_id: str = "conv_id", turn: s
         size = 0
         for batch in batches:
             for c, r, t in zip(*(x.to_pylist() for x in batch.columns)):
-                if turns and c != conv:
+                if turns and (c is None or c != conv):
                     close()
                     turns, size = [], size + len(out[-1][1])
                     if size > 2_000_000:
