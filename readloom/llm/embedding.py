@@ -14,9 +14,12 @@ split into pairs of blocks, so no task gets a whole one.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing; vectors of different length never link; rows of
-equal id are one vector for components, and each counts as a copy; rows with a
-null id are their own component (null) and kept; an empty table gives an empty
-result; columns beside id and vector are not returned.
+equal id are one vector for components, and each counts as a copy with the links
+of its own vector; a row with a null id is its own component (null), links with
+nothing and is kept; ties go to the smallest id; vectors may have any length (a
+very long one is worked on in blocks of ``BLOCK`` rows like others); an empty
+table gives an empty result; columns beside id and vector are not returned, so
+none can clash.
 """
 
 from __future__ import annotations
@@ -161,11 +164,11 @@ def _spanning(threshold: float):
 
 
 def _counting(threshold: float):
-    """(key, i, j, own, id, v, w) groups to (id, links): what a row's links weigh in the other block."""
+    """(key, i, j, own, id, c, v, w) groups to (id, c, links): what a row's links weigh in the other block."""
 
     def run(batches):
         for t, at in _whole(batches, 3):
-            ids, own, w = (t.column(c).to_numpy() for c in ("id", "own", "w"))
+            ids, cs, own, w = (t.column(c).to_numpy() for c in ("id", "c", "own", "w"))
             i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
             n = np.zeros(len(ids), np.int64)
             _, rows = _vectors(t)
@@ -178,7 +181,7 @@ def _counting(threshold: float):
                 if i[a] != j[a]:  # links inside a block are counted where the block meets itself
                     near &= own[a:b, None] != own[None, a:b]
                 n[a:b] = near @ w[a:b]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cs), pa.array(n)], ["id", "c", "links"])
 
     return run
 
@@ -186,7 +189,8 @@ def _counting(threshold: float):
 def _blocks(rows: DataFrame, group: str) -> DataFrame:
     """Rows ``(group, id, ...)`` once for every pair of blocks ``(i, j)`` of their group that they belong to."""
     w = W.partitionBy(group)
-    n = rows.withColumn("own", F.floor((F.row_number().over(w.orderBy("id")) - 1) / BLOCK).cast("int"))
+    order = [c for c in ("id", "c") if c in rows.columns]
+    n = rows.withColumn("own", F.floor((F.row_number().over(w.orderBy(*order)) - 1) / BLOCK).cast("int"))
     n = n.withColumn("last", F.max("own").over(w))
     n = n.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     return n.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "last")
@@ -203,7 +207,8 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", vec_id: str = "vec
     rows = df.select(F.col(vec_id).cast("long").alias("id"), v.alias("v"), valid.alias("valid"))
     good = rows.where("valid and id is not null")
     classes = good.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"))
-    classes = tables.save(classes.select("id", "v", "w"), "classes")
+    # ids of rows that repeat an id with another vector don't tell their classes apart: a hash of the vector does
+    classes = tables.save(classes.select("id", F.xxhash64("v").alias("c"), "v", "w"), "classes")
     n = classes.count()
     depth, count = layout(n, threshold)
     keys = classes.select("id", "v").mapInArrow(_hasher(depth, count, seed), "key long, id long")
@@ -215,11 +220,11 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", vec_id: str = "vec
     links = tables.save(placed.mapInArrow(_spanning(threshold), "a long, b long").distinct(), "links")
     same_id = good.join(classes.select("v", F.col("id").alias("rep")), "v").where("id != rep").select("rep", "id")
     member = tables.save(connected_components(links, "a", "b"), "components")
-    grouped = classes.join(member, classes.id == member.node).select(F.col("component").alias("key"), "id", "w")
-    inside = _blocks(grouped, "key").join(classes.select("id", "v"), "id").select("key", "i", "j", "own", "id", "v", "w")
-    inside = inside.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    counted = inside.mapInArrow(_counting(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
-    info = classes.join(counted, "id", "left").select("id", "v", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    grouped = classes.join(member, classes.id == member.node).select(F.col("component").alias("key"), "id", "c", "w")
+    inside = _blocks(grouped, "key").join(classes.select("id", "c", "v"), ["id", "c"]).select("key", "i", "j", "own", "id", "c", "v", "w")
+    inside = inside.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id", "c")
+    counted = inside.mapInArrow(_counting(threshold), "id long, c long, links long").groupBy("id", "c").agg(F.sum("links").alias("links"))
+    info = classes.join(counted, ["id", "c"], "left").select("id", "v", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     info = tables.save(info, "info")
     everything = links.select("a", "b").union(same_id.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     whole = tables.save(connected_components(everything, "a", "b"), "whole")
