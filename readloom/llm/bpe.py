@@ -9,8 +9,11 @@ prefixes, and steps back from places that proved to be dead ends; each place is
 marked dead once at most. A piece that is a token as a whole is that token.
 
 Defined results: a null text is the empty text and has no ids; null ids decode
-to null; repeated rows are encoded each; an empty table gives an empty result;
-input columns named like an output column are replaced by it.
+to null; row ids are not looked at; repeated rows are encoded each; equal merges
+are taken in order of rank, then from the left, as merging does; a very long
+text is encoded whole, piece by piece, and a very long piece in memory of some
+bytes a byte; an empty table gives an empty result; input columns named like an
+output column are replaced by it, no other name clashes.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from readloom.llm.common import drop_names, release, small_batches
+from readloom.llm.common import drop_names, numbered, quoted, release, small_batches
 
 #: Bounds of what a worker remembers: pieces with their ids, and judged token pairs.
 PIECES, PAIRS = 200_000, 250_000
@@ -201,9 +204,9 @@ def _chunks(weights: list[int], most: int):
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` (columns ``carry``, all by default) with ``ids``."""
     small_batches(df.sparkSession)
-    keep = drop_names(df.select(*(df.columns if carry is None else carry)), ("ids", "_t"))
-    rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    schema = StructType([*(f for f in rows.schema.fields if f.name != "_t"), StructField("ids", ArrayType(IntegerType(), False))])
+    keep = drop_names(df.select(*map(quoted, df.columns if carry is None else carry)), ("ids",))
+    rows, fields = numbered(df, keep, F.coalesce(F.col(text), F.lit("")))
+    schema = StructType([*fields, StructField("ids", ArrayType(IntegerType(), False))])
 
     def run(batches):
         c = codec(path, pattern)
@@ -212,7 +215,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", carry: li
             for a, b in _chunks(pa.compute.binary_length(t).to_pylist(), CHUNK):
                 ids = c.encode_all(t.slice(a, b - a).to_pylist())
                 part = [x.slice(a, b - a) for x in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*part, ids], [*batch.schema.names[:-1], "ids"])
+                yield pa.RecordBatch.from_arrays([*part, ids], [*keep, "ids"])
         release()
 
     return rows.mapInArrow(run, schema)
@@ -220,9 +223,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", carry: li
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """``df`` with ``decoded``, the bytes of its ids."""
-    keep = drop_names(df, ("decoded", "_i"))
-    rows = df.select(*keep, F.col(ids).alias("_i"))
-    schema = StructType([*(f for f in rows.schema.fields if f.name != "_i"), StructField("decoded", BinaryType())])
+    keep = drop_names(df, ("decoded",))
+    rows, fields = numbered(df, keep, F.col(ids))
+    schema = StructType([*fields, StructField("decoded", BinaryType())])
 
     def run(batches):
         c = codec(path, pattern)
@@ -230,6 +233,6 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
             lists = batch.column(batch.num_columns - 1)
             for a, b in _chunks([4 * (n or 0) for n in pa.compute.list_value_length(lists).to_pylist()], CHUNK):
                 part = [x.slice(a, b - a) for x in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*part, c.decode_all(lists.slice(a, b - a))], [*batch.schema.names[:-1], "decoded"])
+                yield pa.RecordBatch.from_arrays([*part, c.decode_all(lists.slice(a, b - a))], [*keep, "decoded"])
 
     return rows.mapInArrow(run, schema)

@@ -47,12 +47,10 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def free_name(df) -> str:
-    """A column name that ``df`` doesn't have."""
-    name, taken = "_text", {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
+def numbered(df, names: list[str], last: Column):
+    """Columns ``names`` and ``last`` as c0, c1, ..., on their way to Python; and the fields of the former."""
+    rows = df.select(*(F.col(quoted(n)) for n in names), last)
+    return rows.toDF(*(f"c{i}" for i in range(len(names) + 1))), rows.schema.fields[:-1]
 
 
 #: Bytes of a batch of rows on their way to Python.

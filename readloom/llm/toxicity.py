@@ -13,10 +13,14 @@ vectors and softmax are folded into one number per n-gram bucket: that table,
 of a fixed size, is all that executors get.
 
 Defined results: null and empty texts, and texts without letters or digits,
-get the score of the bias alone; labels that are null or of unknown ids are not
-used; repeated label rows count once each; an empty table gives an empty
-result; without any usable label of both classes every score is 0; input
-columns named like an output column are replaced by it.
+get the score of the bias alone; a very long text is scored word by word, and
+trained on by its distinct words; labels that are null, of unknown ids or of a
+null id are not used; an id that repeats counts once, with its greatest label
+and its least text; ties of the sample's order go by id; rows with a null id are
+scored like others (and held out); repeated rows are scored each; an empty table
+gives an empty result; without labels of both classes on texts with words every
+score is 0; input columns named like an output column are replaced by it, no
+other name clashes.
 """
 
 from __future__ import annotations
@@ -24,13 +28,14 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from readloom.llm.common import drop_names, release, small_batches
+from readloom.llm.common import drop_names, numbered, quoted, release, small_batches
 
 #: Labelled rows that training takes of each class, at most: the lowest by a hash of the id.
 MOST_TOXIC, MOST_CLEAN = 1200, 1800
@@ -82,24 +87,26 @@ def _log_odds(doc, word, sizes, col, y, n_buckets) -> np.ndarray:
     return np.sign(odds) * np.maximum(np.abs(odds) - CUT, 0)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 0) -> tuple[np.ndarray, float]:
-    """The folded model: a number for each bucket, and the bias."""
+def counted(text: str | None) -> tuple[list[str], list[int]]:
+    """Distinct words of a text, in order of first sight, and how often each stands."""
+    n = Counter(_WORD.findall((text or "").lower()))
+    return list(n), list(n.values())
+
+
+def train(texts: list[tuple[list[str], list[int]]], labels: list[int], seed: int = 0) -> tuple[np.ndarray, float]:
+    """The folded model of counted texts: a number for each bucket, and the bias."""
     y = np.asarray(labels, np.int64)
-    if len(set(labels)) < 2:
+    if len(set(labels)) < 2 or not any(w for w, _ in texts):
         return np.zeros(BUCKETS, np.float32), -50.0
     ids: dict[str, int] = {}
     doc, word, weight = [], [], []
-    for k, t in enumerate(texts):
-        found = _WORD.findall((t or "").lower())
-        got, times = np.unique([ids.setdefault(x, len(ids)) for x in found] or [-1], return_counts=True)
-        if found:
-            doc.append(np.full(len(got), k))
-            word.append(got)
-            weight.append(times / len(found))
+    for k, (found, times) in enumerate(texts):
+        got = np.array([ids.setdefault(x, len(ids)) for x in found], np.int64)
+        order = np.argsort(got)
+        doc.append(np.full(len(got), k))
+        word.append(got[order])
+        weight.append(np.array(times, np.float64)[order] / max(sum(times), 1))
     doc, word, weight = (np.concatenate(x) for x in (doc, word, weight))
-    in_docs = np.bincount(word, minlength=len(ids))
-    kept = in_docs[word] > 1 if (in_docs > 1).sum() > 50 else np.ones(len(word), bool)
-    doc, word, weight = doc[kept], word[kept], weight[kept]
     names = list(ids)
     used, word = np.unique(word, return_inverse=True)
     flat, sizes = array("i"), np.zeros(len(used), np.int64)
@@ -171,29 +178,44 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
+_COUNTED = StructType([StructField("words", ArrayType(StringType())), StructField("times", ArrayType(IntegerType()))])
+
+
 def held_out(doc_id):
     """Rows whose labels are never learnt."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> tuple[np.ndarray, float]:
-    """Train on a bounded sample of the labelled rows that are not held out."""
+    """Train on a bounded sample of the labelled rows that are not held out.
+
+    The driver gets the distinct words, with counts, of ``MOST_TOXIC + MOST_CLEAN`` texts at most.
+    """
     own = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and i is not null")
-    own = own.where(~held_out(F.col("i"))).withColumn("h", F.xxhash64("i"))
+    own = own.where(~held_out(F.col("i"))).groupBy("i").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("i"))
     part = [own.where(f"y = {y}").orderBy("h", "i").limit(most) for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     picked = part[0].unionByName(part[1])  # at most MOST_TOXIC + MOST_CLEAN rows, so it may be broadcast
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(picked), "i")
-    got = rows.select("i", "t", "y").limit(2 * (MOST_TOXIC + MOST_CLEAN)).collect()
-    got.sort(key=lambda r: (r.i, r.t or "", r.y))
-    return train([r.t for r in got], [r.y for r in got])
+    rows = docs.select(F.col(doc_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(picked), "i")
+    rows = rows.groupBy("i").agg(F.max("y").alias("y"), F.min("t").alias("t")).select("i", "y", "t")
+
+    def count(batches):
+        for batch in batches:
+            found = [counted(t) for t in batch.column(2).to_pylist()]
+            made = [pa.array([f[k] for f in found], pa.list_(kind)) for k, kind in enumerate((pa.string(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *made], ["y", "words", "times"])
+
+    small_batches(docs.sparkSession)
+    with_id = StructType([rows.schema["y"], *_COUNTED.fields])
+    got = rows.orderBy("i").mapInArrow(count, with_id).collect()
+    return train([(r.words, r.times) for r in got], [r.y for r in got])
 
 
 def score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` (columns ``carry``, all by default) with ``score`` and ``predicted``."""
     small_batches(df.sparkSession)
-    keep = drop_names(df.select(*(df.columns if carry is None else carry)), ("score", "predicted", "_t"))
-    rows = df.select(*keep, F.col(text).alias("_t"))
-    schema = StructType([*(f for f in rows.schema.fields if f.name != "_t"), StructField("score", DoubleType())])
+    keep = drop_names(df.select(*map(quoted, df.columns if carry is None else carry)), ("score", "predicted"))
+    rows, fields = numbered(df, keep, F.col(text))
+    schema = StructType([*fields, StructField("score", DoubleType())])
     table, bias = model
 
     def run(batches):
@@ -201,7 +223,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", ca
         for batch in batches:
             t = batch.column(len(keep))
             s = pa.array([scorer.score(x.as_py()) for x in t], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], s], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], s], [*keep, "score"])
         del scorer
         release()
 
