@@ -33,7 +33,6 @@ def test_op1(spark, docs):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tool.encode_special_tokens = True
     got = {r.doc_id: r for r in run(spark, 1)}
     at = 0
     for d in sorted(docs):
