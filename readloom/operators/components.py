@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from readloom.session import Tables
 
+#: Edges from which on a round's minima are written, so that the join with them can split a hub.
+MANY = 1_000_000
+
 
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(
@@ -23,7 +26,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     edges end as stars around component minima after O(log n) rounds, so a long
     chain costs few rounds. Rounds are written tables: lineage stays short and a
     lost executor costs one round. Minima are aggregated map-side, so a hub is
-    one partial sum per task; only the edge list is ever shuffled.
+    one partial minimum per task. Edges meet the minima in a join of two plain
+    shuffles, where adaptive execution splits the partition of a hub. More than
+    ``max_rounds`` rounds raise.
     Self loops and rows with a null end are ignored. Isolated nodes are the
     caller's: they have no edge.
     """
@@ -39,17 +44,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     )
     e = tables.save(e, "edges")
     last = _fingerprint(e)
-    for _ in range(max_rounds):
-        if last[0] == 0:
-            break
+    rounds = 0
+    while last[0]:
+        if rounds == max_rounds:
+            raise RuntimeError(f"components not found in {max_rounds} rounds")
+        rounds += 1
+        written = (lambda df, name: tables.save(df, name)) if last[0] > MANY else (lambda df, name: df)
         # large star: neighbours above u go to min(N(u) + u)
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
         large = (
             both.where("b > a").join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         ).distinct()
+        large = written(large, "large")
         # small star: neighbours below u, and u itself, go to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = (
             large.join(least, "a")
             .where("b != m")
@@ -58,7 +67,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         ).distinct()
         nxt = tables.save(small, "round")
         now = _fingerprint(nxt)
-        tables.drop(e)
+        for old in (e, low, large, least):
+            tables.drop(old)
         e = nxt
         if now == last:
             break

@@ -47,29 +47,50 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy(F.col("e.node").alias("node")).agg(F.sum("e.i").alias("indeg"), F.sum("e.o").alias("outdeg"))
 
 
-def unitigs(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """``(first_kmer, n_nodes, seq)``: maximal chains of unambiguous edges; closed rings are left out.
+def _walk(nodes: DataFrame, one: DataFrame, tables: Tables, max_rounds: int) -> DataFrame:
+    """``(node, at, steps, done)``: the end of the chain of links ``one`` that each node is on, and how far it is.
 
-    Pointer doubling: after round r every node knows the node up to 2^r steps
-    ahead, so a chain of n nodes takes log2 n rounds of one self-join each.
+    Nodes on rings are never done. Pointer doubling: after round r every node
+    knows the node up to 2^r steps ahead, so a chain of n nodes takes log2 n
+    rounds of one self-join each.
     """
-    tables = Tables(edges.sparkSession, "unitigs")
-    deg = degrees(edges)
-    one = edges.where("src != dst").select("src", "dst")
-    one = one.join(deg.where("outdeg = 1").select(F.col("node").alias("src")), "src", "left_semi")
-    one = one.join(deg.where("indeg = 1").select(F.col("node").alias("dst")), "dst", "left_semi")
-    p = deg.select("node").join(one.select(F.col("src").alias("node"), F.col("dst").alias("to")), "node", "left")
+    p = nodes.select("node").join(one.select(F.col("src").alias("node"), F.col("dst").alias("to")), "node", "left")
     p = tables.save(p.select("node", F.coalesce("to", "node").alias("at"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("to").isNull().alias("done")), "p")
     left = p.where("not done").count()
-    for _ in range(max_rounds):
+    rounds = 0
+    while left:
+        if rounds == max_rounds:
+            raise RuntimeError(f"chains not walked in {max_rounds} rounds")
+        rounds += 1
         q = p.select(F.col("node").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("s2"), F.col("done").alias("d2"))
         nxt = p.join(q, "at").select("node", F.col("at2").alias("at"), (F.col("steps") + F.col("s2")).alias("steps"), F.col("d2").alias("done"))
         nxt = tables.save(nxt, "p")
         tables.drop(p)
         p, now = nxt, nxt.where("not done").count()
-        if now == 0 or now == left and _ > 2:
+        # a chain that isn't done after round r is longer than 2^r, and gets nodes done in every later round
+        if now == left and 1 << rounds > left:
             break
         left = now
-    chain = p.where("done").groupBy("at").agg(F.sort_array(F.collect_list(F.struct((-F.col("steps")).alias("o"), "node"))).alias("c"))
+    return p
+
+
+def unitigs(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``(first_kmer, n_nodes, seq)``: maximal chains of unambiguous edges; a closed ring starts at its smallest k-mer."""
+    from readloom.operators.components import connected_components
+
+    tables = Tables(edges.sparkSession, "unitigs")
+    deg = degrees(edges)
+    one = edges.where("src != dst").select("src", "dst")
+    one = one.join(deg.where("outdeg = 1").select(F.col("node").alias("src")), "src", "left_semi")
+    one = tables.save(one.join(deg.where("indeg = 1").select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "one")
+    p = _walk(deg, one, tables, max_rounds)
+    ring = p.where("not done").select("node")
+    walked = p.where("done").select("node", "at", "steps")
+    if not ring.isEmpty():
+        links = one.join(ring.select(F.col("node").alias("src")), "src", "left_semi")
+        cc = connected_components(links)
+        links = links.join(cc.select(F.col("node").alias("dst"), "component"), "dst").where("dst != component")
+        walked = walked.union(_walk(ring, links, tables, max_rounds).select("node", "at", "steps"))
+    chain = walked.groupBy("at").agg(F.sort_array(F.collect_list(F.struct((-F.col("steps")).alias("o"), "node"))).alias("c"))
     rest = F.array_join(F.transform(F.slice("c", 2, 2**30), lambda x: F.substring(x["node"], -1, 1)), "")
     return chain.select(F.col("c")[0]["node"].alias("first_kmer"), F.size("c").cast("long").alias("n_nodes"), F.concat(F.col("c")[0]["node"], rest).alias("seq"))

@@ -17,7 +17,8 @@ _UNITIGS = (
     "WITH RECURSIVE " + ", ".join(SQL[n] for n in (*_DBG, "nodes")) + f", {_DEG},"
     " link AS (SELECT e.src, e.dst FROM edges e JOIN deg a ON a.node = e.src AND a.outdeg = 1 JOIN deg b ON b.node = e.dst AND b.indeg = 1 WHERE e.src <> e.dst),"
     " chain AS (SELECT node AS first_kmer, node AS last_node, node AS seq FROM nodes WHERE node NOT IN (SELECT dst FROM link) UNION ALL SELECT c.first_kmer, o.dst, c.seq || right(o.dst, 1) FROM chain c JOIN link o ON o.src = c.last_node),"
-    " u AS (SELECT first_kmer, last_node, seq FROM chain WHERE last_node NOT IN (SELECT src FROM link)),"
+    " ring AS (SELECT node AS first_kmer, node AS last_node, node AS seq FROM nodes WHERE node NOT IN (SELECT last_node FROM chain) UNION ALL SELECT r.first_kmer, o.dst, r.seq || right(o.dst, 1) FROM ring r JOIN link o ON o.src = r.last_node WHERE o.dst > r.first_kmer),"
+    " u AS (SELECT first_kmer, last_node, seq FROM chain WHERE last_node NOT IN (SELECT src FROM link) UNION ALL SELECT r.* FROM ring r JOIN link o ON o.src = r.last_node AND o.dst = r.first_kmer),"
     " ue AS (SELECT a.first_kmer AS src, e.dst, e.cnt FROM edges e JOIN u a ON a.last_node = e.src JOIN u b ON b.first_kmer = e.dst),"
     " ud AS (SELECT first_kmer, coalesce(o, 0) AS outdeg, coalesce(i, 0) AS indeg FROM u LEFT JOIN (SELECT src, count(*) AS o FROM ue GROUP BY src) ON src = first_kmer LEFT JOIN (SELECT dst, count(*) AS i FROM ue GROUP BY dst) ON dst = first_kmer)"
 )

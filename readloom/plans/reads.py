@@ -135,8 +135,10 @@ def branch_nodes(spark, d):
     "WITH RECURSIVE "
     + ", ".join(dna.SQL[n] for n in ("seqs", "reads", "k1", "edges", "nodes"))
     + f", {_DEG}, link AS (SELECT e.src, e.dst FROM edges e JOIN deg a ON a.node = e.src AND a.outdeg = 1 JOIN deg b ON b.node = e.dst AND b.indeg = 1 WHERE e.src <> e.dst), "
-    "chain AS (SELECT node AS first_kmer, node AS last_node, 1 AS n, node AS seq FROM nodes WHERE node NOT IN (SELECT dst FROM link) UNION ALL SELECT c.first_kmer, o.dst, c.n + 1, c.seq || right(o.dst, 1) FROM chain c JOIN link o ON o.src = c.last_node) "
-    "SELECT first_kmer, CAST(n AS BIGINT) AS n_nodes, seq FROM chain WHERE last_node NOT IN (SELECT src FROM link)",
+    "chain AS (SELECT node AS first_kmer, node AS last_node, 1 AS n, node AS seq FROM nodes WHERE node NOT IN (SELECT dst FROM link) UNION ALL SELECT c.first_kmer, o.dst, c.n + 1, c.seq || right(o.dst, 1) FROM chain c JOIN link o ON o.src = c.last_node), "
+    "ring AS (SELECT node AS first_kmer, node AS last_node, 1 AS n, node AS seq FROM nodes WHERE node NOT IN (SELECT last_node FROM chain) UNION ALL SELECT r.first_kmer, o.dst, r.n + 1, r.seq || right(o.dst, 1) FROM ring r JOIN link o ON o.src = r.last_node WHERE o.dst > r.first_kmer) "
+    "SELECT first_kmer, CAST(n AS BIGINT) AS n_nodes, seq FROM chain WHERE last_node NOT IN (SELECT src FROM link) "
+    "UNION ALL SELECT r.first_kmer, r.n, r.seq FROM ring r JOIN link o ON o.src = r.last_node AND o.dst = r.first_kmer",
 )
 def unitigs(spark, d):
     return K.unitigs(K.dbg_edges(solid(spark, d)))

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from readloom.operators import components
 from readloom.operators.components import connected_components
 from readloom.operators.kmers import unitigs
 from readloom.operators.numbering import row_numbers
@@ -37,7 +40,30 @@ def test_row_numbers(spark):
     assert [n for _, n in got] == list(range(1, 51))
 
 
-def test_unitigs_leave_rings_out(spark):
-    e = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x")]
+def test_unitigs_with_rings(spark):
+    e = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "w"), ("w", "x")]
     got = unitigs(spark.createDataFrame([(*p, 1) for p in e], "src string, dst string, cnt long"))
-    assert [tuple(r) for r in got.collect()] == [("a", 4, "abcd")]
+    assert sorted(map(tuple, got.collect())) == [("a", 4, "abcd"), ("w", 3, "wxy")]
+
+
+def test_too_few_rounds_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        connected_components(chain, max_rounds=1).count()
+
+
+def test_written_minima_change_nothing(spark, monkeypatch):
+    e = spark.createDataFrame([(i, i * 7 % 50) for i in range(90)], "src long, dst long")
+    want = sorted(map(tuple, connected_components(e).collect()))
+    monkeypatch.setattr(components, "MANY", 1)
+    assert sorted(map(tuple, connected_components(e).collect())) == want
+
+
+def test_shared_folder_is_wanted_on_a_cluster():
+    from types import SimpleNamespace
+
+    from readloom.session import shared_dir
+
+    unset = SimpleNamespace(get=lambda k, d: d)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="yarn")))
