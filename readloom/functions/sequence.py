@@ -122,6 +122,16 @@ def trim_homopolymer_ends(seq: Column, shortest: int = 13) -> Column:
     return F.regexp_replace(F.regexp_replace(seq, f"^{run}", ""), f"{run}$", "")
 
 
+#: A start of T and an end of A, each with one other base at most, that begins and ends as told.
+TAIL_START, TAIL_END = "^(?:T*[^T])?T+", "A+(?:[^A]A*)?$"
+
+
+def trim_tails(seq: Column) -> Column:
+    """The sequence without a start of T and an end of A, one other base allowed in each; short ones go as well."""
+    cut = [F.length(F.regexp_extract(seq, x, 0)) for x in (TAIL_START, TAIL_END)]
+    return F.substring(seq, cut[0] + 1, F.greatest(F.length(seq) - cut[0] - cut[1], F.lit(0)))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -9,10 +9,11 @@ from readloom.operators.kmers import degrees
 
 
 def unitig_graph(unitigs: DataFrame, edges: DataFrame, k: int = 24) -> DataFrame:
-    """``(src, dst, cnt)`` between unitigs, named by their first k-mer: edges that leave a last and enter a first k-mer."""
+    """``(src, dst, cnt, kmer)`` between unitigs, named by their first k-mer: edges that leave a last and enter a first k-mer."""
     last = unitigs.select(F.col("first_kmer").alias("src_unitig"), F.substring("seq", -k, k).alias("src"))
     first = unitigs.select(F.col("first_kmer").alias("dst"))
-    return edges.join(last, "src").join(first, "dst").select(F.col("src_unitig").alias("src"), "dst", "cnt")
+    kmer = F.concat(F.col("src"), F.substring("dst", -1, 1)).alias("kmer")
+    return edges.join(last, "src").join(first, "dst").select(F.col("src_unitig").alias("src"), "dst", "cnt", kmer)
 
 
 def with_degrees(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -21,15 +22,40 @@ def with_degrees(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return nodes.join(d, key, "left").fillna(0, ["indeg", "outdeg"])
 
 
-def tips(unitigs: DataFrame, edges: DataFrame, longest: int) -> DataFrame:
-    """Unitigs that hang on one side, are at most ``longest`` bases long and whose neighbour goes on elsewhere."""
-    u = with_degrees(unitigs, edges, "first_kmer")
-    d = degrees(edges)
-    hang = u.where((F.col("indeg") == 0) != (F.col("outdeg") == 0)).where(F.length("seq") <= longest)
-    near = edges.select(F.col("src").alias("first_kmer"), F.col("dst").alias("node")).union(edges.select("dst", "src"))
-    side = hang.select("first_kmer", "indeg").join(near, "first_kmer").join(d.select("node", F.col("indeg").alias("ni"), F.col("outdeg").alias("no")), "node")
-    branching = F.when(F.col("indeg") == 0, F.col("ni") > 1).otherwise(F.col("no") > 1)
-    return side.where(branching).select("first_kmer").distinct()
+def prevalences(unitigs: DataFrame, edges: DataFrame, k: int = 24) -> DataFrame:
+    """``(first_kmer, prevalence, n)``: the weight that leaves a unitig's k-mers, and how many they are."""
+    p = edges.groupBy(F.col("src").alias("kmer")).agg(F.sum("cnt").alias("w"))
+    at = S.explode_kmers(unitigs, ["first_kmer"], "seq", k)
+    both = at.join(p, "kmer", "left").groupBy("first_kmer")
+    return both.agg(F.sum(F.coalesce("w", F.lit(0))).alias("prevalence"), F.count(F.lit(1)).alias("n"))
+
+
+def suspicious(unitigs: DataFrame, links: DataFrame, edges: DataFrame, longest: int, least: float, k: int = 24) -> DataFrame:
+    """``(first_kmer)`` of unitigs to be removed: short ones without a way in or out, and those seen less than
+    ``least`` times on average that have no way in or out or lie between neighbours with two ways on average."""
+    u = with_degrees(unitigs, links, "first_kmer").join(prevalences(unitigs, edges, k), "first_kmer")
+    d = degrees(links)
+    before = links.join(d.select(F.col("node").alias("src"), "outdeg"), "src").groupBy(F.col("dst").alias("first_kmer")).agg(F.avg("outdeg").alias("before"))
+    after = links.join(d.select(F.col("node").alias("dst"), "indeg"), "dst").groupBy(F.col("src").alias("first_kmer")).agg(F.avg("indeg").alias("after"))
+    u = u.join(before, "first_kmer", "left").join(after, "first_kmer", "left")
+    hangs = (F.col("indeg") == 0) | (F.col("outdeg") == 0)
+    between = (F.col("before") >= 2) & (F.col("after") >= 2)
+    rare = (F.col("prevalence") / F.col("n") < least) & (hangs | between)
+    return u.where((hangs & (F.length("seq") <= longest)) | rare).select("first_kmer")
+
+
+def laid_reads(reads: DataFrame, edges: DataFrame, k: int = 24, key: str = "read_id") -> DataFrame:
+    """Reads that the graph spells: every (k+1)-mer of theirs is an edge."""
+    own = edges.select(F.concat("src", F.substring("dst", -1, 1)).alias("kmer"))
+    n = S.explode_kmers(reads, [key], "seq", k + 1).join(own, "kmer", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return reads.join(n, key).where(F.col("_n") == F.length("seq") - k).drop("_n")
+
+
+def edge_support(laid: DataFrame, links: DataFrame, k: int = 24, weight: str | None = None) -> DataFrame:
+    """``(src, dst, support)`` of each unitig edge: how often laid reads go along it, each as often as it was seen."""
+    w = F.lit(1) if weight is None else F.col(weight)
+    n = S.explode_kmers(laid.withColumn("_w", w), ["_w"], "seq", k + 1).groupBy("kmer").agg(F.sum("_w").alias("support"))
+    return links.join(n, "kmer", "left").select("src", "dst", F.coalesce("support", F.lit(0)).cast("long").alias("support"))
 
 
 def bubbles(unitigs: DataFrame, edges: DataFrame, share: float = 0.1) -> DataFrame:
@@ -59,20 +85,23 @@ def bridged(nodes: DataFrame, bridges: DataFrame) -> DataFrame:
     return j.select("node", (((left <= 0) & (right <= 0)) | ((left == 1) & (right == 1))).alias("is_bridged"))
 
 
-def exact_copy_counts(edges: DataFrame, read_length: float, overlap: int) -> DataFrame:
-    """Copy count of nodes: supporting reads of their out-edges over the places a read can have."""
-    per = F.greatest(F.lit(read_length - overlap - 1), F.lit(1.0))
-    return edges.groupBy(F.col("src").alias("node")).agg((F.sum("cnt") / per).alias("copy_count"))
+def exact_copy_counts(support: DataFrame, read_length: int, overlap: int) -> DataFrame:
+    """``(src, dst, copy_count)`` of edges: support over the places that a read along the edge can have."""
+    return support.select("src", "dst", (F.col("support") / float(max(read_length - overlap - 1, 1))).alias("copy_count"))
+
+
+def node_support(unitigs: DataFrame, support: DataFrame) -> DataFrame:
+    """``(first_kmer, copy_count)`` of nodes: the support of all edges that leave them."""
+    n = support.groupBy(F.col("src").alias("first_kmer")).agg(F.sum("support").alias("n"))
+    return unitigs.join(n, "first_kmer", "left").select("first_kmer", F.coalesce("n", F.lit(0)).alias("copy_count"))
 
 
-def approximate_copy_counts(edges: DataFrame, read_length: float, overlap: int) -> DataFrame:
-    """Copy count of edges: half the sum of both ends' prevalence over the places a read can have."""
-    p = edges.groupBy(F.col("src").alias("node")).agg(F.sum("cnt").alias("prevalence"))
-    a = p.select(F.col("node").alias("src"), F.col("prevalence").alias("pa"))
-    b = p.select(F.col("node").alias("dst"), F.col("prevalence").alias("pb"))
-    per = max(read_length - overlap - 1, 1)
-    both = edges.join(a, "src").join(b, "dst", "left")
-    return both.select("src", "dst", ((0.5 * (F.col("pa") + F.coalesce("pb", F.lit(0)))) / per).alias("copy_count"))
+def approximate_copy_counts(prevalence: DataFrame, links: DataFrame, read_length: int, overlap: int) -> DataFrame:
+    """``(src, dst, copy_count)`` of edges from the prevalence of both ends; 0 where no read can go along."""
+    per = float(max(read_length - overlap - 1, 0))
+    p = lambda side: prevalence.select(F.col("first_kmer").alias(side), F.col("prevalence").alias("p_" + side))
+    both = links.join(p("src"), "src").join(p("dst"), "dst")
+    return both.select("src", "dst", (0.5 * (F.col("p_src") + F.col("p_dst")) / per if per else F.lit(0.0)).alias("copy_count"))
 
 
 def path_pairs(paths: DataFrame, key: str, step: str, node: str) -> DataFrame:

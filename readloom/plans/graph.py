@@ -36,7 +36,7 @@ def _unitigs(spark, d):
 
 @register("unitig_edges", _UNITIGS + " SELECT src, dst, cnt FROM ue")
 def unitig_edges(spark, d):
-    return _unitigs(spark, d)[1]
+    return _unitigs(spark, d)[1].select("src", "dst", "cnt")
 
 
 @register("graph_stats", _UNITIGS + " SELECT (SELECT count(*) FROM u) AS n_nodes, (SELECT count(*) FROM ue) AS n_edges, (SELECT CAST(sum(length(seq)) AS BIGINT) FROM u) AS n_bases")
@@ -46,10 +46,40 @@ def graph_stats(spark, d):
     return u.agg(F.count(F.lit(1)).alias("n_nodes"), F.sum(F.length("seq")).alias("n_bases")).join(n).select("n_nodes", "n_edges", "n_bases")
 
 
-@register("suspicious_nodes", _UNITIGS + " SELECT DISTINCT a.first_kmer FROM ud a JOIN u USING (first_kmer) JOIN ue ON src = a.first_kmer OR dst = a.first_kmer JOIN ud b ON b.first_kmer = CASE WHEN src = a.first_kmer AND (dst <> a.first_kmer) THEN dst ELSE src END WHERE length(seq) <= 100 AND (a.indeg = 0) <> (a.outdeg = 0) AND CASE WHEN a.indeg = 0 THEN b.indeg > 1 ELSE b.outdeg > 1 END")
+_UP = ", up AS (SELECT first_kmer, CAST(sum(coalesce(w, 0)) AS BIGINT) AS prevalence, count(*) AS n FROM (SELECT first_kmer, substr(seq, i, 24) AS src FROM u, unnest(range(1, length(seq) - 22)) t(i)) LEFT JOIN (SELECT src, sum(cnt) AS w FROM edges GROUP BY src) USING (src) GROUP BY first_kmer)"
+_LAID = (
+    ", uk AS (SELECT a.first_kmer AS src, b.first_kmer AS dst, e.src || right(e.dst, 1) AS kmer FROM edges e JOIN u a ON a.last_node = e.src JOIN u b ON b.first_kmer = e.dst),"
+    " rk AS (SELECT read_id, substr(seq, i, 25) AS kmer FROM reads, unnest(range(1, 77)) t(i)),"
+    " laid AS (SELECT read_id FROM rk SEMI JOIN k1 USING (kmer) GROUP BY read_id HAVING count(*) = 76),"
+    " sup AS (SELECT src, dst, count(read_id) AS support FROM uk LEFT JOIN (SELECT read_id, kmer FROM rk SEMI JOIN laid USING (read_id)) USING (kmer) GROUP BY src, dst)"
+)
+#: Average prevalence below which a node of the query is rare; read length and overlap of k-mers.
+RARE, LENGTH, OVERLAP = 12.0, 100, 23
+
+
+@register("suspicious_nodes", _UNITIGS + _UP + f", pre AS (SELECT dst AS first_kmer, avg(outdeg) AS before FROM ue JOIN ud ON ud.first_kmer = ue.src GROUP BY dst), post AS (SELECT src AS first_kmer, avg(indeg) AS after FROM ue JOIN ud ON ud.first_kmer = ue.dst GROUP BY src) SELECT first_kmer FROM u JOIN ud USING (first_kmer) JOIN up USING (first_kmer) LEFT JOIN pre USING (first_kmer) LEFT JOIN post USING (first_kmer) WHERE ((indeg = 0 OR outdeg = 0) AND length(seq) <= 100) OR (prevalence / n::DOUBLE < {RARE} AND (indeg = 0 OR outdeg = 0 OR (before >= 2 AND after >= 2)))")
 def suspicious_nodes(spark, d):
-    u, e = _unitigs(spark, d)
-    return G.tips(u, e, 100)
+    e = _edges(spark, d)
+    u = K.unitigs(e)
+    return G.suspicious(u, G.unitig_graph(u, e), e, 100, RARE)
+
+
+@register("average_prevalence", _UNITIGS + _UP + " SELECT first_kmer, prevalence, n, prevalence / n::DOUBLE AS average FROM up")
+def average_prevalence(spark, d):
+    """Weight of a node over its number of k-mers; also its approximate copy count, as that number is its normalisation."""
+    e = _edges(spark, d)
+    return G.prevalences(K.unitigs(e), e).withColumn("average", F.col("prevalence") / F.col("n"))
+
+
+def _support(spark, d):
+    e = _edges(spark, d)
+    u = K.unitigs(e)
+    return u, G.edge_support(G.laid_reads(dna.reads(spark, d), e), G.unitig_graph(u, e))
+
+
+@register("known_edge_support", _UNITIGS + _LAID + " SELECT src, dst, support FROM sup")
+def known_edge_support(spark, d):
+    return _support(spark, d)[1]
 
 
 @register("bubble_pairs", _UNITIGS + ", p AS (SELECT dst AS first_kmer, string_agg(DISTINCT src, ',' ORDER BY src) AS pred FROM ue GROUP BY dst), s AS (SELECT src AS first_kmer, string_agg(DISTINCT dst, ',' ORDER BY dst) AS succ FROM ue GROUP BY src), x AS (SELECT * FROM u JOIN p USING (first_kmer) JOIN s USING (first_kmer)) SELECT a.first_kmer AS a, b.first_kmer AS b, CAST(hamming(a.seq, b.seq) AS INT) AS n_mismatches FROM x a JOIN x b ON a.pred = b.pred AND a.succ = b.succ AND length(a.seq) = length(b.seq) AND a.first_kmer < b.first_kmer WHERE hamming(a.seq, b.seq) < 0.1 * length(a.seq)")
@@ -77,14 +107,17 @@ def bridged_xnodes(spark, d):
     return G.bridged(n, G.bridging_reads(n, dna.reads(spark, d)))
 
 
-@register("copy_counts_exact", sql(*_DBG, body="SELECT src AS node, round(sum(cnt) / 76.0, 9)::DOUBLE AS copy_count FROM edges GROUP BY src"))
+@register("copy_counts_exact", _UNITIGS + _LAID + " SELECT first_kmer, CAST(coalesce(sum(support), 0) AS BIGINT) AS copy_count FROM u LEFT JOIN sup ON src = first_kmer GROUP BY first_kmer")
 def copy_counts_exact(spark, d):
-    return G.exact_copy_counts(_edges(spark, d), 100.0, 23).select("node", F.round("copy_count", 9).alias("copy_count"))
+    """Copy counts of nodes from reads laid on the graph; those of edges are in ``exported_edges``."""
+    return G.node_support(*_support(spark, d))
 
 
-@register("copy_counts_approx", sql(*_DBG, "p AS (SELECT src AS node, sum(cnt) AS prevalence FROM edges GROUP BY src)", body="SELECT e.src, e.dst, round((0.5 * (a.prevalence + coalesce(b.prevalence, 0))) / 76.0, 9)::DOUBLE AS copy_count FROM edges e JOIN p a ON a.node = e.src LEFT JOIN p b ON b.node = e.dst"))
+@register("copy_counts_approx", _UNITIGS + _UP + " SELECT src, dst, 0.5 * (a.prevalence + b.prevalence) / 76.0::DOUBLE AS copy_count FROM ue JOIN up a ON a.first_kmer = src JOIN up b ON b.first_kmer = dst")
 def copy_counts_approx(spark, d):
-    return G.approximate_copy_counts(_edges(spark, d), 100.0, 23).select("src", "dst", F.round("copy_count", 9).alias("copy_count"))
+    e = _edges(spark, d)
+    u = K.unitigs(e)
+    return G.approximate_copy_counts(G.prevalences(u, e), G.unitig_graph(u, e), LENGTH, OVERLAP)
 
 
 @register("self_loops", sql("seqs", "reads", body="SELECT kmer, count(*) AS cnt FROM (SELECT substr(seq, i, 5) AS kmer FROM reads, unnest(range(1, 97)) t(i)) WHERE left(kmer, 4) = right(kmer, 4) GROUP BY kmer"))
@@ -94,10 +127,10 @@ def self_loops(spark, d):
     return e.where("src = dst").select(F.concat("src", F.substring("dst", -1, 1)).alias("kmer"), "cnt")
 
 
-@register("exported_edges", sql(*_DBG, body="SELECT src, dst, cnt / 76.0::DOUBLE AS copy_count FROM edges WHERE floor(cnt / 4) > 0"))
+@register("exported_edges", _UNITIGS + _LAID + " SELECT src, dst, support / 76.0::DOUBLE AS copy_count FROM sup WHERE support > 0")
 def exported_edges(spark, d):
-    """Edges whose rounded support is above 0."""
-    return _edges(spark, d).where(F.floor(F.col("cnt") / 4) > 0).select("src", "dst", (F.col("cnt") / 76.0).alias("copy_count"))
+    """Edges that reads go along."""
+    return G.exact_copy_counts(_support(spark, d)[1], LENGTH, OVERLAP).where("copy_count > 0")
 
 
 @register("path_pairs", sql("seqs", "contigs", body="SELECT contig_id, i AS step, substr(seq, i * 24 + 1, 24) AS src, substr(seq, i * 24 + 25, 24) AS dst FROM contigs, unnest(range(0, greatest(length(seq) // 24 - 1, 0))) t(i)"))
@@ -123,11 +156,16 @@ def top_flows(spark, d):
     return e.withColumn("k", F.row_number().over(w)).where("k <= 10").drop("k")
 
 
-@register("source_sink_nodes", sql(*_DBG, _DEG, body="SELECT node, indeg = 0 AS is_source, outdeg = 0 AS is_sink FROM deg WHERE indeg = 0 OR outdeg = 0"))
+@register("source_sink_nodes", _UNITIGS + _LAID + ", cc AS (SELECT first_kmer AS node, indeg, outdeg, coalesce(s, 0) AS weight FROM ud LEFT JOIN (SELECT src AS first_kmer, sum(support) AS s FROM sup GROUP BY src) USING (first_kmer)) SELECT 'S' AS dummy, node, CAST(weight AS BIGINT) AS weight, CAST(CASE WHEN indeg = 0 THEN 0 ELSE -1 END AS INT) AS penalty FROM cc UNION ALL SELECT 'E', node, CAST(weight AS BIGINT), CASE WHEN outdeg = 0 THEN 0 ELSE -1 END FROM cc")
 def source_sink_nodes(spark, d):
-    """Nodes that a dummy start or end is joined to."""
-    g = K.degrees(_edges(spark, d))
-    return g.where("indeg = 0 or outdeg = 0").select("node", (F.col("indeg") == 0).alias("is_source"), (F.col("outdeg") == 0).alias("is_sink"))
+    """Edges from a dummy start and to a dummy end with the weights of their nodes.
+
+    Those of nodes that nothing enters or leaves are without penalty; the others are of the penalised variant.
+    """
+    u, support = _support(spark, d)
+    n = G.with_degrees(G.node_support(u, support), support, "first_kmer")
+    side = lambda name, deg: n.select(F.lit(name).alias("dummy"), F.col("first_kmer").alias("node"), F.col("copy_count").alias("weight"), F.when(F.col(deg) == 0, 0).otherwise(-1).alias("penalty"))
+    return side("S", "indeg").union(side("E", "outdeg"))
 
 
 @register("prevalence_percentiles", sql(*_DBG, "p AS (SELECT src, CAST(sum(cnt) AS BIGINT) AS w FROM edges GROUP BY src)", body="SELECT w, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY w) AS BIGINT) * 100 // (SELECT count(*) FROM p) AS percentile FROM p GROUP BY w"))
@@ -170,11 +208,21 @@ def vector_functions(spark, d):
     return x.select("contig_id", S.dot(F.col("n"), F.col("n")).alias("dot"), S.nth_largest(F.col("n"), 2).alias("second"))
 
 
-@register("list_intersections", sql("seqs", "reads", "pairs", body="SELECT pair_id, (SELECT count(*) FROM (SELECT substr(seq1, i, 3) FROM unnest(range(1, 99)) t(i) INTERSECT SELECT substr(seq2, i, 3) FROM unnest(range(1, 99)) t(i) INTERSECT SELECT substr(reverse(seq1), i, 3) FROM unnest(range(1, 99)) t(i))) AS n_common FROM pairs"))
+_THREES = "SELECT substr({0}, i, 3) FROM unnest(range(1, 99)) t(i)"
+
+
+def _common(*of: str) -> str:
+    return "(SELECT count(*) FROM (" + " INTERSECT ".join(_THREES.format(x) for x in of) + "))"
+
+
+@register("list_intersections", sql("seqs", "reads", "pairs", body="SELECT pair_id, " + _common("seq1", "seq2", "reverse(seq1)") + " AS n_common, " + _common("seq1", "seq2", "reverse(seq1)", "reverse(seq2)", "translate(seq1, 'ACGT', 'TGCA')") + " AS n_common5 FROM pairs"))
 def list_intersections(spark, d):
-    k = lambda c: S.kmers(c, 3)
-    three = F.array_intersect(F.array_intersect(k(F.col("seq1")), k(F.col("seq2"))), k(F.reverse("seq1")))
-    return dna.pairs(spark, d).select("pair_id", F.size(three).cast("long").alias("n_common"))
+    from functools import reduce
+
+    a, b = F.col("seq1"), F.col("seq2")
+    lists = [S.kmers(c, 3) for c in (a, b, F.reverse(a), F.reverse(b), S.complement(a))]
+    n = lambda k: F.size(reduce(F.array_intersect, lists[:k])).cast("long")
+    return dna.pairs(spark, d).select("pair_id", n(3).alias("n_common"), n(5).alias("n_common5"))
 
 
 @register("set_operations", sql("seqs", "reads", body="SELECT 'both' AS op, count(*) AS n FROM (SELECT left(seq, 10) FROM reads INTERSECT SELECT right(seq, 10) FROM reads) UNION ALL SELECT 'first', count(*) FROM (SELECT left(seq, 10) FROM reads EXCEPT SELECT right(seq, 10) FROM reads) UNION ALL SELECT 'any', count(*) FROM (SELECT left(seq, 10) FROM reads UNION SELECT right(seq, 10) FROM reads)"))
@@ -201,7 +249,13 @@ def header_tokens(spark, d):
     return t.select("doc_id", "header", last.alias("last_token"), S.is_number(F.substring(last, 4, 100)).alias("is_number"))
 
 
-@register("contigs_by_length", sql("seqs", "contigs", body="SELECT length(seq) AS n, count(*) AS n_contigs, min(contig_id) AS first_contig FROM contigs GROUP BY 1"))
+@register("contigs_by_length", sql("seqs", "contigs", body="SELECT contig_id, length(seq) AS n, row_number() OVER (ORDER BY length(seq) DESC, contig_id) AS place FROM contigs"))
 def contigs_by_length(spark, d):
-    c = dna.contigs(spark, d)
-    return c.groupBy(F.length("seq").alias("n")).agg(F.count(F.lit(1)).alias("n_contigs"), F.min("contig_id").alias("first_contig"))
+    """Contigs from the longest to the shortest, ties by id, with their places."""
+    from readloom.operators.numbering import row_numbers_within
+
+    c = dna.contigs(spark, d).select("contig_id", F.length("seq").alias("n"))
+    n = c.groupBy("n").agg(F.count(F.lit(1)).alias("k"))  # a row for each length
+    longer = n.select("n", (F.sum("k").over(W.orderBy(F.desc("n"))) - F.col("k")).alias("before"))
+    c = row_numbers_within(c, "n", "contig_id", "k").join(F.broadcast(longer), "n")
+    return c.select("contig_id", "n", (F.col("before") + F.col("k")).alias("place")).orderBy("place")

@@ -73,8 +73,17 @@ def read_multiplicity(spark, d):
     return dna.reads(spark, d).groupBy("seq").agg(F.count(F.lit(1)).alias("copies"), F.min("read_id").alias("first_read"))
 
 
-@register("polya_trim", sql("seqs", "contigs", body="SELECT contig_id, regexp_replace(regexp_replace(seq, '^(?:A{5,}|T{5,})', ''), '(?:A{5,}|T{5,})$', '') AS trimmed FROM contigs"))
+_TAIL = "length(regexp_replace(regexp_extract({0}, '^{1}*[^{1}]?{1}*'), '[^{1}]+$', ''))"
+
+
+@register("polya_trim", sql("seqs", "contigs", "cut AS (SELECT contig_id, seq, " + _TAIL.format("seq", "T") + " AS a, " + _TAIL.format("reverse(seq)", "A") + " AS b FROM contigs)", body="SELECT contig_id, substr(seq, CAST(a + 1 AS INT), CAST(greatest(length(seq) - a - b, 0) AS INT)) AS trimmed FROM cut"))
 def polya_trim(spark, d):
+    return dna.contigs(spark, d).select("contig_id", S.trim_tails(F.col("seq")).alias("trimmed"))
+
+
+@register("homopolymer_trim", sql("seqs", "contigs", body="SELECT contig_id, regexp_replace(regexp_replace(seq, '^(?:A{5,}|T{5,})', ''), '(?:A{5,}|T{5,})$', '') AS trimmed FROM contigs"))
+def homopolymer_trim(spark, d):
+    """The stricter rule: runs without another base, from a least length on."""
     return dna.contigs(spark, d).select("contig_id", S.trim_homopolymer_ends(F.col("seq"), 5).alias("trimmed"))
 
 
