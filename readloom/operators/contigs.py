@@ -30,6 +30,16 @@ def contig_edges(contigs: DataFrame, k: int = 24) -> DataFrame:
     return both.groupBy(F.col("a.contig_id").alias("src"), F.col("b.contig_id").alias("dst")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("w"))
 
 
+def contig_links(contigs: DataFrame, k: int = 24) -> DataFrame:
+    """``(src, dst)``: each contig and the least one that shares a k-mer with it.
+
+    Enough to tell components, and linear: a k-mer of m contigs gives m - 1 rows, not all their pairs.
+    """
+    n = contig_kmers(contigs, k).repartition("kmer").select("kmer", "contig_id").distinct()
+    low = n.withColumn("low", F.min("contig_id").over(W.partitionBy("kmer")))
+    return low.where("low != contig_id").select(F.col("low").alias("src"), F.col("contig_id").alias("dst")).distinct()
+
+
 def contig_components(contigs: DataFrame, edges: DataFrame) -> DataFrame:
     """``(contig_id, comp)``: the smallest contig of each component; isolated contigs are their own."""
     cc = connected_components(edges.select("src", "dst"))
@@ -37,15 +47,66 @@ def contig_components(contigs: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("contig_id", F.coalesce("component", "contig_id").alias("comp"))
 
 
+#: Width of a range of component names whose bins are told together.
+BIN_RANGE = 100_000_000
+
+
+def pack_bins(small: DataFrame, threshold: int, width: int = BIN_RANGE) -> DataFrame:
+    """``(comp, bin)`` of components ``(comp, n)`` in order: a bin is closed once its size exceeds ``threshold``.
+
+    The rule is sequential, but all that it remembers is the size of the open
+    bin, 0 to ``threshold``. So every range of components is run from each
+    possible size at once, the ranges' outcomes are chained (a row a range), and
+    every range is numbered from the size and bin that it really starts with.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = small.select("comp", "n", F.floor(F.col("comp") / width).alias("range"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        size, closed = np.arange(threshold + 1), np.zeros(threshold + 1, np.int64)
+        for n in pdf.sort_values("comp").n:
+            size = size + n
+            full = size > threshold
+            closed += full
+            size[full] = 0
+        return pd.DataFrame({"range": [pdf.range.iloc[0]], "size": [size.tolist()], "closed": [closed.tolist()]})
+
+    outcome = rows.groupBy("range").applyInPandas(run, "range long, size array<long>, closed array<long>")
+    outcome = Tables(small.sparkSession, "bins").save(outcome, "outcome")
+    chained = outcome.agg(F.sort_array(F.collect_list(F.struct("range", "size", "closed"))).alias("all"))
+    zero = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("bin"), F.array().cast("array<struct<range:bigint,size:bigint,bin:bigint>>").alias("out"))
+
+    def step(z, x):
+        start = F.struct(x["range"].alias("range"), z["size"].alias("size"), z["bin"].alias("bin"))
+        at = z["size"].cast("int")
+        return F.struct(F.get(x["size"], at).alias("size"), (z["bin"] + F.get(x["closed"], at)).alias("bin"), F.concat(z["out"], F.array(start)).alias("out"))
+
+    starts = chained.select(F.explode(F.aggregate("all", zero, step)["out"]).alias("s")).select("s.*")
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("comp")
+        size, at, out = int(pdf["size"].iloc[0]), int(pdf.bin.iloc[0]), []
+        for n in pdf.n:
+            out.append(at)
+            size += n
+            if size > threshold:
+                size, at = 0, at + 1
+        return pd.DataFrame({"comp": pdf.comp, "bin": out})
+
+    return rows.join(starts, "range").groupBy("range").applyInPandas(number, "comp long, bin long")
+
+
 def component_routing(components: DataFrame, threshold: int) -> DataFrame:
     """``(comp, n, route, parts, bin)``: single contigs, big components with their number of
-    parts (at most 100), and small ones packed into bins by a running size."""
+    parts (at most 100), and small ones packed into bins one after the other."""
     n = components.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
     route = F.when(F.col("n") == 1, "single").when(F.col("n") > threshold, "big").otherwise("small")
-    n = n.withColumn("route", route)
+    n = Tables(components.sparkSession, "routing").save(n.withColumn("route", route), "sizes")
     parts = F.when(F.col("route") == "big", F.least(F.ceil(F.col("n") / threshold), F.lit(100)))
-    before = F.sum("n").over(W.partitionBy("route").orderBy("comp")) - F.col("n")
-    return n.withColumn("parts", parts.cast("long")).withColumn("bin", F.when(F.col("route") == "small", F.floor(before / threshold)).cast("long"))
+    bins = pack_bins(n.where("route = 'small'").select("comp", "n"), threshold)
+    return n.withColumn("parts", parts.cast("long")).join(bins, "comp", "left")
 
 
 def penalised(edges: DataFrame, labels: DataFrame, penalty: int = 5) -> DataFrame:
@@ -124,6 +185,16 @@ def shared_cover(queries: DataFrame, targets: DataFrame, r: int, q: str, t: str)
     return covered(hits, [q, t], r)
 
 
+def aligned_away(contigs: DataFrame, share: float, r: int = 18, shortest: int = 200) -> DataFrame:
+    """``(contig_id)`` that align to another contig and are short, or lie on a longer one (of equal length, on one
+    of larger id) by more than ``share`` of their positions."""
+    m = shared_cover(contigs, contigs.withColumnRenamed("contig_id", "other"), r, "contig_id", "other")
+    n = contigs.select("contig_id", F.length("seq").alias("n"))
+    m = m.join(n, "contig_id").join(n.select(F.col("contig_id").alias("other"), F.col("n").alias("on")), "other")
+    inside = (F.col("on") > F.col("n")) | ((F.col("on") == F.col("n")) & (F.col("other") > F.col("contig_id")))
+    return m.where((F.col("n") < shortest) | ((F.col("match") > share * F.col("n")) & inside)).select("contig_id").distinct()
+
+
 def psl(contigs: DataFrame, truth: DataFrame, r: int = 24) -> DataFrame:
     """Alignment rows ``(match, q_name, q_size, t_name, t_size)`` by shared r-mers."""
     m = shared_cover(contigs, truth, r, "contig_id", "t_id")
@@ -149,12 +220,69 @@ def islands(positions: DataFrame) -> DataFrame:
     return p.withColumn("g", run).groupBy("name", "g").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).drop("g")
 
 
-def intersect_intervals(a: DataFrame, b: DataFrame, min_length: int) -> DataFrame:
-    """Overlaps of two sets of intervals of the same names, at least ``min_length`` long."""
+#: Buffers at the ends of a reference: a k-mer, and the distance of mates; least length of what is written.
+EDGE, INSERT, LEAST = 25, 200, 200
+
+
+def mate_places(pairs: DataFrame, truth: DataFrame, farthest: int = 500, r: int = 24) -> DataFrame:
+    """``(name, side, pos, n)``: places of mates that lie together on a reference, whole and without a mismatch.
+
+    Of a pair one mate lies forwards, the other backwards and not before it, both
+    within ``farthest``. The side of the forward mate is left, whichever it is.
+    """
+    at = contig_kmers(truth, r, "t_id").join(truth.withColumnRenamed("seq", "whole"), "t_id")
+    both = F.array(*(F.struct(F.lit(m).alias("mate"), F.lit(f).alias("forward"), (F.col(c) if f else S.reverse_complement(F.col(c))).alias("s")) for m, c in ((1, "seq1"), (2, "seq2")) for f in (True, False)))
+    q = pairs.select("pair_id", F.explode(both).alias("m")).select("pair_id", "m.*").withColumn("kmer", F.substring("s", 1, r))
+    seeds = broadcast_if_small(at.select("kmer", F.col("t_id").alias("name"), "pos", "whole"))
+    hit = q.join(seeds, "kmer").where(F.substring("whole", F.col("pos"), F.length("s")) == F.col("s"))
+    hit = hit.select("pair_id", "mate", "forward", "name", "pos", F.length("s").alias("n"))
+    hit = Tables(pairs.sparkSession, "mates").save(hit, "hits")
+    a, b = hit.where("forward").alias("a"), hit.where("not forward").alias("b")
+    near = (F.col("b.pos") >= F.col("a.pos")) & (F.col("b.pos") + F.col("b.n") - F.col("a.pos") <= farthest)
+    j = a.join(b, (F.col("a.pair_id") == F.col("b.pair_id")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.mate") != F.col("b.mate")) & near)
+    each = F.explode(F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"{y}.pos").alias("pos"), F.col(f"{y}.n").alias("n")) for x, y in (("left", "a"), ("right", "b")))))
+    return j.select("a.name", each.alias("e")).select("name", "e.*")
+
+
+def side_islands(places: DataFrame) -> DataFrame:
+    """``(name, side, lo, hi)``: runs of positions that the mates of a side cover."""
+    p = places.select("name", "side", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos")).distinct()
+    run = F.col("pos") - F.row_number().over(W.partitionBy("name", "side").orderBy("pos"))
+    return p.withColumn("g", run).groupBy("name", "side", "g").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).drop("g")
+
+
+def buffered(islands_: DataFrame, lengths: DataFrame, edge: int = EDGE, insert: int = INSERT) -> DataFrame:
+    """Islands ``(name, side, lo, hi, n)`` of references ``(name, n)`` covered on both sides, ends drawn out.
+
+    Left: the first starts at 1 if it starts before ``edge``, the last ends at
+    the end if less than ``insert`` is missing. Right: the first starts at 1 if it
+    starts before ``insert``; the last ends at the end if it ends before ``edge``,
+    which is the rule as it stands, though a distance from the end is meant.
+    """
+    w = W.partitionBy("name", "side")
+    i = islands_.join(lengths, "name").withColumn("first", F.min("lo").over(w)).withColumn("last", F.max("lo").over(w))
+    sides = islands_.groupBy("name").agg(F.countDistinct("side").alias("sides")).where("sides = 2").select("name")
+    left, first, last = F.col("side") == "left", F.col("lo") == F.col("first"), F.col("lo") == F.col("last")
+    lo = F.when(first & (F.col("lo") < F.when(left, edge).otherwise(insert)), 1).otherwise(F.col("lo"))
+    hi = F.when(last & F.when(left, F.col("hi") > F.col("n") - insert).otherwise(F.col("hi") < edge), F.col("n")).otherwise(F.col("hi"))
+    return i.join(sides, "name", "left_semi").select("name", "side", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), "n")
+
+
+def intersect_intervals(a: DataFrame, b: DataFrame, min_length: int = LEAST) -> DataFrame:
+    """Overlaps of two sets of intervals of the same names whose ends lie at least ``min_length`` apart."""
     x, y = a.alias("x"), b.alias("y")
     j = x.join(y, (F.col("x.name") == F.col("y.name")) & (F.col("x.lo") <= F.col("y.hi")) & (F.col("y.lo") <= F.col("x.hi")))
     out = j.select(F.col("x.name").alias("name"), F.greatest("x.lo", "y.lo").alias("lo"), F.least("x.hi", "y.hi").alias("hi"))
-    return out.where(F.col("hi") - F.col("lo") + 1 >= min_length)
+    return out.where(F.col("lo") + min_length <= F.col("hi"))
+
+
+def exact_matches(queries: DataFrame, targets: DataFrame, r: int = 24) -> DataFrame:
+    """``(q_name, t_name, n)``: length of all maximal exact matches of a query with a target, summed."""
+    t = contig_kmers(targets, r, "t_id").withColumnRenamed("pos", "at")
+    h = contig_kmers(queries, r).join(broadcast_if_small(t), "kmer").select(F.col("contig_id").alias("q_name"), F.col("t_id").alias("t_name"), (F.col("pos") - F.col("at")).alias("d"), "pos")
+    w = W.partitionBy("q_name", "t_name", "d").orderBy("pos")
+    starts = F.when(F.col("pos") - F.lag("pos").over(w) == 1, 1).otherwise(r)  # a match of m windows is m + r - 1 long
+    return h.withColumn("g", starts).groupBy("q_name", "t_name").agg(F.sum("g").cast("long").alias("n"))
 
 
 def best_hit(rows: DataFrame) -> DataFrame:

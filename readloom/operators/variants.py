@@ -51,17 +51,20 @@ def decompose_on_known_paths(a, b, supported: np.ndarray, seed: int = 0) -> np.n
 
 
 def fragments(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Union of overlapping intervals of two sorted lists; each interval is used once."""
+    """Union of overlapping intervals of two sorted lists; each interval is used once.
+
+    Of two that do not overlap the left one is passed if it starts first, and the
+    right one if it starts before the earlier end.
+    """
     out, i, j = [], 0, 0
     while i < len(left) and j < len(right):
         (a, b), (c, d) = left[i], right[j]
-        if b < c:
-            i += 1
-        elif d < a:
-            j += 1
-        else:
+        low, high = max(a, c), min(b, d)
+        if low <= high:
             out.append((min(a, c), max(b, d)))
             i, j = i + 1, j + 1
+        else:
+            i, j = i + (a < low), j + (c < high)
     return out
 
 
@@ -147,26 +150,3 @@ def pack_bins(sizes: list[tuple[int, int]], threshold: int) -> dict[int, int]:
         if size > threshold:
             bin_no, size = bin_no + 1, 0
     return out
-
-
-class FuzzyDict:
-    """Values of all keys within two substitutions of a key: one of three slices must be equal."""
-
-    PARTS, MOST = 3, 2
-
-    def __init__(self):
-        self.by = [{} for _ in range(self.PARTS)]
-
-    def _parts(self, key: str) -> list[str]:
-        n = len(key)
-        return [key[p * n // self.PARTS : (p + 1) * n // self.PARTS] for p in range(self.PARTS)]
-
-    def add(self, key: str, value) -> None:
-        for table, part in zip(self.by, self._parts(key)):
-            table.setdefault((len(key), part), {})[key] = value
-
-    def find(self, key: str) -> list:
-        near = {}
-        for table, part in zip(self.by, self._parts(key)):
-            near |= table.get((len(key), part), {})
-        return sorted(v for k, v in near.items() if sum(a != b for a, b in zip(k, key)) <= self.MOST)

@@ -8,6 +8,7 @@ from readloom.catalog import register
 from readloom.functions import sequence as S
 from readloom.operators import contigs as C
 from readloom.operators.kmers import count_kmers
+from readloom.operators.numbering import row_numbers_within
 from readloom.sources import dna
 from readloom.sources.dna import SQL, sql
 
@@ -21,7 +22,7 @@ def _edges(spark, d):
 
 def _components(spark, d):
     c = dna.contigs(spark, d)
-    return C.contig_components(c, C.contig_edges(c))
+    return C.contig_components(c, C.contig_links(c))
 
 
 @register("contig_edges", sql("seqs", "contigs", "c24", "cedges", body="SELECT src, dst, w FROM cedges"))
@@ -56,14 +57,22 @@ def component_stats(spark, d):
 _ROUTE = f", n AS (SELECT comp, count(*) AS n FROM comps GROUP BY comp), r AS (SELECT *, CASE WHEN n = 1 THEN 'single' WHEN n > {SIZE} THEN 'big' ELSE 'small' END AS route FROM n)"
 
 
-@register("component_routing", _COMP + _ROUTE + f" SELECT comp, n, route, CASE WHEN route = 'big' THEN least((n + {SIZE - 1}) // {SIZE}, 100) END AS parts, CASE WHEN route = 'small' THEN CAST((sum(n) OVER (PARTITION BY route ORDER BY comp) - n) // {SIZE} AS BIGINT) END AS bin FROM r")
+_BINS = (
+    f", o AS (SELECT comp, n, row_number() OVER (ORDER BY comp) AS i FROM r WHERE route = 'small'),"
+    f" pack AS (SELECT comp, i, CAST(0 AS BIGINT) AS bin, CASE WHEN n > {SIZE} THEN 0 ELSE n END AS size, n > {SIZE} AS closed FROM o WHERE i = 1"
+    f" UNION ALL SELECT o.comp, o.i, p.bin + CASE WHEN p.closed THEN 1 ELSE 0 END, CASE WHEN p.size + o.n > {SIZE} THEN 0 ELSE p.size + o.n END, p.size + o.n > {SIZE} FROM pack p JOIN o ON o.i = p.i + 1)"
+)
+
+
+@register("component_routing", _COMP + _ROUTE + _BINS + f" SELECT r.comp, r.n, route, CASE WHEN route = 'big' THEN least((r.n + {SIZE - 1}) // {SIZE}, 100) END AS parts, bin FROM r LEFT JOIN pack ON pack.comp = r.comp")
 def component_routing(spark, d):
     return C.component_routing(_components(spark, d), SIZE)
 
 
 @register("assignment_counts", _COMP + _ROUTE + " SELECT count(*) FILTER (route = 'single') AS singles, count(*) FILTER (route = 'small') AS simple, count(*) FILTER (route = 'big') AS complex, CAST(coalesce(sum(n) FILTER (route = 'big'), 0) AS BIGINT) AS complex_contigs FROM r")
 def assignment_counts(spark, d):
-    r = C.component_routing(_components(spark, d), SIZE)
+    r = _components(spark, d).groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    r = r.withColumn("route", F.when(F.col("n") == 1, "single").when(F.col("n") > SIZE, "big").otherwise("small"))
     n = lambda x: F.count(F.when(F.col("route") == x, 1))
     return r.agg(n("single").alias("singles"), n("small").alias("simple"), n("big").alias("complex"), F.coalesce(F.sum(F.when(F.col("route") == "big", F.col("n"))), F.lit(0)).alias("complex_contigs"))
 
@@ -73,7 +82,8 @@ def single_contigs(spark, d):
     from readloom.operators.numbering import row_numbers
 
     c = dna.contigs(spark, d)
-    single = C.component_routing(C.contig_components(c, C.contig_edges(c)), SIZE).where("route = 'single'").select(F.col("comp").alias("contig_id"))
+    n = C.contig_components(c, C.contig_links(c)).groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    single = n.where("n = 1").select(F.col("comp").alias("contig_id"))
     out = row_numbers(c.join(single, "contig_id", "left_semi").select("contig_id", "seq"), "contig_id", "n")
     return out.select(F.concat(F.lit("Single_"), "n").alias("name"), "seq")
 
@@ -118,10 +128,10 @@ def route_pairs(spark, d):
 def read_cap(spark, d):
     """The first reads of each component, as many as twice its contigs."""
     c = dna.contigs(spark, d)
-    m = C.contig_components(c, C.contig_edges(c))
+    m = C.contig_components(c, C.contig_links(c))
     own = c.join(m, "contig_id").groupBy("doc_id").agg(F.min("comp").alias("comp"))
     cap = m.groupBy("comp").agg((2 * F.count(F.lit(1))).alias("cap"))
-    r = dna.reads(spark, d).join(own, "doc_id").withColumn("read_no", F.row_number().over(W.partitionBy("comp").orderBy("read_id")))
+    r = row_numbers_within(dna.reads(spark, d).join(own, "doc_id").select("read_id", "comp"), "comp", "read_id", "read_no")
     return r.join(cap, "comp").where("read_no <= cap").select("read_id", "comp", "read_no")
 
 
@@ -188,6 +198,32 @@ def representatives_cover(spark, d):
     return c.join(gone.select("contig_id").distinct(), "contig_id", "left_anti").select("contig_id")
 
 
+def _selfalign(share: float) -> str:
+    return sql(
+        "seqs", "contigs", "c18 AS (SELECT contig_id, i AS pos, substr(seq, i, 18) AS kmer FROM contigs, unnest(range(1, length(seq) - 16)) t(i))",
+        "h AS (SELECT DISTINCT a.contig_id AS q, b.contig_id AS t, a.pos FROM c18 a JOIN c18 b ON a.kmer = b.kmer AND a.contig_id <> b.contig_id)",
+        "m AS (SELECT q, t, sum(g) AS m FROM (SELECT q, t, least(18, coalesce(lead(pos) OVER (PARTITION BY q, t ORDER BY pos) - pos, 18)) AS g FROM h) GROUP BY q, t)",
+        f"gone AS (SELECT DISTINCT q FROM m JOIN contigs a ON a.contig_id = q JOIN contigs b ON b.contig_id = t WHERE length(a.seq) < 200 OR (m > {share} * length(a.seq) AND (length(b.seq) > length(a.seq) OR length(b.seq) = length(a.seq) AND t > q)))",
+        body="SELECT contig_id FROM contigs WHERE contig_id NOT IN (SELECT q FROM gone)",
+    )
+
+
+def _by_alignment(spark, d, share: float):
+    c = dna.contigs(spark, d)
+    return c.join(C.aligned_away(c, share), "contig_id", "left_anti").select("contig_id")
+
+
+@register("representatives_alignment", _selfalign(0.99))
+def representatives_alignment(spark, d):
+    return _by_alignment(spark, d, 0.99)
+
+
+@register("representatives_alignment_90", _selfalign(0.9))
+def representatives_alignment_90(spark, d):
+    """The looser variant."""
+    return _by_alignment(spark, d, 0.9)
+
+
 _PSL = (
     "seqs", "contigs", "truth", "c24",
     "t24 AS (SELECT t_id, i AS pos, substr(seq, i, 24) AS kmer FROM truth, unnest(range(1, length(seq) - 22)) t(i))",
@@ -230,6 +266,32 @@ def best_hit_abundance(spark, d):
     return _abundance(spark, d).join(b, "t_name", "left").select("t_name", "abundance", F.coalesce("fraction", F.lit(0.0)).alias("fraction"))
 
 
+_MEM = "mem AS (SELECT q_name, t_name, CAST(sum(g) AS BIGINT) AS n FROM (SELECT a.contig_id AS q_name, t_id AS t_name, CASE WHEN a.pos - lag(a.pos) OVER (PARTITION BY a.contig_id, t_id, a.pos - b.pos ORDER BY a.pos) = 1 THEN 1 ELSE 24 END AS g FROM c24 a JOIN t24 b ON a.kmer = b.kmer) GROUP BY ALL)"
+
+
+@register("exact_match_abundance", sql(*_PSL[:5], _MEM, _ABUND, body="SELECT t_name, abundance, coalesce(max(n), 0) AS best FROM ab LEFT JOIN mem USING (t_name) GROUP BY t_name, abundance"))
+def exact_match_abundance(spark, d):
+    """The best query of a target by the sum of its maximal exact matches, beside the target's abundance."""
+    best = C.exact_matches(dna.contigs(spark, d), dna.truth(spark, d)).groupBy("t_name").agg(F.max("n").alias("best"))
+    return _abundance(spark, d).join(best, "t_name", "left").select("t_name", "abundance", F.coalesce("best", F.lit(0)).alias("best"))
+
+
+#: Limits of the coverage bins (fixed values); read length and number of reads of the coverage query.
+_LIMITS, _L, _N = (1, 10, 25, 50, 100, 1e10), 100, 20_000
+
+
+@register("coverage_bins", sql(*_PSL, _ABUND, "x AS (SELECT t_name, abundance, match, t_size FROM ab JOIN best USING (t_name))", "c AS (SELECT *, abundance * 100 / (SELECT sum(abundance * match) FROM x) * 20000 AS cov FROM x)", "l AS (SELECT * FROM (VALUES (1.0, 10.0), (10, 25), (25, 50), (50, 100), (100, 1e10)) v(lo, hi))", body="SELECT lo::DOUBLE AS bin, count(*) AS n, count(*) FILTER (match > 0.95 * t_size) AS n_reconstructed, CAST(sum(least(match, t_size)) AS BIGINT) AS bases_found, CAST(sum(t_size) AS BIGINT) AS bases FROM c JOIN l ON cov > lo AND cov <= hi GROUP BY lo"))
+def coverage_bins(spark, d):
+    """Recovered targets and bases by expected coverage: abundance as a share of all matched bases."""
+    x = C.best_hit(_psl(spark, d)).join(_abundance(spark, d), "t_name")
+    norm = x.agg(F.sum(F.col("abundance") * F.col("match")).alias("norm"))  # one row
+    cov = F.col("abundance") * _L / F.col("norm") * _N
+    lo = F.coalesce(*(F.when((cov > a) & (cov <= b), float(a)) for a, b in zip(_LIMITS, _LIMITS[1:])))
+    c = x.join(F.broadcast(norm)).withColumn("bin", lo).where("bin is not null").groupBy("bin")
+    found = F.sum(F.least("match", "t_size")).cast("long")
+    return c.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("match") > 0.95 * F.col("t_size"), 1)).alias("n_reconstructed"), found.alias("bases_found"), F.sum("t_size").cast("long").alias("bases"))
+
+
 @register("ab_fraction", sql(*_PSL, _ABUND, body="SELECT round(sum(abundance) FILTER (fraction > 0.9) / sum(abundance), 9) AS share FROM ab LEFT JOIN best USING (t_name)"))
 def ab_fraction(spark, d):
     x = best_hit_abundance(spark, d)
@@ -302,22 +364,77 @@ def breadth_filter(spark, d):
     return t.join(n, "name", "left").where("n_covered >= 0.9 * n").select("name", "n_covered")
 
 
-@register("interval_edges", sql(*_DEPTH, "i AS " + _ISLAND.format("dep"), "r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY lo) AS a, row_number() OVER (PARTITION BY name ORDER BY lo DESC) AS z, length(seq) AS n FROM i JOIN truth ON t_id = name)", body="SELECT name, CASE WHEN a = 1 AND lo <= 25 THEN 1 ELSE lo END AS lo, CASE WHEN z = 1 AND n - hi < 25 THEN n ELSE hi END AS hi FROM r"))
+_SIDES = (
+    "seqs", "reads", "pairs", "truth",
+    "t24 AS (SELECT t_id AS name, i AS pos, substr(seq, i, 24) AS kmer, seq AS whole FROM truth, unnest(range(1, length(seq) - 22)) t(i))",
+    f"m AS (SELECT pair_id, 1 AS mate, true AS forward, seq1 AS s FROM pairs UNION ALL SELECT pair_id, 1, false, {RC.format('seq1')} FROM pairs UNION ALL SELECT pair_id, 2, true, seq2 FROM pairs UNION ALL SELECT pair_id, 2, false, {RC.format('seq2')} FROM pairs)",
+    "hit AS (SELECT pair_id, mate, forward, name, pos FROM m JOIN t24 ON kmer = left(s, 24) AND substr(whole, pos, 100) = s)",
+    "con AS (SELECT a.name, a.pos AS l, b.pos AS r FROM hit a JOIN hit b ON a.pair_id = b.pair_id AND a.name = b.name AND a.mate <> b.mate AND a.forward AND NOT b.forward AND b.pos >= a.pos AND b.pos + 100 - a.pos <= 500)",
+    "cov AS (SELECT DISTINCT name, 'left' AS side, unnest(range(l, l + 100)) AS pos FROM con UNION SELECT DISTINCT name, 'right', unnest(range(r, r + 100)) FROM con)",
+    "isl AS (SELECT name, side, min(pos) AS lo, max(pos) AS hi FROM (SELECT *, pos - row_number() OVER (PARTITION BY name, side ORDER BY pos) AS g FROM cov) GROUP BY name, side, g)",
+)
+_BUFFERED = (
+    *_SIDES,
+    "num AS (SELECT i.*, length(seq) AS n, row_number() OVER (PARTITION BY name, side ORDER BY lo) AS a, row_number() OVER (PARTITION BY name, side ORDER BY lo DESC) AS z FROM isl i JOIN truth ON t_id = name WHERE name IN (SELECT name FROM isl GROUP BY name HAVING count(DISTINCT side) = 2))",
+    "buf AS (SELECT name, side, CASE WHEN a = 1 AND lo < CASE side WHEN 'left' THEN 25 ELSE 200 END THEN 1 ELSE lo END AS lo, CASE WHEN z = 1 AND CASE side WHEN 'left' THEN hi > n - 200 ELSE hi < 25 END THEN n ELSE hi END AS hi, n FROM num)",
+)
+
+
+def _buffered(spark, d):
+    t = dna.truth(spark, d)
+    i = C.side_islands(C.mate_places(dna.pairs(spark, d), t))
+    return C.buffered(i, t.select(F.col("t_id").alias("name"), F.length("seq").alias("n")))
+
+
+@register("mate_intervals", sql(*_SIDES, body="SELECT * FROM isl"))
+def mate_intervals(spark, d):
+    """What the forward and the backward mates of pairs cover, apart."""
+    return C.side_islands(C.mate_places(dna.pairs(spark, d), dna.truth(spark, d)))
+
+
+@register("interval_edges", sql(*_BUFFERED, body="SELECT name, side, lo, hi FROM buf"))
 def interval_edges(spark, d):
-    """First and last intervals reach the ends if they come within 25 of them."""
-    t = dna.truth(spark, d).select(F.col("t_id").alias("name"), F.length("seq").alias("n"))
-    i = C.islands(_depth(spark, d)).join(t, "name")
-    w = W.partitionBy("name")
-    i = i.withColumn("a", F.min("lo").over(w)).withColumn("z", F.max("lo").over(w))
-    lo = F.when((F.col("lo") == F.col("a")) & (F.col("lo") <= 25), 1).otherwise(F.col("lo"))
-    hi = F.when((F.col("lo") == F.col("z")) & (F.col("n") - F.col("hi") < 25), F.col("n")).otherwise(F.col("hi"))
-    return i.select("name", lo.alias("lo"), hi.alias("hi"))
+    return _buffered(spark, d).select("name", "side", "lo", "hi")
 
 
-@register("interval_intersection", sql(*_DEPTH, "x AS " + _ISLAND.format("(SELECT * FROM dep WHERE depth >= 2)"), "y AS " + _ISLAND.format("(SELECT * FROM dep WHERE depth <= 60)"), body="SELECT x.name, greatest(x.lo, y.lo) AS lo, least(x.hi, y.hi) AS hi FROM x JOIN y ON x.name = y.name AND x.lo <= y.hi AND y.lo <= x.hi WHERE least(x.hi, y.hi) - greatest(x.lo, y.lo) + 1 >= 20"))
+@register("interval_intersection", sql(*_BUFFERED, body="SELECT x.name, greatest(x.lo, y.lo) AS lo, least(x.hi, y.hi) AS hi FROM buf x JOIN buf y ON x.name = y.name AND x.side = 'left' AND y.side = 'right' WHERE greatest(x.lo, y.lo) + 200 <= least(x.hi, y.hi)"))
 def interval_intersection(spark, d):
-    x = _depth(spark, d)
-    return C.intersect_intervals(C.islands(x.where("depth >= 2")), C.islands(x.where("depth <= 60")), 20)
+    from readloom.session import Tables
+
+    b = Tables(spark, "intervals").save(_buffered(spark, d), "buffered")
+    return C.intersect_intervals(b.where("side = 'left'"), b.where("side = 'right'"))
+
+
+_SWEEP = (
+    "lf AS (SELECT name, lo, hi, n, row_number() OVER (PARTITION BY name ORDER BY lo) AS i FROM buf WHERE side = 'left')",
+    "rt AS (SELECT name, lo, hi, row_number() OVER (PARTITION BY name ORDER BY lo) AS j FROM buf WHERE side = 'right')",
+    "ptr AS (SELECT DISTINCT name, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, 0 AS step FROM lf UNION ALL SELECT p.name,"
+    " p.i + CASE WHEN greatest(l.lo, r.lo) <= least(l.hi, r.hi) OR l.lo < greatest(l.lo, r.lo) THEN 1 ELSE 0 END,"
+    " p.j + CASE WHEN greatest(l.lo, r.lo) <= least(l.hi, r.hi) OR r.lo < least(l.hi, r.hi) THEN 1 ELSE 0 END, p.step + 1 FROM ptr p JOIN lf l ON l.name = p.name AND l.i = p.i JOIN rt r ON r.name = p.name AND r.j = p.j)",
+    "fr AS (SELECT p.name, p.step, least(l.lo, r.lo) AS lo, greatest(l.hi, r.hi) AS hi, l.n FROM ptr p JOIN lf l ON l.name = p.name AND l.i = p.i JOIN rt r ON r.name = p.name AND r.j = p.j WHERE greatest(l.lo, r.lo) <= least(l.hi, r.hi) AND least(l.lo, r.lo) + 200 <= greatest(l.hi, r.hi))",
+)
+
+
+@register("fragment_intervals", "WITH RECURSIVE " + sql(*_BUFFERED, *_SWEEP, body="SELECT name || CASE WHEN lo = 1 AND hi = n THEN '' ELSE '_frag_' || (row_number() OVER (PARTITION BY name ORDER BY step) - 1) END AS fragment, lo, hi, substr(seq, lo, hi - lo + 1) AS seq FROM fr JOIN truth ON t_id = name")[5:])
+def fragment_intervals(spark, d):
+    """References cut to the unions of left and right intervals that overlap; each interval is used once."""
+    import pandas as pd
+
+    from readloom.operators.variants import fragments
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("lo")
+        a, b = (list(zip(x.lo, x.hi)) for x in (pdf[pdf.side == "left"], pdf[pdf.side == "right"]))
+        made = [(lo, hi) for lo, hi in fragments(a, b) if lo + C.LEAST <= hi]
+        rows = [(pdf.ref.iloc[0], i, lo, hi, pdf.n.iloc[0]) for i, (lo, hi) in enumerate(made)]
+        return pd.DataFrame(rows, columns=["ref", "i", "lo", "hi", "n"])
+
+    sides = _buffered(spark, d).withColumnRenamed("name", "ref")
+    f = sides.groupBy("ref").applyInPandas(merge, "ref long, i long, lo long, hi long, n long")
+    f = f.join(dna.truth(spark, d), F.col("ref") == F.col("t_id"))
+    whole = (F.col("lo") == 1) & (F.col("hi") == F.col("n"))
+    name = F.concat(F.col("ref").cast("string"), F.when(whole, "").otherwise(F.concat(F.lit("_frag_"), "i")))
+    return f.select(name.alias("fragment"), "lo", "hi", F.substring("seq", F.col("lo").cast("int"), (F.col("hi") - F.col("lo") + 1).cast("int")).alias("seq"))
 
 
 @register("abundance_filter", sql(*_DEPTH, body="SELECT name FROM (SELECT t_id AS name, sum(depth) / 24.0 AS est_counts, length(any_value(seq)) - 99 AS eff_length FROM truth JOIN dep ON name = t_id GROUP BY t_id) WHERE est_counts / greatest(eff_length, 1) * 100 >= 50"))
