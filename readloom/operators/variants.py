@@ -7,47 +7,95 @@ import numpy as np
 from readloom.operators.flow import decompose_node
 
 
-def smooth_copy_counts(edges: dict[tuple, float], norm: int = 2, rounds: int = 200) -> dict[tuple, float]:
-    """Edge weights changed as little as possible so that flow is conserved at inner nodes.
+def smooth_copy_counts(edges: dict[tuple, float], norm: int = 2, lengths: dict[tuple, float] | None = None) -> dict[tuple, float]:
+    """Edge weights of at least 0, changed as little as possible so that flow is conserved at inner nodes.
 
-    ``norm`` 2 projects onto conserved flows; ``norm`` 1 does so by reweighted
-    projections, which leaves most edges alone. Weights stay at or above 0.
+    ``norm`` 2: least sum of squares, weighted by ``lengths``; ``norm`` 1: least sum
+    of changes, weighted by their roots. Both give the optimum.
     """
     keys = sorted(edges)
-    x0 = np.array([edges[e] for e in keys], float)
-    inner = sorted({u for u, _ in keys} & {v for _, v in keys})
+    size = np.array([(lengths or {}).get(e, 1.0) for e in keys], float)
+    c = np.array([edges[e] for e in keys], float)
+    inner = {v: i for i, v in enumerate(sorted({u for u, _ in keys} & {v for _, v in keys}))}
+    x = _closest_flow(keys, c, size, inner) if norm == 2 else _cheapest_flow(keys, c, np.sqrt(size), inner)
+    return dict(zip(keys, x.tolist()))
+
+
+def _closest_flow(keys, c, size, inner, tol: float = 1e-11, rounds: int = 100_000) -> np.ndarray:
+    """Dykstra's alternating projections onto conserved flows and onto weights of at least 0, in the scale of ``size``."""
+    root = np.sqrt(size)
     a = np.zeros((len(inner), len(keys)))
     for j, (u, v) in enumerate(keys):
         if v in inner:
-            a[inner.index(v), j] += 1
+            a[inner[v], j] += 1
         if u in inner:
-            a[inner.index(u), j] -= 1
-    x, w = x0.copy(), np.ones(len(keys))
+            a[inner[u], j] -= 1
+    a = a / root
+    onto = np.linalg.pinv(a) @ a if len(inner) else np.zeros((len(keys), len(keys)))
+    y, more = c * root, np.zeros(len(keys))
     for _ in range(rounds):
-        if len(inner):
-            scaled = a / w
-            step = np.linalg.lstsq(scaled @ a.T, a @ x0, rcond=None)[0]
-            y = x0 - (a.T @ step) / w
-        else:
-            y = x0
-        if norm == 1:
-            w = 1 / np.maximum(np.abs(y - x0), 1e-6)
-            w = w / w.max()
-        low = y < 0
-        if low.any():
-            w = np.where(low, w * 0.5, w)
-            y = np.maximum(y, 0)
-        if np.abs(y - x).max() < 1e-9:
-            x = y
-            break
-        x = y
-    return dict(zip(keys, x.tolist()))
+        x = y - onto @ y
+        z = np.maximum(x + more, 0)
+        more = x + more - z
+        if np.abs(z - y).max(initial=0) <= tol * max(1.0, np.abs(y).max(initial=0)) and np.abs(z - x).max(initial=0) <= tol * max(1.0, np.abs(x).max(initial=0)):
+            return z / root
+        y = z
+    raise RuntimeError("smoothing did not settle")
+
+
+def _cheapest_flow(keys, c, cost, inner) -> np.ndarray:
+    """Surpluses of inner nodes sent to deficits along the cheapest changes: more on an edge, or less down to 0.
+
+    Whatever is not an inner node takes and gives any amount.
+    """
+    x, outside = c.copy(), len(inner)
+    at = lambda v: inner.get(v, outside)
+    ends = [(at(u), at(v)) for u, v in keys]
+    n = len(inner) + 1
+    while True:
+        spare = np.zeros(n)
+        for (u, v), f in zip(ends, x):
+            spare[v] += f
+            spare[u] -= f
+        spare[outside] = 0
+        tiny = 1e-9 * max(1.0, np.abs(c).max(initial=0))
+        if not (np.abs(spare) > tiny).any():
+            return x
+        # from a node with a surplus (or the outside) to one with a deficit (or the outside)
+        over = spare > tiny
+        start = over if over.any() else np.arange(n) == outside
+        goal = (spare < -tiny) | (np.arange(n) == outside) if over.any() else spare < -tiny
+        dist, via = np.where(start, 0.0, np.inf), [None] * n
+        for _ in range(n):
+            moved = False
+            for j, (u, v) in enumerate(ends):
+                up = -cost[j] if x[j] < c[j] - tiny else cost[j]
+                down = -cost[j] if x[j] > c[j] + tiny else cost[j]
+                room = c[j] - x[j] if x[j] < c[j] - tiny else np.inf
+                back = x[j] - c[j] if x[j] > c[j] + tiny else x[j]
+                if dist[u] + up < dist[v] - 1e-12:
+                    dist[v], via[v], moved = dist[u] + up, (j, 1, u, room), True
+                if back > tiny and dist[v] + down < dist[u] - 1e-12:
+                    dist[u], via[u], moved = dist[v] + down, (j, -1, v, back), True
+            if not moved:
+                break
+        end = int(np.argmin(np.where(goal & ~start, dist, np.inf)))
+        path, v = [], end
+        while via[v] is not None and len(path) <= n:
+            path.append(via[v])
+            v = via[v][2]
+        amount = min(room for *_, room in path)
+        if v != outside:
+            amount = min(amount, spare[v])
+        if end != outside:
+            amount = min(amount, -spare[end])
+        for j, sign, _, _ in path:
+            x[j] = max(x[j] + sign * amount, 0.0)
 
 
 def decompose_on_known_paths(a, b, supported: np.ndarray, seed: int = 0) -> np.ndarray:
     """Node decomposition in which pairs that no known path supports get no flow, where any pair is supported."""
-    x = decompose_node(a, b, supported, seed)
-    return np.where(supported, x, 0) if supported.any() else x
+    return decompose_node(a, b, supported, seed, known_only=True)
 
 
 def fragments(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -68,10 +116,45 @@ def fragments(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> list
     return out
 
 
-def split_cycle(graph, cycle: list[int]) -> None:
-    """Open a cycle at the edge that its rarest node leaves by, keeping every node."""
-    v = min(cycle, key=lambda x: (graph.prevalence[x] / graph.size[x], graph.seq[x]))
-    graph.cut(v, cycle[(cycle.index(v) + 1) % len(cycle)])
+def split_cycle(nodes: dict, edges: dict, cycle: list) -> tuple[dict, dict]:
+    """Nodes and edges with a cycle opened without loss of flow: one of its nodes becomes two.
+
+    The clone ``(node, "clone")`` gets the cycle's edge in and the other edges
+    out, the node keeps the other edges in and the cycle's edge out. The node is
+    one with several edges on both sides (else on one) whose other edges fit best;
+    if one of them has an edge to itself, that edge is dropped instead.
+    """
+    nodes, edges = dict(nodes), dict(edges)
+    ins = {v: [u for u, w in edges if w == v] for v in cycle}
+    outs = {v: [w for u, w in edges if u == v] for v in cycle}
+    forks = [v for v in cycle if len(ins[v]) > 1 and len(outs[v]) > 1] or [v for v in cycle if len(ins[v]) > 1 or len(outs[v]) > 1]
+    if not forks:
+        return nodes, edges
+    loop = next((v for v in forks if (v, v) in edges), None)
+    if loop is not None:
+        del edges[loop, loop]
+        return nodes, edges
+
+    def sides(v):
+        i = cycle.index(v)
+        u, w = cycle[i - 1], cycle[(i + 1) % len(cycle)]
+        return u, w, sum(edges[x, v] for x in ins[v] if x != u), sum(edges[v, x] for x in outs[v] if x != w)
+
+    def misfit(v):
+        u, w, other_in, other_out = sides(v)
+        return abs(other_in - edges[v, w]) + abs(other_out - edges[u, v])
+
+    v = min(forks, key=lambda x: (misfit(x), cycle.index(x)))
+    u, w, other_in, other_out = sides(v)
+    total = edges[u, v] + edges[v, w] + other_in + other_out
+    share = (edges[u, v] + other_out) / total if total else 0.5
+    clone = (v, "clone")
+    nodes[clone], nodes[v] = nodes[v] * share, nodes[v] * (1 - share)
+    edges[u, clone] = edges.pop((u, v))
+    for x in outs[v]:
+        if x != w:
+            edges[clone, x] = edges.pop((v, x))
+    return nodes, edges
 
 
 def short_cycle(graph, start: int, most: int = 100) -> list[int] | None:
@@ -139,14 +222,3 @@ def all_sequences(graph, most_visits: int = 2) -> list[str]:
                 found.append(graph.spell(path))
             stack += [(*path, w) for w in nxt]
     return found
-
-
-def pack_bins(sizes: list[tuple[int, int]], threshold: int) -> dict[int, int]:
-    """Bins of small components in order: a bin is closed once its size exceeds the threshold."""
-    out, bin_no, size = {}, 0, 0
-    for comp, n in sizes:
-        out[comp] = bin_no
-        size += n
-        if size > threshold:
-            bin_no, size = bin_no + 1, 0
-    return out

@@ -124,6 +124,17 @@ def route_pairs(spark, d):
     return C.route(dna.pairs(spark, d), "pair_id", ["seq1", "seq2"], C.kmer_components(dna.contigs(spark, d), _components(spark, d)))
 
 
+@register("route_pairs_both", _COMP + _KCOMP + f", {SQL['reads']}, {SQL['pairs']}, o AS (SELECT pair_id, 0 AS strand, seq1 AS a, {RC.format('seq2')} AS b FROM pairs UNION ALL SELECT pair_id, 1, seq2, {RC.format('seq1')} FROM pairs) SELECT DISTINCT pair_id, strand, comp FROM (SELECT pair_id, strand, unnest([{_tiles('a')}, {_tiles('b')}]) AS kmer FROM o) JOIN kcomp USING (kmer)")
+def route_pairs_both(spark, d):
+    """Pairs routed in both orders: the left mate with the right one turned, and the right mate with the left one turned."""
+    rc = S.reverse_complement
+    both = F.array(F.struct(F.col("seq1").alias("a"), rc(F.col("seq2")).alias("b")), F.struct(F.col("seq2").alias("a"), rc(F.col("seq1")).alias("b")))
+    p = dna.pairs(spark, d).select("pair_id", F.posexplode(both).alias("strand", "m"))
+    p = p.select(F.struct("pair_id", "strand").alias("key"), F.col("m.a").alias("a"), F.col("m.b").alias("b"))
+    out = C.route(p, "key", ["a", "b"], C.kmer_components(dna.contigs(spark, d), _components(spark, d)))
+    return out.select("key.pair_id", "key.strand", "comp")
+
+
 @register("read_cap", _COMP + ", own AS (SELECT c.doc_id, min(m.comp) AS comp FROM contigs c JOIN comps m USING (contig_id) GROUP BY 1), " + SQL["reads"] + ", cap AS (SELECT comp, 2 * count(*) AS cap FROM comps GROUP BY comp), r AS (SELECT read_id, comp, row_number() OVER (PARTITION BY comp ORDER BY read_id) AS read_no FROM reads JOIN own USING (doc_id)) SELECT read_id, comp, read_no FROM r JOIN cap USING (comp) WHERE read_no <= cap")
 def read_cap(spark, d):
     """The first reads of each component, as many as twice its contigs."""
@@ -449,9 +460,9 @@ def abundance_filter(spark, d):
 def mate_repair(spark, d):
     """Mates that correction dropped are replaced by a run of A (right) or T (left)."""
     p = dna.pairs(spark, d, S.BASES_N)
-    l = p.where(~S.has_unread(F.col("seq1"))).select("pair_id", "seq1")  # noqa: E741
-    r = p.where(~S.has_unread(F.col("seq2"))).select("pair_id", "seq2")
-    return l.join(r, "pair_id", "full").select("pair_id", F.coalesce("seq1", F.lit("T" * 28)).alias("seq1"), F.coalesce("seq2", F.lit("A" * 28)).alias("seq2"))
+    bad = {c: S.has_unread(F.col(c)) for c in ("seq1", "seq2")}
+    p = p.where(~(bad["seq1"] & bad["seq2"]))  # both mates are in the row: no join is needed
+    return p.select("pair_id", *(F.when(bad[c], F.lit(x * 28)).otherwise(F.col(c)).alias(c) for c, x in (("seq1", "T"), ("seq2", "A"))))
 
 
 @register("fuzzy_lookup", sql("seqs", "contigs", "k AS (SELECT DISTINCT left(seq, 24) AS key FROM contigs WHERE length(seq) = 400)", "q AS (SELECT DISTINCT right(seq, 24) AS query FROM contigs WHERE length(seq) = 400 UNION SELECT DISTINCT substr(seq, 1, 11) || 'A' || substr(seq, 13, 12) FROM contigs WHERE length(seq) = 400)", body="SELECT query, key, CAST(hamming(query, key) AS INT) AS n FROM q JOIN k ON hamming(query, key) <= 2"))

@@ -48,6 +48,21 @@ def overlapping_reads(spark: SparkSession, sf_dir: str, stride: int = 25) -> Dat
     return out.select((F.col("doc_id") * SPAN + F.col("w.j")).alias("read_id"), F.col("w.seq").alias("seq"))
 
 
+def overlapping_pairs(spark: SparkSession, sf_dir: str, stride: int = 25, apart: int = 200) -> DataFrame:
+    """``(pair_id, seq1, seq2)``: the ends of pieces of ``apart + 100`` bases at every ``stride``, facing each other."""
+    n = F.floor((F.length("seq") - READ - apart) / stride).cast("long")
+    cut = F.transform(
+        F.sequence(F.lit(0).cast("long"), n),
+        lambda j: F.struct(
+            j.alias("j"),
+            F.substring("seq", (j * stride + 1).cast("int"), F.lit(READ)).alias("a"),
+            F.substring("seq", (j * stride + apart + 1).cast("int"), F.lit(READ)).alias("b"),
+        ),
+    )
+    out = sequences(spark, sf_dir).where(F.length("seq") >= READ + apart).select("doc_id", F.explode(cut).alias("w"))
+    return out.select((F.col("doc_id") * SPAN + F.col("w.j")).alias("pair_id"), F.col("w.a").alias("seq1"), S.reverse_complement(F.col("w.b")).alias("seq2"))
+
+
 def pairs(spark: SparkSession, sf_dir: str, bases: str = S.BASES) -> DataFrame:
     """``(pair_id, seq1, seq2)``: a read and the reverse complement of the next one of its document."""
     r = reads(spark, sf_dir, bases)

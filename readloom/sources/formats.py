@@ -33,15 +33,27 @@ def read_weighted_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """``(name, seq, qual)``: records of four lines.
 
-    A quality line may start with ``@``, so records are told by the line's place:
-    lines are numbered within the file and every four belong together.
+    The file is cut where a line starts with ``@``, so that Spark can split it. A
+    quality line may start so too: then the piece before lacks its last line,
+    which is the whole piece behind, as records have no other inner ``@``.
     """
+    raw = spark.read.option("lineSep", "\n@").text(path)
+    piece = F.regexp_replace(F.regexp_replace("value", "\r", ""), "\n$", "")
+    m = raw.select(piece.alias("p"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    whole = F.col("p").rlike(r"^@?[^\n]*\n[^\n]*\n\+[^\n]*\n[^\n]*$")
+    cut = F.col("p").rlike(r"^@?[^\n]*\n[^\n]*\n\+[^\n]*$")
+    # only pieces at such a place are looked at with their neighbours, across the end of a split if need be
     from pyspark.sql import Window as W
 
-    whole = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("i"), F.input_file_name().alias("file"))
-    n = whole.withColumn("n", F.row_number().over(W.partitionBy("file").orderBy("i")) - 1)
-    g = n.groupBy("file", F.floor(F.col("n") / 4).alias("rec")).agg(*(F.max(F.when(F.col("n") % 4 == k, F.col("value"))).alias(f"l{k}") for k in (0, 1, 3)))
-    return g.select(F.expr("substring(l0, 2)").alias("name"), F.upper("l1").alias("seq"), F.col("l3").alias("qual")).where("l0 is not null")
+    odd = m.where(~whole)
+    lead = odd.withColumn("next", F.lead("p").over(W.partitionBy("file", "block").orderBy("i"))).where(cut)
+    first = odd.groupBy("file", "block").agg(F.min_by("p", "i").alias("p"))  # a row for each split
+    after = F.lead("p").over(W.partitionBy("file").orderBy("block"))
+    first = first.select(F.col("file").alias("f2"), F.col("block").alias("b2"), after.alias("over"))
+    odd = lead.join(first, (F.col("file") == F.col("f2")) & (F.col("block") == F.col("b2")))
+    odd = odd.withColumn("p", F.concat("p", F.lit("\n@"), F.coalesce("next", "over", F.lit(""))))
+    f = m.where(whole).select("p").union(odd.select("p")).select(F.split(F.regexp_replace("p", "^@", ""), "\n").alias("f"))
+    return f.select(F.col("f")[0].alias("name"), F.upper(F.col("f")[1]).alias("seq"), F.col("f")[3].alias("qual"))
 
 
 def name_mates(fastq: DataFrame, mate: int) -> DataFrame:
@@ -103,6 +115,80 @@ def read_isoforms(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.col("f")[0].alias("name"), F.col("f")[5].alias("isoform_group"), F.col("f")[6].cast("int").alias("n_isoforms"))
 
 
+def read_kmer_graph(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``(seq, prevalence)`` and edges ``(src, dst, overlap, copy_count)`` of tables of k-mers and (k+1)-mers.
+
+    Numbers are rounded; a repeated node adds up, of a repeated edge the largest count stands.
+    """
+    n, e = (_fields(spark, p).where(F.size("f") >= 2).select(F.upper(F.col("f")[0]).alias("s"), F.round(F.col("f")[1].cast("double")).cast("long").alias("w")) for p in (nodes, edges))
+    n = n.groupBy(F.col("s").alias("seq")).agg(F.sum("w").alias("prevalence"))
+    size = F.length("s")
+    ends = e.select(F.expr("left(s, length(s) - 1)").alias("src"), F.expr("right(s, length(s) - 1)").alias("dst"), (size - 2).alias("overlap"), "w")
+    return n, ends.groupBy("src", "dst", "overlap").agg(F.max("w").alias("copy_count"))
+
+
+def read_condensed(spark: SparkSession, nodes: str, edges: str, k: int = 24) -> tuple[DataFrame, DataFrame]:
+    """Condensed nodes ``(node, seq, prevalence)`` and edges ``(src, dst, overlap)``; edges overlap by ``k - 1``."""
+    n = _fields(spark, nodes).where(F.size("f") >= 3)
+    n = n.select(F.col("f")[0].alias("node"), F.upper(F.col("f")[1]).alias("seq"), F.round(F.col("f")[2].cast("double")).cast("long").alias("prevalence"))
+    e = _fields(spark, edges).where(F.size("f") >= 2)
+    return n, e.select(F.col("f")[0].alias("src"), F.col("f")[1].alias("dst"), F.lit(k - 1).alias("overlap"))
+
+
+#: Head lines of the files of a component (fixed values).
+NODE_HEAD, EDGE_HEAD, PATH_HEAD = "ID\tBases\tCopycount\tNormalization", "InID\tOutID\tWeight\tCopycount\tNormalization", "ID1\tID2\tEtc."
+
+
+def read_component_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """``(node, seq, weight, size)``; a weight that is no number is 0, and the size is the sequence's length."""
+    f = _fields(spark, path).where((F.size("f") >= 3) & (F.col("f")[0] != "ID"))
+    return f.select(F.col("f")[0].alias("node"), F.col("f")[1].alias("seq"), F.coalesce(F.col("f")[2].try_cast("double"), F.lit(0.0)).alias("weight"), F.length(F.col("f")[1]).alias("size"))
+
+
+def read_component_edges(spark: SparkSession, path: str) -> DataFrame:
+    """``(src, dst, overlap, copy_count, size)``."""
+    f = _fields(spark, path).where((F.size("f") >= 5) & (F.col("f")[0] != "InID"))
+    return f.select(F.col("f")[0].alias("src"), F.col("f")[1].alias("dst"), F.col("f")[2].cast("int").alias("overlap"), F.col("f")[3].cast("double").alias("copy_count"), F.col("f")[4].cast("double").alias("size"))
+
+
+def read_component_paths(spark: SparkSession, path: str) -> DataFrame:
+    """``(path)``: known paths as lists of nodes."""
+    return _fields(spark, path).where((F.col("f")[0] != "ID1") & (F.col("f")[0] != "")).select(F.col("f").alias("path"))
+
+
+def write_component_tables(nodes: DataFrame, edges: DataFrame, paths: DataFrame, folder: str) -> None:
+    """Nodes, edges with a copy count above 0 and known paths of all components, each a table by ``comp`` and ``sub``."""
+    kept = edges.where("copy_count > 0")
+    for name, df in (("nodes", nodes), ("edges", kept), ("paths", paths)):
+        df.repartition("comp").sortWithinPartitions("comp", "sub").write.parquet(f"{folder}/{name}")
+
+
+def partition_graph_lines(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """``(comp, line_no, line)``: each component as a graph file for a partitioner.
+
+    Line 0 has the numbers of nodes and edges and the mark of edge weights; line i
+    the neighbours of the i-th node, by number, each with its weight. Nodes are
+    numbered from 1 in order of their ids.
+    """
+    from readloom.operators.numbering import row_numbers_within
+
+    n = row_numbers_within(components.select("comp", "contig_id"), "comp", "contig_id", "i")
+    both = edges.select("src", "dst", "w").union(edges.select("dst", "src", "w"))
+    other = n.select(F.col("contig_id").alias("dst"), F.col("i").alias("j"))
+    near = both.join(other, "dst").groupBy(F.col("src").alias("contig_id")).agg(F.sort_array(F.collect_list(F.struct("j", "w"))).alias("near"), F.count(F.lit(1)).alias("deg"))
+    rows = n.join(near, "contig_id", "left")
+    text = F.array_join(F.transform("near", lambda x: F.concat_ws("\t", x["j"].cast("string"), x["w"].cast("string"))), "\t")
+    lines = rows.select("comp", F.col("i").alias("line_no"), F.coalesce(text, F.lit("")).alias("line"))
+    head = rows.groupBy("comp").agg(F.concat_ws("\t", F.count(F.lit(1)).cast("string"), (F.coalesce(F.sum("deg"), F.lit(0)) / 2).cast("long").cast("string"), F.lit("001")).alias("line"))
+    return head.select("comp", F.lit(0).cast("long").alias("line_no"), "line").union(lines)
+
+
+def write_log(spark: SparkSession, rows: list[tuple[str, int]], path: str) -> None:
+    """A run's log: steps and numbers in order."""
+    data = [(i, s, n) for i, (s, n) in enumerate(rows)]
+    spark.createDataFrame(data, "i long, step string, n long").coalesce(1).write.option("header", "true").csv(path)
+
+
 def write_fasta(df: DataFrame, path: str, name: str = "name", seq: str = "seq") -> None:
     df.select(F.concat(F.lit(">"), name, F.lit("\n"), seq).alias("value")).write.text(path)
 
