@@ -29,6 +29,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -93,11 +94,8 @@ def counted(text: str | None) -> tuple[list[str], list[int]]:
     return list(n), list(n.values())
 
 
-def train(texts: list[tuple[list[str], list[int]]], labels: list[int], seed: int = 0) -> tuple[np.ndarray, float]:
-    """The folded model of counted texts: a number for each bucket, and the bias."""
-    y = np.asarray(labels, np.int64)
-    if len(set(labels)) < 2 or not any(w for w, _ in texts):
-        return np.zeros(BUCKETS, np.float32), -50.0
+def train(texts: Iterable[tuple[list[str], list[int]]], labels: list[int], seed: int = 0) -> tuple[np.ndarray, float]:
+    """The folded model of counted texts, which are gone through once: a number for each bucket, and the bias."""
     ids: dict[str, int] = {}
     doc, word, weight = [], [], []
     for k, (found, times) in enumerate(texts):
@@ -106,6 +104,9 @@ def train(texts: list[tuple[list[str], list[int]]], labels: list[int], seed: int
         doc.append(np.full(len(got), k))
         word.append(got[order])
         weight.append(np.array(times, np.float64)[order] / max(sum(times), 1))
+    y = np.asarray(labels, np.int64)
+    if len(set(labels)) < 2 or not ids:
+        return np.zeros(BUCKETS, np.float32), -50.0
     doc, word, weight = (np.concatenate(x) for x in (doc, word, weight))
     names = list(ids)
     used, word = np.unique(word, return_inverse=True)
@@ -115,7 +116,7 @@ def train(texts: list[tuple[list[str], list[int]]], labels: list[int], seed: int
         flat.extend(got)
         sizes[i] = len(got)
     del names, ids
-    p = _Sparse(doc, word, weight, len(texts), len(used))
+    p = _Sparse(doc, word, weight, len(y), len(used))
     seen, col = np.unique(np.frombuffer(flat, np.int32), return_inverse=True)
     col = col.astype(np.int32)
     q = _Sparse(np.repeat(np.arange(len(used), dtype=np.int32), sizes), col, np.repeat((1 / sizes).astype(np.float32), sizes), len(used), len(seen))
@@ -189,7 +190,8 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> tuple[np.ndarray, float]:
     """Train on a bounded sample of the labelled rows that are not held out.
 
-    The driver gets the distinct words, with counts, of ``MOST_TOXIC + MOST_CLEAN`` texts at most.
+    One task gets the distinct words, with counts, of ``MOST_TOXIC + MOST_CLEAN`` texts at most and trains; the
+    driver gets the folded model, ``BUCKETS`` numbers.
     """
     own = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and i is not null")
     own = own.where(~held_out(F.col("i"))).groupBy("i").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("i"))
@@ -202,12 +204,28 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         for batch in batches:
             found = [counted(t) for t in batch.column(2).to_pylist()]
             made = [pa.array([f[k] for f in found], pa.list_(kind)) for k, kind in enumerate((pa.string(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *made], ["y", "words", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["i", "y", "words", "times"])
+
+    def learn(batches):
+        y: list[int] = []
+
+        def texts():
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    y.append(batch.column(1)[k].as_py())
+                    yield batch.column(2)[k].as_py(), batch.column(3)[k].as_py()
+
+        table, bias = train(texts(), y)
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["numbers", "bias"])
+        del table
+        release()
 
     small_batches(docs.sparkSession)
-    with_id = StructType([rows.schema["y"], *_COUNTED.fields])
-    got = rows.orderBy("i").mapInArrow(count, with_id).collect()
-    return train([(r.words, r.times) for r in got], [r.y for r in got])
+    found = rows.mapInArrow(count, StructType([rows.schema["i"], rows.schema["y"], *_COUNTED.fields]))
+    model = found.repartition(1).sortWithinPartitions("i").mapInArrow(learn, "numbers binary, bias double").collect()
+    if not model:  # no partition at all: nothing to learn from
+        return train([], [])
+    return np.frombuffer(model[0].numbers, np.float32), model[0].bias
 
 
 def score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", carry: list[str] | None = None) -> DataFrame:
