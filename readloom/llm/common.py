@@ -53,6 +53,18 @@ def numbered(df, names: list[str], last: Column):
     return rows.toDF(*(f"c{i}" for i in range(len(names) + 1))), rows.schema.fields[:-1]
 
 
+def in_blocks(rows, size: str, block: int, *row: str):
+    """Rows once for every pair of blocks ``(i, j)`` of their group that they belong to; ``own`` is a row's block.
+
+    A group of ``size`` rows has a block for every ``block`` of them, and a hash
+    of the columns ``row`` deals them out: no group is sorted or numbered.
+    """
+    blocks = F.ceil(F.col(size) / block).cast("int")
+    n = rows.withColumn("own", F.pmod(F.xxhash64(*row), blocks).cast("int"))
+    n = n.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return n.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+
+
 #: Bytes of a batch of rows on their way to Python.
 BATCH_BYTES = 4 << 20
 

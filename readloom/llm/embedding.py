@@ -29,11 +29,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F
 
-from readloom.llm.common import small_batches
+from readloom.llm.common import in_blocks, small_batches
 from readloom.operators.components import connected_components
-from readloom.session import Tables
+from readloom.session import Tables, broadcast_if_small
 
 THRESHOLD, WIDTH, MISS = 0.9, 2.5, 0.005
 #: Expected number of unrelated vectors in a bucket.
@@ -186,16 +186,6 @@ def _counting(threshold: float):
     return run
 
 
-def _blocks(rows: DataFrame, group: str) -> DataFrame:
-    """Rows ``(group, id, ...)`` once for every pair of blocks ``(i, j)`` of their group that they belong to."""
-    w = W.partitionBy(group)
-    order = [c for c in ("id", "c") if c in rows.columns]
-    n = rows.withColumn("own", F.floor((F.row_number().over(w.orderBy(*order)) - 1) / BLOCK).cast("int"))
-    n = n.withColumn("last", F.max("own").over(w))
-    n = n.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    return n.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "last")
-
-
 def near_duplicates(df: DataFrame, vector: str = "embedding", vec_id: str = "vec_id", threshold: float = THRESHOLD, seed: int = 3) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row."""
     spark = df.sparkSession
@@ -213,15 +203,18 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", vec_id: str = "vec
     depth, count = layout(n, threshold)
     keys = classes.select("id", "v").mapInArrow(_hasher(depth, count, seed), "key long, id long")
     keys = tables.save(keys, "keys")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    placed = _blocks(keys.join(shared, "key", "left_semi"), "key").join(classes.select("id", "v"), "id")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = in_blocks(keys.join(shared, "key"), "n", BLOCK, "id").join(classes.select("id", "v"), "id")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.select("key", "i", "j", "own", "id", "v").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     links = tables.save(placed.mapInArrow(_spanning(threshold), "a long, b long").distinct(), "links")
     same_id = good.join(classes.select("v", F.col("id").alias("rep")), "v").where("id != rep").select("rep", "id")
     member = tables.save(connected_components(links, "a", "b"), "components")
     grouped = classes.join(member, classes.id == member.node).select(F.col("component").alias("key"), "id", "c", "w")
-    inside = _blocks(grouped, "key").join(classes.select("id", "c", "v"), ["id", "c"]).select("key", "i", "j", "own", "id", "c", "v", "w")
+    grouped = tables.save(grouped, "grouped")
+    sizes = tables.save(grouped.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    inside = in_blocks(grouped.join(broadcast_if_small(sizes), "key"), "n", BLOCK, "id", "c")
+    inside = inside.join(classes.select("id", "c", "v"), ["id", "c"]).select("key", "i", "j", "own", "id", "c", "v", "w")
     inside = inside.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id", "c")
     counted = inside.mapInArrow(_counting(threshold), "id long, c long, links long").groupBy("id", "c").agg(F.sum("links").alias("links"))
     info = classes.join(counted, ["id", "c"], "left").select("id", "v", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
