@@ -38,7 +38,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F, Window as W
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
-from readloom.llm.common import release, small_batches
+from readloom.llm.common import in_blocks, release, small_batches
 from readloom.operators.components import connected_components
 from readloom.session import Tables
 
@@ -355,13 +355,10 @@ def _spanning(batches):
 
 
 def _linked_in_blocks(rows: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
-    """Links ``(a, b)`` that connect what is similar in each bucket of ``rows (key, rep)``."""
+    """Links ``(a, b)`` that connect what is similar in each bucket of ``rows (key, size, rep)``, ``size`` rows."""
     ids = tables.save(rows.select(F.col("rep").alias("id")).distinct(), "block-ids")
     keys = tables.save(_texts_of(ids, docs).select("id", "t").mapInArrow(_keys, "id long, keys array<long>"), "block-keys")
-    w = W.partitionBy("key")
-    n = rows.select("key", "rep", F.floor((F.row_number().over(w.orderBy("rep")) - 1) / BLOCK).cast("int").alias("own"))
-    n = n.withColumn("last", F.max("own").over(w)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    n = n.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("rep").alias("id")).join(keys, "id")
+    n = in_blocks(rows.select("key", "size", F.col("rep").alias("id")), "size", BLOCK, "id").join(keys, "id")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = n.select("key", "i", "j", "id", "keys").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     return tables.save(n.mapInArrow(_spanning, "a long, b long").distinct(), "block-links")

@@ -86,6 +86,21 @@ def test_a_text_with_many_partners(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_buckets_of_several_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[: 9 * i], "other", *base[9 * i + 1 :]]) for i in range(20)]
+    texts += [" ".join(f"x{k}y{i}" for i in range(60)) for k in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    rows = docs.select(F.lit(7).cast("long").alias("key"), F.lit(len(texts)).cast("long").alias("size"), F.col("id").alias("rep"))
+    links = [(r.a, r.b) for r in minhash._linked_in_blocks(rows, docs, minhash.Tables(spark, "blocks")).collect()]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert label == [0] * 20 + list(range(20, 30))
+
+
 def test_chats(spark):
     rows = [(1, 0, "user", LONG), (1, 1, "assistant", None), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (2, None, None, "x"), (2, 0, "assistant", "y")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("c", F.lit(1)).withColumn("formatted", F.lit(2))
