@@ -167,10 +167,10 @@ WITH d AS (
 ), win AS (
   SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS x
   FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) t(i) WHERE len(w) > 0
-), at AS (
+), dw AS (
   SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM d, (SELECT DISTINCT n FROM win), unnest(range(1, len(w) - n + 2)) t(i)
 ), hit AS (
-  SELECT rid, i, n, item FROM at JOIN win USING (n, x)
+  SELECT rid, i, n, item FROM dw JOIN win USING (n, x)
 ), h AS (
   SELECT rid, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + n)) t(p) GROUP BY rid
 ), m AS (
