@@ -14,8 +14,10 @@ The base phrases are found on words: runs of letters, digits and non-ASCII
 characters, with A-Z in lower case.
 
 Defined results: null and empty texts have no words and no labels; repeated
-rows are judged each; an empty table gives an empty result; input columns named
-like an output column are replaced by it.
+rows are judged each; a very long text is judged whole, within its row; of places that
+tie in length and rank the rule that stands first wins; an empty table gives an empty
+result; input columns named like an output column are replaced by it, others stay,
+whatever their name.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from readloom.llm.common import drop_names, let
+from readloom.llm.common import drop_names, hold, let, let_go, quoted
 
 OUT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
@@ -395,7 +397,7 @@ def _base(text: Column) -> Column:
 def scan_licenses(df: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` (columns ``carry``, all by default) with ``n_words, n_base,
     first_word, last_word, base_labels, labels, score``."""
-    keep = drop_names(df.select(*(df.columns if carry is None else carry)), OUT)
+    keep = drop_names(df.select(*map(quoted, df.columns if carry is None else carry)), OUT)
     none_b = F.array().cast("array<struct<start:bigint,label:string>>")
     none_m = F.array().cast("array<struct<rank:int,label:string>>")
 
@@ -416,19 +418,19 @@ def scan_licenses(df: DataFrame, text: str = "text", carry: list[str] | None = N
 
         return let(F.lower(t), with_low)
 
-    got = df.select(*(F.col(c) for c in keep), let(F.coalesce(F.col(text), F.lit("")), judge).alias("_r"))
-    starts = F.transform("_r.b", lambda x: x["start"])
-    base_names = F.array_sort(F.array_distinct(F.transform("_r.b", lambda x: x["label"])))
-    names = F.array_sort(F.array_distinct(F.concat(F.transform("_r.b", lambda x: x["label"]), F.transform("_r.m", lambda x: x["label"]))))
+    got = df.select(hold(df, keep), let(F.coalesce(F.col(quoted(text)), F.lit("")), judge).alias("r"))
+    starts = F.transform("r.b", lambda x: x["start"])
+    base_names = F.array_sort(F.array_distinct(F.transform("r.b", lambda x: x["label"])))
+    names = F.array_sort(F.array_distinct(F.concat(F.transform("r.b", lambda x: x["label"]), F.transform("r.m", lambda x: x["label"]))))
     level = F.array(*(F.lit(x) for x in RANK_SCORE))
-    best = F.array_max(F.transform("_r.m", lambda x: F.element_at(level, x["rank"])))
+    best = F.array_max(F.transform("r.m", lambda x: F.element_at(level, x["rank"])))
     return got.select(
-        *keep,
-        F.col("_r.n_words").alias("n_words"),
-        F.size("_r.b").cast("long").alias("n_base"),
+        *let_go(keep),
+        F.col("r.n_words").alias("n_words"),
+        F.size("r.b").cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"),
         F.array_join(base_names, ",").alias("base_labels"),
         F.array_join(names, ",").alias("labels"),
-        F.greatest(F.coalesce(best, F.lit(0.0)), F.when(F.size("_r.b") > 0, 0.9).otherwise(0.0)).alias("score"),
+        F.greatest(F.coalesce(best, F.lit(0.0)), F.when(F.size("r.b") > 0, 0.9).otherwise(0.0)).alias("score"),
     )

@@ -10,7 +10,7 @@ coordinate with a chance equal to their weighted Jaccard similarity. The work
 is proportional to the shingles plus ``k log k``, not to their product.
 
 Texts of equal multisets are one class, found by a 128-bit fingerprint, and
-only a class's smallest id goes on. Signatures are cut into bands; a band value
+only the class, with the text of its smallest id, goes on. Signatures are cut into bands; a band value
 is a bucket. Each member of a bucket is compared to the bucket's smallest id
 first. What is confirmed is joined into components, and buckets that still span
 several are gone through in full: small ones pair by pair, large ones in blocks
@@ -21,8 +21,8 @@ Comparisons are exact, on whole texts.
 
 Defined results: null texts and texts without words link with nothing; texts of
 fewer than five words are one shingle; letters A-Z count as a-z; rows with a
-null id get a null component and are kept; rows of equal id are one document,
-of which one row is kept; ties (equal texts) go to the smallest id; a very long
+null id get a null component and are kept; rows of equal id are one document, to
+which the near copies of each of its texts belong, and of which one row is kept; ties (equal texts) go to the smallest id; a very long
 text is worked on alone, in memory of some hundred bytes a word; an empty table
 gives an empty result; input columns beside id and text are not returned, so
 none can clash.
@@ -38,7 +38,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F, Window as W
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
-from readloom.llm.common import in_blocks, release, small_batches
+from readloom.llm.common import in_blocks, quoted, release, small_batches
 from readloom.operators.components import connected_components
 from readloom.session import Tables
 
@@ -210,6 +210,7 @@ def _slices(lengths: np.ndarray):
 SIGNED = StructType(
     [
         StructField("doc_id", LongType()),
+        StructField("h", LongType()),
         StructField("n", LongType()),
         StructField("f1", LongType()),
         StructField("f2", LongType()),
@@ -220,7 +221,7 @@ SIGNED = StructType(
 
 def _sign(batches):
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).cast(pa.large_string())
+        ids, hashes, texts = batch.column(0), batch.column(1), batch.column(2).cast(pa.large_string())
         _, offsets = _buffers(texts)
         for a, b in _slices(np.diff(offsets)):
             key, doc = regions(*_buffers(texts.slice(a, b - a)))
@@ -234,7 +235,7 @@ def _sign(batches):
             sizes = np.where(n > 0, BANDS, 0)
             flat = pa.array(bands[n > 0].reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(prints[0]), pa.array(prints[1]), lists], SIGNED.names)
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), hashes.slice(a, b - a), pa.array(n), pa.array(prints[0]), pa.array(prints[1]), lists], SIGNED.names)
     release()
 
 
@@ -267,7 +268,7 @@ def _compare(batches):
     release()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, tables: Tables, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts_of, tables: Tables, name: str) -> DataFrame:
     """The pairs of a written table ``(a, b)`` whose texts reach the threshold.
 
     Pairs of one ``a`` are groups of about ``PARTNERS``, and the text of ``a``
@@ -276,7 +277,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, tables: Tables, name: str) ->
     """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     ids = tables.save(ids, name + "-ids")
-    texts = tables.save(_texts_of(ids, docs), name + "-texts")
+    texts = tables.save(texts_of(ids), name + "-texts")
     hubs = tables.save(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts")).where("parts > 1"), name + "-hubs")
     slim = F.broadcast(hubs) if hubs.count() <= FEW_IDS else hubs
     parts = F.coalesce("parts", F.lit(1))
@@ -284,16 +285,30 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, tables: Tables, name: str) ->
     groups = pairs.select("a").distinct().join(slim, "a", "left").select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     lead = groups.join(texts.select(F.col("id").alias("a"), "t"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "t")
     rows = lead.union(dealt.join(texts.select(F.col("id").alias("b"), "t"), "b").select("a", "part", "b", "t"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     out = tables.save(rows.mapInArrow(_compare, "a long, b long"), name + "-ok")
     tables.drop(texts)
     return out
 
 
-def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """Texts of some ids: few ids go to every task, many are shuffled like the texts."""
-    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi")
+def _texts_by_class(docs: DataFrame, classes: DataFrame, again: DataFrame):
+    """A function from class numbers ``(id)`` to ``(id, t)``: the text that stands for each.
+
+    It is found by the id and the hash of the document that stands for the class; few numbers go to every task, many
+    are shuffled like the texts. Rows that repeat an id and its text give it once.
+    """
+    once = docs.join(again, docs.id == again.node, "left_anti")
+    if not again.isEmpty():
+        many = docs.join(again, docs.id == again.node, "left_semi")
+        once = once.unionByName(many.groupBy("id", "h").agg(F.first("t").alias("t")))
+    once = once.select(F.col("id").alias("doc"), "h", "t")
+
+    def of(ids: DataFrame) -> DataFrame:
+        need = ids.join(classes.select(F.col("rep").alias("id"), "doc", "h"), "id")
+        return once.join(F.broadcast(need) if ids.count() <= FEW_IDS else need, ["doc", "h"]).select("id", "t")
+
+    return of
 
 
 def _keys(batches):
@@ -354,10 +369,10 @@ def _spanning(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
 
-def _linked_in_blocks(rows: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
+def _linked_in_blocks(rows: DataFrame, texts_of, tables: Tables) -> DataFrame:
     """Links ``(a, b)`` that connect what is similar in each bucket of ``rows (key, size, rep)``, ``size`` rows."""
     ids = tables.save(rows.select(F.col("rep").alias("id")).distinct(), "block-ids")
-    keys = tables.save(_texts_of(ids, docs).select("id", "t").mapInArrow(_keys, "id long, keys array<long>"), "block-keys")
+    keys = tables.save(texts_of(ids).select("id", "t").mapInArrow(_keys, "id long, keys array<long>"), "block-keys")
     n = in_blocks(rows.select("key", "size", F.col("rep").alias("id")), "size", BLOCK, "id").join(keys, "id")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = n.select("key", "i", "j", "id", "keys").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
@@ -368,17 +383,22 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     """``(doc_id, component_id, kept)``: a document's class of near copies is named by its smallest id."""
     tables = Tables(df.sparkSession, "minhash")
     small_batches(df.sparkSession)
-    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    signed = tables.save(docs.select("id", "t").mapInArrow(_sign, SIGNED), "signed")
+    docs = df.select(F.col(quoted(doc_id)).cast("long").alias("id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("t"))
+    docs = docs.select("id", F.xxhash64("t").alias("h"), "t")
+    signed = tables.save(docs.mapInArrow(_sign, SIGNED), "signed")
     print_of = ["f1", "f2", "n"]
     worded = signed.where("n > 0 and doc_id is not null")
-    classes = worded.groupBy(*print_of).agg(F.min(F.struct("doc_id", "bands")).alias("s"), F.count(F.lit(1)).alias("copies"))
-    classes = tables.save(classes.select(*print_of, F.col("s.doc_id").alias("rep"), F.col("s.bands").alias("bands"), "copies"), "classes")
+    # a class has a number of its own, as an id with several texts stands for several classes
+    classes = worded.groupBy(*print_of).agg(F.min(F.struct("doc_id", "h", "bands")).alias("s"), F.count(F.lit(1)).alias("copies"))
+    number = F.monotonically_increasing_id().alias("rep")
+    classes = tables.save(classes.select(number, *print_of, F.col("s.doc_id").alias("doc"), F.col("s.h").alias("h"), F.col("s.bands").alias("bands"), "copies"), "classes")
+    again = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = tables.save(again.select(F.col("doc_id").alias("node")), "again")
     members = classes.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     shared = tables.save(members.join(buckets, "key"), "buckets")
     star = shared.where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    texts = docs.where("id is not null")
+    texts = _texts_by_class(docs.where("id is not null"), classes, again)
     star = tables.save(star, "stars")
     first = _confirmed(star, texts, tables, "star")
     near = first
@@ -392,15 +412,15 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     second = _confirmed(tables.save(pairs.join(star, ["a", "b"], "left_anti"), "pairs"), texts, tables, "rest")
     links = near.union(second).union(_linked_in_blocks(rest.where(F.col("size") > SMALL), texts, tables))
+    side = lambda c: classes.select(F.col("rep").alias(c), F.col("doc").alias("doc_" + c))
+    links = links.join(side("a"), "a").join(side("b"), "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
     # equal ids with different texts are one document: their classes belong together
-    same = worded.join(classes.where("copies > 0").select(*print_of, "rep"), print_of).select("doc_id", "rep")
-    same = same.where("doc_id != rep").distinct()
-    whole = tables.save(connected_components(links.union(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "a", "b"), "whole")
+    same = worded.join(classes.where("copies > 0").select(*print_of, F.col("doc").alias("a")), print_of).select("a", F.col("doc_id").alias("b"))
+    same = same.where("a != b").distinct()
+    whole = tables.save(connected_components(links.union(same), "a", "b"), "whole")
     out = signed.select("doc_id").join(whole, signed.doc_id == whole.node, "left")
     component = F.coalesce("component", "doc_id")
     # of rows that repeat an id one is kept; rows without an id are apart from each other
-    again = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = tables.save(again.select(F.col("doc_id").alias("node")), "again")
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
     out = out.select("doc_id", component.alias("component_id"), kept.alias("kept"))
     if again.isEmpty():

@@ -72,6 +72,16 @@ def test_minhash(spark, table):
     assert minhash.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_an_id_of_several_texts_brings_the_partners_of_each(spark):
+    """Each text of the repeated id has a near copy; all are one document's class."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, a + " x"), (3, b + " x"), (0, c), (1, c), (9, c + " x"), (5, "not like them at all, five words")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, True), *[(1, 0, False)] * 4, (2, 0, False), (3, 0, False), (5, 5, True), (9, 0, False)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows[:5], "doc_id long, text string")).collect())
+    assert got == [(1, 1, False), (1, 1, False), (1, 1, True), (2, 1, False), (3, 1, False)]
+
+
 def test_short_texts_are_cut_into_slices_by_darts():
     sizes = [b - a for a, b in minhash._slices([6] * 10_000)]
     assert sum(sizes) == 10_000 and max(sizes) * 2 * minhash.DARTS <= minhash.SLICE
@@ -93,7 +103,7 @@ def test_buckets_of_several_blocks(spark, tmp_path, monkeypatch):
     texts += [" ".join(f"x{k}y{i}" for i in range(60)) for k in range(10)]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     rows = docs.select(F.lit(7).cast("long").alias("key"), F.lit(len(texts)).cast("long").alias("size"), F.col("id").alias("rep"))
-    links = [(r.a, r.b) for r in minhash._linked_in_blocks(rows, docs, minhash.Tables(spark, "blocks")).collect()]
+    links = [(r.a, r.b) for r in minhash._linked_in_blocks(rows, lambda ids: docs.join(ids, "id", "left_semi"), minhash.Tables(spark, "blocks")).collect()]
     label = list(range(len(texts)))
     for _ in texts:
         for a, b in links:

@@ -35,6 +35,9 @@ def brute(text):
 
 def test_base_phrases_and_rules(spark):
     d = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumn("labels", F.lit("clash"))
+    for c in ("_r", "r", "held", "odd.name", "score"):
+        d = d.withColumn(c, F.lit("clash"))
+    assert {"_r", "r", "held", "odd.name"} <= set(licenses.scan_licenses(d).columns)
     got = {r.doc_id: r for r in licenses.scan_licenses(d).collect()}
     for i, t in enumerate(TEXTS):
         r = got[i]
@@ -131,3 +134,30 @@ def test_texts_that_the_gates_lost(spark):
 
 def test_empty_table(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_labels(text, rules):
+    """Labels and score by every rule on the whole text, each place against each other."""
+    places = []
+    for i, (rank, label, _, regex) in enumerate(rules):
+        places += [(m.start(), -m.end(), rank, i, label) for m in regex.finditer(text)]
+    places.sort()
+    stay = [p for j, p in enumerate(places) if not any(q[2] <= p[2] and q[1] <= p[1] for q in places[:j])]
+    base = [x for x in brute(text)[4].split(",") if x]
+    score = max([0.0, *(licenses.RANK_SCORE[p[2] - 1] for p in stay), *(0.9 for _ in base)])
+    return ",".join(sorted({*base, *(p[4] for p in stay)})), score
+
+
+def test_all_rules_on_whole_documents(spark):
+    """Labels and score of real documents, and of made ones with every rule's example, without any gate."""
+    rules = [(rank, label, key, re.compile(f"(?is){regex}", re.A)) for rank, label, key, regex in licenses.rules()]
+    made = [example(sre.parse(f"(?is){regex}"), " ") for _, _, _, regex in licenses.rules()]
+    texts = [t for t in TEXTS if t] + [f"see {a}, and\n{b}. {c}" for a, b, c in zip(made, made[7:] + made[:7], made[40:] + made[:40])]
+    path = "/root/testdata/sf0.001/documents.parquet"
+    import os
+
+    if os.path.exists(path):
+        texts += [r.text for r in spark.read.parquet(path).where("text is not null").collect()]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan_licenses(d, carry=["doc_id"]).collect():
+        assert (r.labels, r.score) == brute_labels(texts[r.doc_id], rules), texts[r.doc_id][:200]
