@@ -4,9 +4,11 @@ A word is the mean of the vectors of its character n-grams (with word marks), a
 text the mean of its words, and a linear softmax reads the text's vector. All
 vectors and the softmax are trained jointly by numpy on a bounded sample of
 labelled rows. Words never seen share n-grams with seen ones, so misspellings
-and new inflections get the right side. Training starts with the n-grams'
-smoothed log-odds between the classes as first coordinate, small ones cut to
-0: from a random start the many rare n-grams are learnt by heart instead.
+and new inflections get the right side. Only n-grams whose share of texts differs
+between the classes by ``LEAST_Z`` standard errors have vectors that are not 0: the many
+rare ones would be learnt by heart instead. Training starts with their log-odds as
+first coordinate and draws whole vectors towards 0 (group lasso), so that what
+doesn't earn its place drops out.
 
 Every text is scored whole. Because everything before the softmax is linear,
 vectors and softmax are folded into one number per n-gram bucket: that table,
@@ -18,8 +20,8 @@ trained on by its distinct words; labels that are null, of unknown ids or of a
 null id are not used; an id that repeats counts once, with its greatest label
 and its least text; ties of the sample's order go by id; rows with a null id are
 scored like others (and held out); repeated rows are scored each; an empty table
-gives an empty result; without labels of both classes on texts with words every
-score is 0; input columns named like an output column are replaced by it, no
+gives an empty result; without labels of both classes on texts with words, or where
+no n-gram tells them apart, every score is 0; input columns named like an output column are replaced by it, no
 other name clashes.
 """
 
@@ -41,8 +43,10 @@ from readloom.llm.common import drop_names, numbered, quoted, release, small_bat
 #: Labelled rows that training takes of each class, at most: the lowest by a hash of the id.
 MOST_TOXIC, MOST_CLEAN = 1200, 1800
 NGRAMS, BUCKETS, DIM = (3, 4, 5), 1 << 18, 8
-#: Passes, step width, factor on the mean of a text; smoothing and cut of the starting log-odds.
-EPOCHS, RATE, GAIN, SMOOTH, CUT = 20, 0.02, 100.0, 5.0, 1.5
+#: Passes, step width, factor on the mean of a text, in which one of a hundred words has to show; pull of vectors towards 0.
+EPOCHS, RATE, GAIN, PULL = 40, 0.2, 1000.0, 0.02
+#: Least standard errors between the classes, smoothing of the starting log-odds and their factor.
+LEAST_Z, SMOOTH, START = 5.0, 0.5, 0.1
 #: Words whose score a worker remembers.
 CACHE = 120_000
 
@@ -76,7 +80,7 @@ class _Sparse:
 
 
 def _log_odds(doc, word, sizes, col, y, n_buckets) -> np.ndarray:
-    """Smoothed log-odds of each bucket to occur in a text of class 1 against class 0, small ones cut."""
+    """Smoothed log-odds of each bucket to occur in a text of class 1 against class 0; 0 where the difference may be chance."""
     first = np.concatenate([[0], np.cumsum(sizes)])
     n = np.zeros(2 * n_buckets, np.int64)
     edges = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -84,8 +88,19 @@ def _log_odds(doc, word, sizes, col, y, n_buckets) -> np.ndarray:
         inside = np.unique(np.concatenate([col[first[w] : first[w + 1]] for w in word[a:b]]))
         n[inside + y[doc[a]] * n_buckets] += 1
     size = np.bincount(y, minlength=2)
-    odds = np.log((n[n_buckets:] + SMOOTH) / (size[1] + 2 * SMOOTH)) - np.log((n[:n_buckets] + SMOOTH) / (size[0] + 2 * SMOOTH))
-    return np.sign(odds) * np.maximum(np.abs(odds) - CUT, 0)
+    one, zero = n[n_buckets:], n[:n_buckets]
+    odds = np.log((one + SMOOTH) / (size[1] + 2 * SMOOTH)) - np.log((zero + SMOOTH) / (size[0] + 2 * SMOOTH))
+    both = (one + zero) / size.sum()
+    error = np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / size[1] + 1 / size[0]))
+    return np.where(np.abs(one / size[1] - zero / size[0]) > LEAST_Z * error, odds, 0)
+
+
+def _least_errors(margin: np.ndarray, y: np.ndarray) -> float:
+    """The cut between two margins at which fewest labels are on the wrong side."""
+    order = np.argsort(margin, kind="stable")
+    wrong = (y == 0).sum() + np.cumsum(np.where(y[order] == 1, 1, -1))
+    k = int(np.argmin(wrong))
+    return float(margin[order[k]] + margin[order[min(k + 1, len(y) - 1)]]) / 2
 
 
 def counted(text: str | None) -> tuple[list[str], list[int]]:
@@ -119,17 +134,23 @@ def train(texts: Iterable[tuple[list[str], list[int]]], labels: list[int], seed:
     p = _Sparse(doc, word, weight, len(y), len(used))
     seen, col = np.unique(np.frombuffer(flat, np.int32), return_inverse=True)
     col = col.astype(np.int32)
-    q = _Sparse(np.repeat(np.arange(len(used), dtype=np.int32), sizes), col, np.repeat((1 / sizes).astype(np.float32), sizes), len(used), len(seen))
+    odds = _log_odds(doc, word, sizes, col, y, len(seen))
+    told = np.flatnonzero(odds)  # no other n-gram has a vector
+    if not len(told):
+        return np.zeros(BUCKETS, np.float32), -50.0
+    place = np.full(len(seen), -1, np.int32)
+    place[told] = np.arange(len(told))
+    holder, share = np.repeat(np.arange(len(used), dtype=np.int32), sizes), np.repeat((1 / sizes).astype(np.float32), sizes)
+    mine = place[col] >= 0
+    q = _Sparse(holder[mine], place[col[mine]], share[mine], len(used), len(told))
     rng = np.random.default_rng(seed)
-    e = rng.normal(0, 1e-3, (len(seen), DIM)).astype(np.float32)
-    e[:, 0] = _log_odds(doc, word, sizes, col, y, len(seen))
+    e = rng.normal(0, 1e-3, (len(told), DIM)).astype(np.float32)
+    e[:, 0] = odds[told] * START
     w = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     w[0] = (-0.5, 0.5)
     z = p.dot(q.dot(e)) @ w * GAIN
-    margin = z[:, 1] - z[:, 0]
-    middle = (np.median(margin[y == 1]) + np.median(margin[y == 0])) / 2
-    b = np.array([middle / 2, -middle / 2], np.float32)
-    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()).astype(np.float32)
+    cut = _least_errors(z[:, 1] - z[:, 0], y)
+    b = np.array([cut / 2, -cut / 2], np.float32)
     params = [e, w, b]
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for step in range(1, EPOCHS + 1):
@@ -139,7 +160,7 @@ def train(texts: Iterable[tuple[list[str], list[int]]], labels: list[int], seed:
         prob = np.exp(z)
         prob /= prob.sum(1, keepdims=True)
         prob[np.arange(len(y)), y] -= 1
-        dz = prob * share[:, None]
+        dz = prob / len(y)
         grads = [q.dot(p.dot((dz @ w.T) * GAIN, True), True), h.T @ dz, dz.sum(0)]
         for x, g, m, v, rate in zip(params, grads, first, second, (RATE, RATE, 5 * RATE)):
             m += 0.1 * (g - m)
@@ -148,8 +169,9 @@ def train(texts: Iterable[tuple[list[str], list[int]]], labels: list[int], seed:
             if x is e:  # rare n-grams take small steps
                 scale += 0.05 * scale.max()
             x -= rate * (m / (1 - 0.9**step)) / (scale + 1e-9)
+        e *= np.maximum(0, 1 - PULL * RATE / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-9))
     table = np.zeros(BUCKETS, np.float32)
-    table[seen] = e @ (w[:, 1] - w[:, 0]) * GAIN
+    table[seen[told]] = e @ (w[:, 1] - w[:, 0]) * GAIN
     return table, float(b[1] - b[0])
 
 
