@@ -35,7 +35,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _load() -> None:
     from importlib import import_module
 
-    for name in ("reads", "contigs", "graph", "assembly"):
+    for name in ("reads", "contigs", "graph", "walks", "assembly"):
         import_module(f"readloom.plans.{name}")
 
 

@@ -74,16 +74,12 @@ def _walk(nodes: DataFrame, one: DataFrame, tables: Tables, max_rounds: int) ->
     return p
 
 
-def unitigs(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(first_kmer, n_nodes, seq)``: maximal chains of unambiguous edges; a closed ring starts at its smallest k-mer."""
+def chain_ends(nodes: DataFrame, one: DataFrame, tables: Tables, max_rounds: int = 60) -> DataFrame:
+    """``(node, at, steps)`` of ``nodes (node)`` on the links ``one``, of which each node has one out and one in at most: the end of
+    a node's chain and how far it is. A closed ring is opened before its smallest node."""
     from readloom.operators.components import connected_components
 
-    tables = Tables(edges.sparkSession, "unitigs")
-    deg = degrees(edges)
-    one = edges.where("src != dst").select("src", "dst")
-    one = one.join(deg.where("outdeg = 1").select(F.col("node").alias("src")), "src", "left_semi")
-    one = tables.save(one.join(deg.where("indeg = 1").select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "one")
-    p = _walk(deg, one, tables, max_rounds)
+    p = _walk(nodes, one, tables, max_rounds)
     ring = p.where("not done").select("node")
     walked = p.where("done").select("node", "at", "steps")
     if not ring.isEmpty():
@@ -91,6 +87,17 @@ def unitigs(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         cc = connected_components(links)
         links = links.join(cc.select(F.col("node").alias("dst"), "component"), "dst").where("dst != component")
         walked = walked.union(_walk(ring, links, tables, max_rounds).select("node", "at", "steps"))
+    return walked
+
+
+def unitigs(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``(first_kmer, n_nodes, seq)``: maximal chains of unambiguous edges; a closed ring starts at its smallest k-mer."""
+    tables = Tables(edges.sparkSession, "unitigs")
+    deg = degrees(edges)
+    one = edges.where("src != dst").select("src", "dst")
+    one = one.join(deg.where("outdeg = 1").select(F.col("node").alias("src")), "src", "left_semi")
+    one = tables.save(one.join(deg.where("indeg = 1").select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "one")
+    walked = chain_ends(deg.select("node"), one, tables, max_rounds)
     chain = walked.groupBy("at").agg(F.sort_array(F.collect_list(F.struct((-F.col("steps")).alias("o"), "node"))).alias("c"))
     rest = F.array_join(F.transform(F.slice("c", 2, 2**30), lambda x: F.substring(x["node"], -1, 1)), "")
     return chain.select(F.col("c")[0]["node"].alias("first_kmer"), F.size("c").cast("long").alias("n_nodes"), F.concat(F.col("c")[0]["node"], rest).alias("seq"))
