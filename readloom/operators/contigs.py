@@ -49,20 +49,26 @@ def contig_components(contigs: DataFrame, edges: DataFrame) -> DataFrame:
 
 #: Width of a range of component names whose bins are told together.
 BIN_RANGE = 100_000_000
+#: Ranges whose outcomes are chained in a task.
+FAN = 64
 
 
 def pack_bins(small: DataFrame, threshold: int, width: int = BIN_RANGE) -> DataFrame:
     """``(comp, bin)`` of components ``(comp, n)`` in order: a bin is closed once its size exceeds ``threshold``.
 
     The rule is sequential, but all that it remembers is the size of the open
-    bin, 0 to ``threshold``. So every range of components is run from each
-    possible size at once, the ranges' outcomes are chained (a row a range), and
-    every range is numbered from the size and bin that it really starts with.
+    bin, 0 to ``threshold``. So what a range of components does is a table: the size
+    and the number of closed bins at its end for each size at its start. Tables of
+    ``FAN`` ranges beside each other are chained to one, level by level, and the
+    true starts are handed down the same levels. A task holds ``FAN`` tables
+    of ``threshold + 1`` numbers, however many ranges there are.
     """
     import numpy as np
     import pandas as pd
 
+    tables = Tables(small.sparkSession, "bins")
     rows = small.select("comp", "n", F.floor(F.col("comp") / width).alias("range"))
+    kind = "range long, size array<long>, closed array<long>"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         size, closed = np.arange(threshold + 1), np.zeros(threshold + 1, np.int64)
@@ -73,21 +79,36 @@ def pack_bins(small: DataFrame, threshold: int, width: int = BIN_RANGE) -> DataF
             size[full] = 0
         return pd.DataFrame({"range": [pdf.range.iloc[0]], "size": [size.tolist()], "closed": [closed.tolist()]})
 
-    outcome = rows.groupBy("range").applyInPandas(run, "range long, size array<long>, closed array<long>")
-    outcome = Tables(small.sparkSession, "bins").save(outcome, "outcome")
-    chained = outcome.agg(F.sort_array(F.collect_list(F.struct("range", "size", "closed"))).alias("all"))
-    zero = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("bin"), F.array().cast("array<struct<range:bigint,size:bigint,bin:bigint>>").alias("out"))
-
-    def step(z, x):
-        start = F.struct(x["range"].alias("range"), z["size"].alias("size"), z["bin"].alias("bin"))
-        at = z["size"].cast("int")
-        return F.struct(F.get(x["size"], at).alias("size"), (z["bin"] + F.get(x["closed"], at)).alias("bin"), F.concat(z["out"], F.array(start)).alias("out"))
-
-    starts = chained.select(F.explode(F.aggregate("all", zero, step)["out"]).alias("s")).select("s.*")
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        size, closed = np.arange(threshold + 1), np.zeros(threshold + 1, np.int64)
+        for s, c in pdf.sort_values("range")[["size", "closed"]].itertuples(index=False):
+            closed = closed + np.asarray(c)[size]
+            size = np.asarray(s)[size]
+        return pd.DataFrame({"range": [pdf.up.iloc[0]], "size": [size.tolist()], "closed": [closed.tolist()]})
+
+    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("range")
+        at, bin_, out = int(pdf.start.iloc[0]), int(pdf.bin.iloc[0]), []
+        for r, s, c in pdf[["range", "size", "closed"]].itertuples(index=False):
+            out.append((r, at, bin_))
+            at, bin_ = int(s[at]), bin_ + int(c[at])
+        return pd.DataFrame(out, columns=["range", "start", "bin"])
+
+    up = F.floor(F.col("range") / FAN).alias("up")
+    levels = [tables.save(rows.groupBy("range").applyInPandas(run, kind), "level")]
+    while levels[-1].count() > FAN:
+        levels.append(tables.save(levels[-1].select("*", up).groupBy("up").applyInPandas(chain, kind), "level"))
+    zero = F.lit(0).cast("long")
+    top = levels.pop().select("*", zero.alias("up"), zero.alias("start"), zero.alias("bin"))
+    starts = top.groupBy("up").applyInPandas(hand_down, "range long, start long, bin long")
+    while levels:
+        above = starts.select(F.col("range").alias("up"), "start", "bin")
+        starts = levels.pop().select("*", up).join(above, "up").groupBy("up").applyInPandas(hand_down, "range long, start long, bin long")
+        starts = tables.save(starts, "starts")
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("comp")
-        size, at, out = int(pdf["size"].iloc[0]), int(pdf.bin.iloc[0]), []
+        size, at, out = int(pdf["start"].iloc[0]), int(pdf.bin.iloc[0]), []
         for n in pdf.n:
             out.append(at)
             size += n

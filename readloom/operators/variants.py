@@ -116,47 +116,6 @@ def fragments(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> list
     return out
 
 
-def split_cycle(nodes: dict, edges: dict, cycle: list) -> tuple[dict, dict]:
-    """Nodes and edges with a cycle opened without loss of flow: one of its nodes becomes two.
-
-    The clone ``(node, "clone")`` gets the cycle's edge in and the other edges
-    out, the node keeps the other edges in and the cycle's edge out. The node is
-    one with several edges on both sides (else on one) whose other edges fit best;
-    if one of them has an edge to itself, that edge is dropped instead.
-    """
-    nodes, edges = dict(nodes), dict(edges)
-    ins = {v: [u for u, w in edges if w == v] for v in cycle}
-    outs = {v: [w for u, w in edges if u == v] for v in cycle}
-    forks = [v for v in cycle if len(ins[v]) > 1 and len(outs[v]) > 1] or [v for v in cycle if len(ins[v]) > 1 or len(outs[v]) > 1]
-    if not forks:
-        return nodes, edges
-    loop = next((v for v in forks if (v, v) in edges), None)
-    if loop is not None:
-        del edges[loop, loop]
-        return nodes, edges
-
-    def sides(v):
-        i = cycle.index(v)
-        u, w = cycle[i - 1], cycle[(i + 1) % len(cycle)]
-        return u, w, sum(edges[x, v] for x in ins[v] if x != u), sum(edges[v, x] for x in outs[v] if x != w)
-
-    def misfit(v):
-        u, w, other_in, other_out = sides(v)
-        return abs(other_in - edges[v, w]) + abs(other_out - edges[u, v])
-
-    v = min(forks, key=lambda x: (misfit(x), cycle.index(x)))
-    u, w, other_in, other_out = sides(v)
-    total = edges[u, v] + edges[v, w] + other_in + other_out
-    share = (edges[u, v] + other_out) / total if total else 0.5
-    clone = (v, "clone")
-    nodes[clone], nodes[v] = nodes[v] * share, nodes[v] * (1 - share)
-    edges[u, clone] = edges.pop((u, v))
-    for x in outs[v]:
-        if x != w:
-            edges[clone, x] = edges.pop((v, x))
-    return nodes, edges
-
-
 def short_cycle(graph, start: int, most: int = 100) -> list[int] | None:
     """A cycle through a node of fewer than ``most`` nodes, depth first."""
     stack = [(start, (start,))]
@@ -172,21 +131,6 @@ def short_cycle(graph, start: int, most: int = 100) -> list[int] | None:
     return None
 
 
-def longest_sides(nodes, out: dict, inn: dict, size: dict) -> tuple[dict, dict]:
-    """Longest way to and from each node of an acyclic graph, in bases."""
-    from readloom.operators.flow import topological
-
-    order = topological(nodes, out)
-    pre, post = dict.fromkeys(order, 0), dict.fromkeys(order, 0)
-    for v in order:
-        for w in out[v]:
-            pre[w] = max(pre[w], pre[v] + size[v])
-    for v in reversed(order):
-        for u in inn[v]:
-            post[u] = max(post[u], post[v] + size[v])
-    return pre, post
-
-
 def eulerian_walk(edges: list[tuple]) -> list | None:
     """A walk over every edge once, or None if there is none."""
     out: dict = {}

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from readloom.catalog import register
+from readloom.operators import bridging as B
 from readloom.operators import cleanup as CU
 from readloom.operators import correction as X
 from readloom.operators import graph as G
 from readloom.operators import kmers as K
 from readloom.operators import laying as L
+from readloom.operators import order as O
 from readloom.plans.graph import _LAID, _UNITIGS, LENGTH, RARE, _unitigs
 from readloom.plans.reads import solid
 from readloom.session import Tables
@@ -102,14 +104,75 @@ def mate_paths(spark, d):
     return L.mate_paths(left, right, ways)
 
 
-@register("cleaned_nodes")
-def cleaned_nodes(spark, d):
-    """Nodes of the graph after suspicious ones are removed, similar ones collapsed and chains condensed."""
+def _cleaned(spark, d):
     t = Tables(spark, "cleaned")
     e = t.save(K.dbg_edges(solid(spark, d)), "edges")
     u = t.save(K.unitigs(e), "unitigs")
     nodes, links = CU.condensed(u, G.prevalences(u, e), G.unitig_graph(u, e))
-    return CU.clean(nodes, links, LENGTH, RARE)[0]
+    return CU.clean(nodes, links, LENGTH, RARE)
+
+
+@register("cleaned_nodes")
+def cleaned_nodes(spark, d):
+    """Nodes of the graph after suspicious ones are removed, similar ones collapsed and chains condensed."""
+    return _cleaned(spark, d)[0]
+
+
+@register("bridged_nodes")
+def bridged_nodes(spark, d):
+    """Nodes of the cleaned graph after ambiguous ones are split along the reads that bridge them."""
+    nodes, links = _cleaned(spark, d)
+    return B.bridge_all(nodes, links, dna.reads(spark, d))[0]
+
+
+#: Nodes of the graph of frequent edges have so many bases; an edge is frequent from this share of all on.
+SHORT, FREQUENT = 11, 1e-5
+
+_FREQUENT = (
+    f"fc AS (SELECT substr(seq, i, {SHORT + 1}) AS kmer, count(*) AS cnt FROM reads, unnest(range(1, {101 - SHORT})) t(i) GROUP BY kmer)",
+    f"fe AS (SELECT left(kmer, {SHORT}) AS src, right(kmer, {SHORT}) AS dst FROM fc WHERE cnt >= {FREQUENT}::DOUBLE * (SELECT sum(cnt) FROM fc))",
+    "reach AS (SELECT src AS a, dst AS b FROM fe UNION SELECT r.a, e.dst FROM reach r JOIN fe e ON e.src = r.b)",
+    "strong AS (SELECT x.a AS node, max(x.b) AS component, count(*) AS size FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)",
+)
+
+
+def _recursive(*names: str, body: str) -> str:
+    return sql(*names, body=body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def frequent_edges(spark, d):
+    """Edges of the short graph that many reads hold: it has cycles, unlike that of long k-mers."""
+    t = Tables(spark, "frequent")
+    counts = t.save(K.count_kmers(dna.reads(spark, d), SHORT + 1), "counts")
+    every = counts.agg(F.sum("cnt").alias("every"))  # one row
+    return t.save(K.dbg_edges(counts.join(F.broadcast(every)).where(F.col("cnt") >= F.lit(FREQUENT) * F.col("every")), SHORT).select("src", "dst"), "edges")
+
+
+@register("strong_components", _recursive("seqs", "reads", *_FREQUENT, body="SELECT node, component, size FROM strong"))
+def strong_components(spark, d):
+    """Nodes of frequent edges that lie on cycles."""
+    return O.strong_components(frequent_edges(spark, d))
+
+
+@register(
+    "topological_levels",
+    _recursive(
+        "seqs", "reads", *_FREQUENT,
+        "de AS (SELECT src, dst FROM fe LEFT JOIN strong a ON a.node = src LEFT JOIN strong b ON b.node = dst WHERE a.component IS DISTINCT FROM b.component OR a.component IS NULL)",
+        "fn AS (SELECT src AS node FROM fe UNION SELECT dst FROM fe)",
+        "walk AS (SELECT node, 0 AS level, 0 AS before FROM fn WHERE node NOT IN (SELECT dst FROM de) UNION ALL SELECT e.dst, w.level + 1, w.before + 1 + ascii(right(w.node, 1)) FROM walk w JOIN de e ON e.src = w.node)",
+        body="SELECT node, CAST(max(level) AS BIGINT) AS level, CAST(max(before) AS BIGINT) AS longest, count(*) AS walks FROM walk GROUP BY node",
+    ),
+)
+def topological_levels(spark, d):
+    """Levels, heaviest ways and numbers of walks on the frequent edges between strong components; a node weighs one more
+    than the code of its last base."""
+    e = frequent_edges(spark, d)
+    strong = Tables(spark, "strong").save(O.strong_components(e), "strong")
+    side = lambda end: strong.select(F.col("node").alias(end), F.col("component").alias("c_" + end))
+    apart = e.join(side("src"), "src", "left").join(side("dst"), "dst", "left").where("c_src is null or c_dst is null or c_src != c_dst")
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("size", F.ascii(F.substring("node", -1, 1)) + 1)
+    return O.peel(nodes, apart.select("src", "dst")).withColumn("walks", F.col("walks").cast("long"))
 
 
 def noisy_reads(spark, d):

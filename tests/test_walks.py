@@ -257,6 +257,9 @@ def test_cleaned_graph_of_the_tables(spark, monkeypatch):
     g.condense()
     got = {(r.id, r.seq, r.prevalence, r.n) for r in walks.cleaned_nodes(spark, d).collect()}
     assert got == kernel_of(g, 24)[0] and len(got) > 10
+    g.bridge_all(sorted({r.seq for r in walks.dna.reads(spark, d).collect()}))
+    got = sorted((r.seq, round(r.prevalence, 6), r.n) for r in walks.bridged_nodes(spark, d).collect())
+    assert got == sorted((g.seq[v], round(g.prevalence[v], 6), g.size[v]) for v in g.seq)
 
 
 def test_clean_up_of_nothing(spark):
@@ -264,3 +267,36 @@ def test_clean_up_of_nothing(spark):
     links = spark.createDataFrame([], "src string, dst string")
     nodes, links = cleanup.clean(nodes, links, 100, 1.0)
     assert nodes.count() == 0 and links.count() == 0
+
+
+# -- bridging
+
+
+@pytest.mark.parametrize("seed", [1, 2, 5])
+def test_bridging_equals_the_kernel(spark, seed):
+    """Repeats shorter than reads, some of them next to each other, are resolved; longer ones stay."""
+    from readloom.operators import bridging
+
+    k = 9
+    rep, small, long = genome(20, seed + 50), genome(13, seed + 60), genome(50, seed + 90)
+    part = [genome(40, seed * 20 + i) for i in range(12)]
+    seqs = [part[0] + rep + part[1], part[2] + rep + part[3], part[4] + small + rep + part[5], part[6] + small + part[7], part[8] + long + part[9], part[10] + long + part[11]]
+    reads = sorted({s[i : i + 36] for s in seqs for i in range(0, max(1, len(s) - 35), 1 if seed < 5 else 4)})
+    u, links, g, name, e = graph_of(spark, counted(seqs, k), k)
+    nodes, links = cleanup.condensed(u, G.prevalences(u, e, k), links)
+    before = len(g.seq)
+    g.bridge_all(reads)
+    nodes, links = bridging.bridge_all(nodes, links, spark.createDataFrame([(r,) for r in reads], "seq string"), k)
+    rows = {r.id: r for r in nodes.collect()}
+    got = sorted((r.seq, round(r.prevalence, 6), r.n) for r in rows.values())
+    assert got == sorted((g.seq[v], round(g.prevalence[v], 6), g.size[v]) for v in g.seq) and len(g.seq) != before
+    assert sorted((rows[r.src].seq, rows[r.dst].seq, r.overlap) for r in links.collect()) == sorted((g.seq[a], g.seq[b], o) for a in g.out for b, o in g.out[a].items())
+
+
+def test_a_node_with_a_loop_is_bridged(spark):
+    from readloom.operators import bridging
+
+    nodes = spark.createDataFrame([("p", "TTACA", 2.0, 1), ("v", "ACAC", 4.0, 1), ("q", "CACGG", 2.0, 1)], "id string, seq string, prevalence double, n long")
+    links = spark.createDataFrame([("p", "v", 3), ("v", "v", 2), ("v", "q", 3)], "src string, dst string, overlap int")
+    nodes, links = bridging.bridge_all(nodes, links, spark.createDataFrame([("TTACACACGG",)], "seq string"), 4)
+    assert [r.seq for r in nodes.collect()] == ["TTACACACGG"] and links.count() == 0
