@@ -175,6 +175,22 @@ def topological_levels(spark, d):
     return O.peel(nodes, apart.select("src", "dst")).withColumn("walks", F.col("walks").cast("long"))
 
 
+@register("level_flow")
+def level_flow(spark, d):
+    """Paths of the unitig graph by sparse flow, a level at a time; edges inside a strong component are left out."""
+    from readloom.operators.levelflow import flow_paths
+
+    t = Tables(spark, "flow")
+    e = t.save(K.dbg_edges(solid(spark, d)), "edges")
+    links = t.save(G.unitig_graph(t.save(K.unitigs(e), "unitigs"), e).select("src", "dst", F.col("cnt").cast("double").alias("w")), "links")
+    strong = t.save(O.strong_components(links), "strong")
+    side = lambda end: strong.select(F.col("node").alias(end), F.col("component").alias("c_" + end))
+    links = t.save(links.join(side("src"), "src", "left").join(side("dst"), "dst", "left").where("c_src is null or c_dst is null or c_src != c_dst").select("src", "dst", "w"), "acyclic")
+    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("w").alias("weight")), F.struct(F.col("dst").alias("node"), F.lit(0.0).alias("weight")))).alias("x")
+    nodes = links.select(ends).groupBy("x.node").agg(F.sum("x.weight").alias("weight"))
+    return flow_paths(nodes, links).select(F.array_join("path", ">").alias("path"), F.round("flow", 6).alias("flow"))
+
+
 def noisy_reads(spark, d):
     """``(read_id, true_seq, seq, qual)``: overlapping reads, a base replaced in every fifth and a second one in every
     thirty-fifth; every second of the former has a low quality there."""
