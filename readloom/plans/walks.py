@@ -251,3 +251,23 @@ def pair_correction(spark, d):
     mates = r.select(F.col("read_id").alias("pair_id"), F.col("read_id").alias("left_id"), (F.col("read_id") + 200 // STRIDE).alias("right_id"))
     mates = mates.join(r.select(F.col("read_id").alias("right_id")), "right_id", "left_semi")
     return X.part_mates(mates, X.correct(r))
+
+
+@register("gapped_alignments")
+def gapped_alignments(spark, d):
+    """Contigs against the reference transcripts, with gaps and on both strands."""
+    from readloom.operators.alignment import align
+
+    q = dna.contigs(spark, d).select(F.col("contig_id").alias("name"), "seq")
+    return align(q, dna.truth(spark, d).select(F.col("t_id").alias("name"), "seq"))
+
+
+@register("eulerian_walks")
+def eulerian_walks(spark, d):
+    """Circuits through all 8-mers of the reference transcripts, each closed to a ring: every node is balanced."""
+    from readloom.operators.circuits import eulerian_walks as walks
+
+    ring = dna.truth(spark, d).where("length(seq) >= 8").select(F.concat("seq", F.substring("seq", 1, 8)).alias("s"), F.length("seq").alias("n"))
+    at = ring.select("s", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    e = at.select(F.monotonically_increasing_id().alias("edge"), F.substring("s", F.col("i"), F.lit(8)).alias("src"), F.substring("s", F.col("i") + 1, F.lit(8)).alias("dst"))
+    return walks(Tables(spark, "rings").save(e, "edges"))
