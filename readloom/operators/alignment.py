@@ -26,8 +26,10 @@ _ROW = "q string, t string, strand string, score int, matches int, mismatches in
 def minimisers(seq: Column, k: int = SEED, w: int = WINDOW) -> Column:
     """``(hash, pos, kmer)`` of the seeds of a sequence, places from 1."""
     each = F.transform(S.kmers_at(seq, k), lambda x: F.struct(F.xxhash64(x["kmer"]).alias("hash"), x["pos"].alias("pos"), x["kmer"].alias("kmer")))
-    first = F.transform(F.sequence(F.lit(1), F.greatest(F.size(each) - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(each, i, F.lit(w))))
-    return F.when(F.size(each) > 0, F.array_distinct(first)).otherwise(F.array().cast("array<struct<hash:bigint,pos:int,kmer:string>>"))
+    least = lambda e: F.transform(F.sequence(F.lit(1), F.greatest(F.size(e) - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(e, i, F.lit(w))))
+    # inside a one-element array the k-mers are made once for the row, not once for each window
+    first = F.transform(F.array(each), lambda e: F.when(F.size(e) > 0, F.array_distinct(least(e))))[0]
+    return F.coalesce(first, F.array().cast("array<struct<hash:bigint,pos:int,kmer:string>>"))
 
 
 def _seeds(seqs: DataFrame, name: str) -> DataFrame:
