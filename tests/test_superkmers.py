@@ -4,9 +4,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from readloom.operators import contigs as C
 from readloom.operators import kmers as K
 from readloom.operators import superkmers as X
 
@@ -51,3 +53,60 @@ def test_a_kmer_costs_less_than_three_bytes_to_deal(spark):
     reads = spark.createDataFrame([("".join(rnd.choices("ACGT", k=100)),) for _ in range(2000)], "seq string")
     size = X.deal(reads, 25, 8).agg(F.sum(F.length("bases"))).first()[0]
     assert size < 3 * 76 * 2000
+
+
+def _contigs():
+    rnd = random.Random(9)
+    base = ["".join(rnd.choices("ACGT", k=400)) for _ in range(5)]
+    out = [b[i : i + 200] for b in base for i in (0, 90, 200)] + ["A" * 60, "A" * 40 + "C" * 40, base[0], base[0], "ACG", base[1][:150] + "N" + base[2][:150]]
+    out += ["".join(rnd.choices("ACGT", k=rnd.randint(20, 80))) for _ in range(20)]
+    return list(enumerate(out, 100))
+
+
+def test_contig_edges_and_links_equal_plain_ones(spark, monkeypatch):
+    rows, k = _contigs(), 24
+    at, want = {}, Counter()
+    for c, s in rows:
+        for x in _kmers(s, k):
+            at.setdefault(x, Counter())[c] += 1
+    for n in at.values():
+        for a in n:
+            for b in n:
+                if a < b:
+                    want[a, b] += n[a] * n[b]
+    df = spark.createDataFrame(rows, "contig_id long, seq string")
+    assert {(r.src, r.dst): r.w for r in C.contig_edges(df, k).collect()} == dict(want)
+    # a few pairs at once give the same sums
+    assert {(r.src, r.dst): r.w for r in X.shared(df, k, "contig_id", 10).collect()} == dict(want)
+    root = {c: c for c, _ in rows}
+
+    def find(c):
+        return c if root[c] == c else find(root[c])
+
+    for a, b in want:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    links = C.contig_links(df, k)
+    assert {(r.src, r.dst) for r in links.collect()} <= set(want)
+    assert {r.contig_id: r.comp for r in C.contig_components(df, links).collect()} == {c: find(c) for c in root}
+
+
+def test_links_over_several_blocks(spark):
+    """The least key of a k-mer comes last: links to what was least before join them all."""
+    rows = [(9 - i, "ACGTTGCAAGCTTACGGATCCATGCA" + "ACGT"[i % 4] * i) for i in range(9)]
+    batches = [pa.RecordBatch.from_arrays([_part(s), pa.array([np.int64(c).tobytes()])], ["bases", "keys"]) for c, s in rows]
+    pairs = [p for b in X.link_blocks(iter([(x, i) for b in batches for x, i in X.keyed([b], 24, 1)])) for p in zip(*b.to_pydict().values())]
+    assert all(a < b for a, b in pairs) and {b for _, b in pairs} == set(range(2, 10))
+
+
+def _part(s):
+    codes = X._CODE[np.frombuffer(s.encode() + b"\n", np.uint8)]
+    return pa.array([X._packed(codes, np.array([0]), np.array([len(s)]), np.array([0]))[0].tobytes()])
+
+
+def test_contig_weights_equal_plain_ones(spark):
+    rows, k = _contigs(), 25
+    k1 = {x: i for i, x in enumerate(sorted({x for _, s in rows for x in _kmers(s, k)})) if i % 3}
+    got = C.contig_weights(spark.createDataFrame(rows, "contig_id long, seq string"), spark.createDataFrame(list(k1.items()), "kmer string, cnt long"), k)
+    want = {c: (len(s) - k + 1, sum(k1.get(x, 0) for x in _kmers(s, k)) / (len(s) - k + 1)) for c, s in rows if len(s) >= k}
+    assert {r.contig_id: (r.n_kmers, r.avg_wt) for r in got.collect()} == want
