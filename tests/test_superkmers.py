@@ -110,3 +110,17 @@ def test_contig_weights_equal_plain_ones(spark):
     got = C.contig_weights(spark.createDataFrame(rows, "contig_id long, seq string"), spark.createDataFrame(list(k1.items()), "kmer string, cnt long"), k)
     want = {c: (len(s) - k + 1, sum(k1.get(x, 0) for x in _kmers(s, k)) / (len(s) - k + 1)) for c, s in rows if len(s) >= k}
     assert {r.contig_id: (r.n_kmers, r.avg_wt) for r in got.collect()} == want
+
+
+def test_routes_equal_those_by_a_table_of_kmers(spark, monkeypatch):
+    rows = _contigs()
+    contigs = spark.createDataFrame(rows, "contig_id long, seq string")
+    comps = spark.createDataFrame([(c, c % 4) for c, _ in rows], "contig_id long, comp long")
+    want = {(x, c % 4) for c, s in rows for x in _kmers(s, 25)}
+    table = C.kmer_components(contigs, comps)
+    got = [tuple(r) for r in table.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    reads = spark.createDataFrame([(-i, s[:100]) for i, s in rows], "read_id long, seq string")
+    old = C.route(reads, "read_id", ["seq"], table)
+    new = C.route_over(reads, "read_id", ["seq"], contigs, comps)
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old.collect()))
