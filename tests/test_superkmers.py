@@ -124,3 +124,29 @@ def test_routes_equal_those_by_a_table_of_kmers(spark, monkeypatch):
     old = C.route(reads, "read_id", ["seq"], table)
     new = C.route_over(reads, "read_id", ["seq"], contigs, comps)
     assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old.collect()))
+
+
+def test_places_equal_plain_ones(spark):
+    rows, k = _contigs(), 24
+    ends = sorted({s[:k] for _, s in rows if len(s) >= k and "N" not in s[:k]})
+    got = X.places_of(spark.createDataFrame(rows, "contig_id long, seq string"), spark.createDataFrame([(e,) for e in ends], "kmer string"), k, "contig_id")
+    want = [(s[i : i + k], c, i + 1) for c, s in rows for i in range(len(s) - k + 1) if s[i : i + k] in ends]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("k", [8, 33])
+def test_edges_of_other_widths_equal_plain_ones(spark, k):
+    rows, want = _contigs()[:12], Counter()
+    for a, s in rows:
+        for b, t in rows:
+            if a < b:
+                x, y = Counter(_kmers(s, k)), Counter(_kmers(t, k))
+                if n := sum(x[z] * y[z] for z in x):
+                    want[a, b] = n
+    df = spark.createDataFrame(rows, "contig_id long, seq string")
+    assert {(r.src, r.dst): r.w for r in C.contig_edges(df, k).collect()} == dict(want)
+    low = {r.contig_id: r.comp for r in C.contig_components(df, C.contig_links(df, k)).collect()}
+    assert low == {r.contig_id: r.comp for r in C.contig_components(df, C.contig_edges(df, k)).collect()}
+    k1 = spark.createDataFrame([(z, 2) for z in {z for _, s in rows for z in _kmers(s, k)}], "kmer string, cnt long")
+    assert {r.avg_wt for r in C.contig_weights(df.where("not seq like '%N%'"), k1, k).collect()} == {2.0}
+    assert C.kmer_components(df, df.selectExpr("contig_id", "1L comp"), k).count() == k1.count()
