@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from readloom.catalog import register
 from readloom.functions import sequence as S
 from readloom.operators import kmers as K
+from readloom.operators import nodebins as N
 from readloom.sources import dna
 from readloom.sources.dna import sql
 
@@ -19,6 +20,11 @@ def solid(spark, d):
     return K.count_kmers(dna.reads(spark, d), hard=3)
 
 
+def nodes(spark, d):
+    """Nodes of the graph of solid 25-mers with their degrees and weights."""
+    return N.nodes(dna.reads(spark, d), K.K, 3)
+
+
 @register(
     "kmer_count_hard_soft",
     sql("seqs", "reads", body=f"SELECT kmer, count(*) AS cnt, count(*) >= 3 AS is_seed FROM (SELECT substr(seq, i, 25) AS kmer FROM reads, unnest(range(1, 77)) t(i)) WHERE {_TOP.format('kmer')} < 23 GROUP BY kmer HAVING count(*) >= 2"),
@@ -99,7 +105,7 @@ def double_strandify(spark, d):
 
 @register("kp1_to_k", sql("seqs", "reads", "k1", body="SELECT kmer, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT substr(kmer, 1, 24) AS kmer, cnt FROM k1 UNION ALL SELECT substr(kmer, 2, 24), cnt FROM k1) GROUP BY kmer"))
 def kp1_to_k(spark, d):
-    return K.shorten(solid(spark, d))
+    return nodes(spark, d).select(F.col("node").alias("kmer"), (F.col("w_in") + F.col("w_out")).alias("cnt"))
 
 
 @register("palindromes", sql("seqs", "reads", body=f"SELECT kmer, count(*) AS cnt FROM (SELECT substr(seq, i, 6) AS kmer FROM reads, unnest(range(1, 96)) t(i)) WHERE kmer = {RC.format('kmer')} GROUP BY kmer"))
