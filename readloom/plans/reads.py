@@ -180,11 +180,8 @@ def seed_order(spark, d):
 
 @register("kmer_semi_anti", sql("seqs", "reads", "k1", "edges", "nodes", body="SELECT node, EXISTS (SELECT 1 FROM edges e WHERE e.src = node) AS extends FROM nodes"))
 def kmer_semi_anti(spark, d):
-    """Nodes that some k-mer extends (semi join) and those that none does (anti join)."""
-    e = K.dbg_edges(solid(spark, d))
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    src = e.select(F.col("src").alias("node"))
-    return nodes.join(src, "node", "left_semi").withColumn("extends", F.lit(True)).union(nodes.join(src, "node", "left_anti").withColumn("extends", F.lit(False)))
+    """Nodes, and whether some k-mer extends them."""
+    return nodes(spark, d).select("node", (F.col("outdeg") > 0).alias("extends"))
 
 
 @register(
