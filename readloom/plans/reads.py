@@ -100,7 +100,7 @@ def kmer_count_canonical(spark, d):
 
 @register("double_strandify", sql("seqs", "reads", "k1", body=f"SELECT kmer, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT kmer, cnt FROM k1 UNION ALL SELECT {RC.format('kmer')}, cnt FROM k1) GROUP BY kmer"))
 def double_strandify(spark, d):
-    return K.double_strandify(solid(spark, d))
+    return N.both_strands(dna.reads(spark, d), K.K + 1, 3)
 
 
 @register("kp1_to_k", sql("seqs", "reads", "k1", body="SELECT kmer, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT substr(kmer, 1, 24) AS kmer, cnt FROM k1 UNION ALL SELECT substr(kmer, 2, 24), cnt FROM k1) GROUP BY kmer"))
