@@ -162,9 +162,7 @@ def unitigs(spark, d):
 @register("node_prevalence", sql("seqs", "reads", "k1", "edges", "nodes", body="SELECT node, coalesce(CAST(sum(cnt) AS BIGINT), 0) AS prevalence, coalesce(CAST(23 * count(src) AS BIGINT), 0) AS overlap_prevalence FROM nodes LEFT JOIN edges ON src = node GROUP BY node"))
 def node_prevalence(spark, d):
     """Sum of out-edge counts, and the variant that sums overlap lengths instead."""
-    e = K.dbg_edges(solid(spark, d))
-    ends = e.select(F.explode(F.array(F.struct(F.col("src").alias("node"), "cnt", F.lit(23).alias("o")), F.struct(F.col("dst").alias("node"), F.lit(0).cast("long").alias("cnt"), F.lit(0).alias("o")))).alias("x"))
-    return ends.groupBy(F.col("x.node").alias("node")).agg(F.sum("x.cnt").alias("prevalence"), F.sum("x.o").cast("long").alias("overlap_prevalence"))
+    return nodes(spark, d).select("node", F.col("w_out").alias("prevalence"), (F.col("outdeg") * (K.K - 1)).alias("overlap_prevalence"))
 
 
 @register("seed_order", sql("seqs", "reads", "k1", body="SELECT kmer, cnt, rank() OVER (ORDER BY cnt DESC) AS weight_rank FROM k1"))
