@@ -129,7 +129,7 @@ def dbg_edges(spark, d):
 
 @register("node_degrees", sql("seqs", "reads", "k1", "edges", body="SELECT node, CAST(sum(i) AS BIGINT) AS indeg, CAST(sum(o) AS BIGINT) AS outdeg FROM (SELECT src AS node, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) GROUP BY node"))
 def node_degrees(spark, d):
-    return K.degrees(K.dbg_edges(solid(spark, d)))
+    return nodes(spark, d).select("node", "indeg", "outdeg")
 
 
 _DEG = "deg AS (SELECT node, sum(i) AS indeg, sum(o) AS outdeg FROM (SELECT src AS node, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) GROUP BY node)"
@@ -137,12 +137,12 @@ _DEG = "deg AS (SELECT node, sum(i) AS indeg, sum(o) AS outdeg FROM (SELECT src
 
 @register("xnodes", sql("seqs", "reads", "k1", "edges", _DEG, body="SELECT node FROM deg WHERE indeg >= 2 AND outdeg >= 2"))
 def xnodes(spark, d):
-    return K.degrees(K.dbg_edges(solid(spark, d))).where("indeg >= 2 and outdeg >= 2").select("node")
+    return nodes(spark, d).where("indeg >= 2 and outdeg >= 2").select("node")
 
 
 @register("branch_nodes", sql("seqs", "reads", "k1", "edges", _DEG, body="SELECT node, CAST(indeg AS BIGINT) AS indeg, CAST(outdeg AS BIGINT) AS outdeg FROM deg WHERE indeg > 1 OR outdeg > 1"))
 def branch_nodes(spark, d):
-    return K.degrees(K.dbg_edges(solid(spark, d))).where("indeg > 1 or outdeg > 1")
+    return nodes(spark, d).where("indeg > 1 or outdeg > 1").select("node", "indeg", "outdeg")
 
 
 @register(
