@@ -156,7 +156,7 @@ def branch_nodes(spark, d):
     "UNION ALL SELECT r.first_kmer, r.n, r.seq FROM ring r JOIN link o ON o.src = r.last_node AND o.dst = r.first_kmer",
 )
 def unitigs(spark, d):
-    return K.unitigs(K.dbg_edges(solid(spark, d)))
+    return N.condensed(dna.reads(spark, d), K.K, 3)[0].select("first_kmer", "n_nodes", "seq")
 
 
 @register("node_prevalence", sql("seqs", "reads", "k1", "edges", "nodes", body="SELECT node, coalesce(CAST(sum(cnt) AS BIGINT), 0) AS prevalence, coalesce(CAST(23 * count(src) AS BIGINT), 0) AS overlap_prevalence FROM nodes LEFT JOIN edges ON src = node GROUP BY node"))
