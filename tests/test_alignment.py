@@ -52,3 +52,26 @@ def test_alignments_on_both_strands(spark):
             assert r.strand == strand and r.score == pytest.approx(whole_matrix(s if strand == "+" else flip(s), ref), abs=0)
     assert not {n for n, _ in got} & {50, 51, 52}
     assert alignment.align(q.limit(0), t).count() == 0
+
+
+def test_many_pairs_align_as_each_alone_and_seeds_are_those_of_the_hash(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    a = ["".join(rnd.choices("ACGT", k=rnd.randint(0, 90))) for _ in range(40)]
+    b = [mutated(x, rnd) if i % 3 else "".join(rnd.choices("ACGT", k=rnd.randint(0, 60))) for i, x in enumerate(a)]
+    d = [rnd.randint(-20, 20) for _ in a]
+    rows = alignment.local_alignments([x.encode() for x in a], [x.encode() for x in b], d)
+    assert [tuple(map(int, r)) for r in rows] == [alignment.local_alignment(*p) for p in zip(a, b, d)]
+    own, code, pos = alignment.minimisers([x.encode() for x in a] + [b"ACGTNNNNNNACGT"])
+    k, w = alignment.SEED, alignment.WINDOW
+    kmers = sorted({x[i : i + k] for x in a for i in range(len(x) - k + 1)})
+    h = dict(map(tuple, spark.createDataFrame([(x,) for x in kmers], "s string").select("s", F.xxhash64("s")).collect()))
+    want = set()
+    for o, x in enumerate(a):
+        at = [(h[x[i : i + k]], i + 1) for i in range(len(x) - k + 1)]
+        want |= {(o, min(at[i : i + w])[1]) for i in range(max(len(at) - w + 1, 1)) if at}
+    plain = own < len(a)
+    assert set(zip(own[plain].tolist(), pos[plain].tolist())) == want
+    letters = ["".join("ACGT"[c >> 2 * i & 3] for i in range(k - 1, -1, -1)) for c in code[plain].tolist()]
+    assert all(a[o][p - 1 : p - 1 + k] == s for o, p, s in zip(own[plain], pos[plain], letters)) and (code[~plain] < 0).all()
