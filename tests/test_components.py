@@ -67,3 +67,56 @@ def test_shared_folder_is_wanted_on_a_cluster():
     unset = SimpleNamespace(get=lambda k, d: d)
     with pytest.raises(ValueError):
         shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="yarn")))
+
+
+def test_finished_components_take_no_part_in_later_rounds(spark, monkeypatch):
+    from readloom.session import Tables
+
+    seen, save = [], Tables.save
+
+    def counted(self, df, name="t"):
+        out = save(self, df, name)
+        seen.extend([out.count()] if name == "round" else [])
+        return out
+
+    monkeypatch.setattr(Tables, "save", counted)
+    pairs = [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(500)]
+    comb = [(i, i + 1) if i % 2 else (i + 1, 2000 + i) for i in range(60)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(pairs + comb, "src long, dst long")).collect()))
+    assert all(got[a] == got[b] == a for a, b in pairs) and len(seen) > 0
+    assert max(seen) < len(comb)
+
+
+def test_links_of_a_bin_by_repeated_kmers_alone(spark):
+    import numpy as np
+
+    from readloom.operators import superkmers as X
+
+    rng = np.random.default_rng(3)
+    x, ids = rng.integers(0, 4000, 5000).astype(np.uint64), rng.integers(0, 900, 5000)
+    at = X.repeated(x)
+    values, n = np.unique(x, return_counts=True)
+    assert set(np.flatnonzero(np.isin(x, values[n > 1]))) <= set(at.tolist()) and len(at) < len(x)
+    pairs = lambda made: {p for b in made for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert pairs(X.links_of_bin(iter([(x, ids)]))) == pairs(X.link_blocks(iter([(x, ids)])))
+
+
+def test_windows_of_long_odd_and_missing_texts(spark, tmp_path):
+    from readloom.functions import sequence as S
+    from readloom.sources import dna
+
+    texts = [(1, "aB-cé\n" * 700), (2, None), (3, ""), (None, "xyz" * 50), (5, "ßſ𝔞 7"), (6, "a" * 400), (7, "Ab" * 12345)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    to = str.maketrans(S.LETTERS, S.BASES)
+    seqs = [(d, "".join(c for c in t if c in S.LETTERS).translate(to)) for d, t in texts if t is not None]
+    name = lambda d, j: None if d is None else d * dna.SPAN + j
+    order = lambda rows: sorted(rows, key=str)
+    cut = lambda width, stride, whole: [(name(d, j), s[j * stride : j * stride + width]) for d, s in seqs for j in range((len(s) - width) // stride + 1 if whole else -(-len(s) // stride)) if len(s) >= (width if whole else 1)]
+    got = lambda df: order(map(tuple, df.collect()))
+    assert got(dna.sequences(spark, str(tmp_path))) == order(seqs)
+    assert got(dna.contigs(spark, str(tmp_path)).select("contig_id", "seq")) == order(cut(400, 400, False))
+    assert got(dna.reads(spark, str(tmp_path)).select("read_id", "seq")) == order(cut(100, 100, True))
+    assert got(dna.overlapping_reads(spark, str(tmp_path))) == order(cut(100, 25, True))
+    pairs = [(i, s[:100], s[200:][::-1].translate(str.maketrans("ACGT", "TGCA"))) for i, s in cut(300, 25, True)]
+    assert got(dna.overlapping_pairs(spark, str(tmp_path))) == order(pairs)
+    assert "MapInArrow" in dna.contigs(spark, str(tmp_path))._jdf.queryExecution().toString()
