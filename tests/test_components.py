@@ -120,3 +120,25 @@ def test_windows_of_long_odd_and_missing_texts(spark, tmp_path):
     pairs = [(i, s[:100], s[200:][::-1].translate(str.maketrans("ACGT", "TGCA"))) for i, s in cut(300, 25, True)]
     assert got(dna.overlapping_pairs(spark, str(tmp_path))) == order(pairs)
     assert "MapInArrow" in dna.contigs(spark, str(tmp_path))._jdf.queryExecution().toString()
+
+
+def test_pairs_are_counted_without_listing_those_of_frequent_kmers(spark, monkeypatch):
+    from readloom.operators import contigs as C
+    from readloom.operators import superkmers as X
+
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choices("ACGT", k=n))
+    phrases, near = [word(60) for _ in range(3)], [word(80) for _ in range(6)]
+    rows = [word(rnd.randint(0, 30)) + (rnd.choice(phrases)[rnd.randint(0, 30) :] if i % 2 else "") + (rnd.choice(near) if i % 5 == 0 else "") for i in range(150)]
+    rows += [word(20) + phrases[0] + phrases[1]] * 30 + ["ACGT", ""]
+    c = spark.createDataFrame(list(enumerate(rows)), "contig_id long, seq string").repartition(3)
+    kmers = [{s[i : i + 24] for i in range(len(s) - 23)} for s in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if kmers[a] & kmers[b]]
+    got = C.pair_counts(c, most=8).join(C.contig_components(c, C.contig_links(c)), "contig_id").groupBy("comp").sum("n")
+    comp = dict(map(tuple, C.contig_components(c, C.contig_links(c)).collect()))
+    want = {}
+    for a, _ in pairs:
+        want[comp[a]] = want.get(comp[a], 0) + 1
+    assert dict(map(tuple, got.collect())) == want
+    listed = X.sharing(c, 24, "contig_id", 8).where("kind = 'pair'").select("src", "dst").distinct().count()
+    assert listed < len(pairs) // 4
