@@ -269,3 +269,23 @@ def test_random_order_partition_is_balanced():
     for s in (1, 2):
         label = A.partition_graph(list(range(100)), edges, 5, seed=s)
         assert len(label) == 100 and max(list(label.values()).count(p) for p in range(5)) <= 40
+
+
+def test_components_are_worked_on_in_pieces_of_whole_groups():
+    import pandas as pd
+
+    from readloom.plans.assembly import whole_groups
+
+    keys = [1, 1, 2, 3, 3, 3, 3, 3, 3, 3, 4, 5, 5]
+    frames = [pd.DataFrame({"comp": keys[i : i + 2], "x": range(i, min(i + 2, 13))}) for i in range(0, 13, 2)]
+    got = [(first, pdf.comp.tolist(), pdf.x.tolist()) for first, pdf in whole_groups(iter(frames), "comp", rows=3)]
+    assert sum((x for *_, x in got), []) == list(range(13)) and len(got) > 2
+    assert all(first == c[0] for first, c, _ in got)
+    assert sum(len(set(c)) for _, c, _ in got) == len(set(keys))  # no group in two pieces
+    assert list(whole_groups(iter([]), "comp")) == []
+
+
+def test_reads_are_indexed_only_where_a_node_is_ambiguous(monkeypatch):
+    g = A.Graph.from_kmers({"ACGTA": 1.0, "CGTAC": 1.0}, 4)
+    monkeypatch.setattr(A.Graph, "read_index", None)
+    g.bridge_all(["ACGTAC"])

@@ -87,6 +87,23 @@ def test_finished_components_take_no_part_in_later_rounds(spark, monkeypatch):
     assert max(seen) < len(comb)
 
 
+def test_few_edges_are_finished_at_once(spark, monkeypatch):
+    from readloom.session import Tables
+
+    seen, save = [], Tables.save
+    monkeypatch.setattr(Tables, "save", lambda self, df, name="t": seen.append(name) or save(self, df, name))
+    rnd = random.Random(3)
+    e = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(300)]
+    for kind, cast in (("long", int), ("string", "n{:03d}".format)):
+        df = spark.createDataFrame([(cast(a), cast(b)) for a, b in e], f"src {kind}, dst {kind}")
+        seen.clear()
+        got = sorted(map(tuple, connected_components(df).collect()))
+        assert seen.count("round") == 1
+        monkeypatch.setattr(components, "FEW", 0)
+        assert sorted(map(tuple, connected_components(df).collect())) == got
+        monkeypatch.setattr(components, "FEW", 300_000)
+
+
 def test_links_of_a_bin_by_repeated_kmers_alone(spark):
     import numpy as np
 
