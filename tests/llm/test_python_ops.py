@@ -56,6 +56,35 @@ def test_id_blocks_round_trip(n):
         assert docs == [3, None] and lengths.tolist() == [n, 0] and (back == ids).all()
 
 
+def test_an_id_is_one_symbol_and_carries_go_on(monkeypatch):
+    seen, put = [], tokenids._Writer.put
+    monkeypatch.setattr(tokenids._Writer, "put", lambda self, *a: seen.append(1) or put(self, *a))
+    rnd = np.random.default_rng(4)
+    ids = np.where(rnd.random(300_000) < 0.5, 7, rnd.zipf(1.3, 300_000) % 65536).astype(np.uint16)
+    assert (tokenids.unpack(tokenids.pack([1], np.array([len(ids)]), ids))[2] == ids).all()
+    assert len(seen) == tokenids.BLOCK
+    out = tokenids._Writer(1, 8)
+    u = lambda *x: np.array(x, np.uint64)
+    for start, size in ((0, 1), (65534, 1), (65535, 1), (65535, 1), (32768, 2)):
+        out.put(1, u(start), u(size), u(1 << 16))
+    out.words[:3] = 0x1FFFF, 0xFFFF, 0x10000  # a carry through a full word
+    out.words[0] = 0x0001
+    data = np.frombuffer(out.finish()[0], "<u2")
+    assert data[:3].tolist() == [2, 0, 0]
+
+
+def test_words_are_split_as_the_library_splits_them():
+    tool, rnd = tokenids.WordEncoder(WORDS), random.Random(6)
+    letters = "'''sstdmrevelLVRE' \n\t09aZ.,\"ßÀþÿ×÷¡¿éñ-_~`^|<>"
+    texts = ["", " ", "'", "'sam", "''s", "\"'s", "a's's", "I'LL", "'r", "'rex", "x'd'd", "a<|endoftext|>b", "日本", "\xa0 \x85"]
+    texts += ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
+    want = [np.array(e.ids, np.uint16).tobytes() for e in tool.tool.encode_batch(texts, add_special_tokens=False)]
+    assert tool.encode(texts) == want == [tool.encode([t])[0] for t in texts]
+    raw = [t.encode("latin-1") for t in texts[3:8]]
+    low = np.frombuffer(b"\n".join([*raw, b"  "]).lower(), np.uint8)
+    assert tokenids.word_starts(low)[0].tolist() == [0, 2, 5, 7, 9, 11, 13, 14, 16, 19, 20]
+
+
 def test_damage_is_noticed():
     data = bytearray(tokenids.pack([1], np.array([5000]), np.arange(5000).astype(np.uint16)))
     data[-300] ^= 4
