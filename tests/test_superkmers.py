@@ -166,3 +166,30 @@ def test_common_words_equal_plain_ones_and_stay_out_of_lambdas(spark):
     got = X.common_words(spark.createDataFrame(rows, "pair_id long, seq1 string, seq2 string"), "pair_id")
     assert {r.pair_id: (r.n_common, r.n_common5) for r in got.collect()} == want
     assert "array_intersect" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("share,strict,shortest", [(0.99, False, 0), (0.9, True, 70), (0.5, True, 0)])
+def test_contigs_covered_by_greater_ones_equal_plain_ones_without_all_pairs(spark, monkeypatch, share, strict, shortest):
+    """Every pair of contigs was listed for each 18-mer that it shares: 30 copies of a line were 30 x 29 rows a place."""
+    rnd, r = random.Random(4), 18
+    rows = [(c, s) for c, s in _contigs() if "N" not in s]
+    line = "".join(rnd.choices("ACGT", k=60))
+    rows += [(500 + i, line * 3 + line[: rnd.randint(0, 59)]) for i in range(15)] + [(600 + i, line) for i in range(15)]
+    for i, (_, s) in enumerate(rows[:12]):  # copies with errors, cut and whole
+        p = rnd.randrange(len(s))
+        rows += [(700 + i, s[:p] + rnd.choice("ACGT") + s[p + 1 :]), (800 - i, s[rnd.randint(0, 30) : 380])]
+    words = {c: set(_kmers(s, r)) for c, s in rows}
+    want = set()
+    for q, a in rows:
+        for t, b in rows:
+            at = [i for i in range(len(a) - r + 1) if a[i : i + r] in words[t]] if q != t else []
+            m = len({j for i in at for j in range(i, i + r)})
+            enough = m > share * len(a) if strict else m >= share * len(a)
+            if m and (len(a) < shortest or enough and (len(a), q) < (len(b), t)):
+                want.add(q)
+    df = spark.createDataFrame(rows, "contig_id long, seq string")
+    listed = []
+    greater = X.greater_holders
+    monkeypatch.setattr(X, "greater_holders", lambda *a: listed.append(greater(*a)) or listed[-1])
+    assert {x.contig_id for x in C.covered_by_greater(df, share, r, strict, shortest).collect()} == want
+    assert 0 < len(want) < len(rows) and sum(x.count() for x in listed) < len(rows) ** 2 / 8
