@@ -159,3 +159,19 @@ def test_pairs_are_counted_without_listing_those_of_frequent_kmers(spark, monkey
     assert dict(map(tuple, got.collect())) == want
     listed = X.sharing(c, 24, "contig_id", 8).where("kind = 'pair'").select("src", "dst").distinct().count()
     assert listed < len(pairs) // 4
+
+
+def test_long_sides_are_not_broadcast_by_the_bytes_of_their_files(spark, monkeypatch):
+    """Files of packed ids below Spark's limit of 10 MB were hash tables of some hundred MB in the driver."""
+    from readloom import session
+    from readloom.operators import components
+
+    monkeypatch.setattr(session, "DEALT", 100)
+    monkeypatch.setattr(components, "FEW", 0)
+    plans = []
+    save = session.Tables.save
+    monkeypatch.setattr(session.Tables, "save", lambda self, df, name="t": plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or save(self, df, name))
+    e = spark.range(2000).selectExpr("id src", "id + 1 + id % 3 * 7 dst")
+    want = components.connected_components(e).groupBy("component").count().collect()
+    assert sum(r["count"] for r in want) == 2000 + len({i + 1 + i % 3 * 7 for i in range(2000)} - set(range(2000)))
+    assert any("SortMergeJoin" in p for _, p in plans) and not [n for n, p in plans[:4] if "BroadcastHashJoin" in p]
